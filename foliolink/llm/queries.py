@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import chat, decontaminate, html_text, language, lines, mixing, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,103 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the text model learns from the labelled documents."""
+    model = language.train(_table(spark, sf_dir, "documents"))
+    return language.page_languages(_table(spark, sf_dir, "pages"), model)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts hold control strings; digests are read back from the output."""
+    planted = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), planted.alias("text")
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.format_conversations(rows).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss_text", chat.read_loss(F.col("segments")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "state",
+    )
+
+
+#: The rules of the contract.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+#: Names of sites whose pages make up the list of URLs.
+LISTED_SITES = ("cheap-pills", "free-bets", "spam-farm", "ads-track")
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """Canonical URLs ``(url_key)`` of the pages on listed sites."""
+    site = F.col("url").rlike("|".join(rf"(?i)://([^/?#]*\.)?{s}\." for s in LISTED_SITES))
+    return pages.where(site).select(urls.canonical(F.col("url")).alias("url_key")).where("url_key is not null").distinct()
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = quality.apply_rules(quality.measures(docs))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        F.when(failed, F.lit(False)).otherwise(F.col("rejected_by").isNull()).alias("kept"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the test items that it contains."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.overlaps(docs, _table(spark, sf_dir, "benchmark"))
+    per_doc = found.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list("item_id")).alias("items"), F.max(F.col("n_covered") / F.col("n_words")).alias("coverage")
+    )
+    return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
+        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_mix_sources,
+        op3_language_id,
+        op4_chat_format,
+        op5_url_filter,
+        op6_toxicity,
+        op7_quality_rules,
+        op8_decontaminate,
+        op9_line_dedup,
+        op10_html_text,
+    )
 }
 
 ORACLES: dict[str, str] = {}
