@@ -87,7 +87,7 @@ def format_conversations(
             F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    grouped = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    grouped = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def pieces(turn: Column) -> Column:
         piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))

@@ -139,7 +139,7 @@ def overlaps(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     hits = rows.select("id", F.explode(windows("text")).alias("seed"))
-    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list("at"))))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.collect_list("at"))))
     reach = F.transform(
         F.col("starts"),
         lambda p, k: F.when(k + 1 < F.size("starts"), F.least(F.lit(min_match), F.element_at("starts", k + 2) - p)).otherwise(F.lit(min_match)),

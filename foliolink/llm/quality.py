@@ -36,21 +36,27 @@ def _windows(words: Column) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _covered(windows: Column) -> Column:
     """Words in windows found twice or more: equal hashes are neighbours once ``(hash, place)`` is sorted."""
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    #: A fold over the sorted pairs keeps, for each place, whether a neighbour has its hash.
-    shifted = F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    same_next = F.zip_with(pairs, shifted, lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), b["i"].alias("j"), (a["h"] == b["h"]).alias("same")))
-    twins = F.flatten(F.transform(F.filter(same_next, lambda x: x["same"]), lambda x: F.array(x["i"], x["j"])))
-    starts = F.array_sort(F.array_distinct(twins))
-    fold = F.aggregate(
-        starts,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def repeated(ordered: Column) -> Column:
+        moved = F.slice(ordered, 2, F.size(ordered))
+        twins = F.filter(F.arrays_zip(ordered.alias("a"), moved.alias("b")), lambda x: x["a"]["h"] == x["b"]["h"])
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(twins, lambda x: F.array(x["a"]["i"], x["b"]["i"])))))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
+    return F.aggregate(
+        _let(pairs, repeated),
+        start,
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
-    return fold
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
