@@ -16,22 +16,29 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(text: str | None, bits: int = 20) -> np.ndarray:
-    """Distinct buckets of the words, word pairs and pairs with one word between, lower-cased letters only."""
+def features(text: str | None, bits: int = 20, stems: tuple[int, ...] = (4, 5, 6, 7)) -> np.ndarray:
+    """Distinct buckets of the words, their first ``stems`` letters, word pairs and pairs with one word between.
+
+    Words are runs of letters, lower-cased. The stems let inflected forms that no training
+    text has share the weight of those that one has.
+    """
     words = _TOKEN.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     pairs = (h[:-1] * _MIX) ^ (h[1:] >> np.uint64(1)) ^ np.uint64(1)
     skips = (h[:-2] * _MIX) ^ (h[2:] >> np.uint64(1)) ^ np.uint64(2)
-    every = np.concatenate((h, pairs, skips)) * _MIX >> np.uint64(64 - bits)
+    different = set(words)
+    cut = [(n, stem) for n in stems for stem in {w[:n] for w in different if len(w) > n}]
+    stemmed = np.fromiter((xxhash.xxh3_64_intdigest(stem, n) for n, stem in cut), np.uint64, len(cut))
+    every = np.concatenate((h, pairs, skips, stemmed)) * _MIX >> np.uint64(64 - bits)
     return np.unique(every).astype(np.int64)
 
 
 class FTRL:
     """Logistic regression by FTRL-proximal with a learning rate per coordinate."""
 
-    def __init__(self, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
+    def __init__(self, bits: int = 20, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last coordinate is the bias
 
