@@ -118,4 +118,67 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: White space and words of the contracts, for DuckDB.
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_MARKS = r"<s>|</s>|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[ANS\]|\[ROLE\]|\[/ROLE\]|\[/TURN\]"
+
+_CHAT = rf"""WITH r AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '{_MARKS}'))
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 ELSE 9 END AS n FROM r),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss, CAST(3 + sum(n) AS BIGINT) AS formatted_chars,
+    string_agg(role[1], '' ORDER BY turn) AS way, arg_max(role, turn) AS last FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  regexp_full_match(way, 's?(ua)+') AS valid, CASE WHEN regexp_full_match(way, 's?(ua)*u?') THEN last ELSE 'error' END AS state FROM g"""
+
+_URLS = rf"""WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, url FROM pages),
+c AS (
+  SELECT *, CASE WHEN host <> '' THEN CASE WHEN regexp_matches(host, '^(www|m)\.[^.]+\.') THEN regexp_replace(host, '^(www|m)\.', '') ELSE host END
+    || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '') END AS k FROM u),
+l AS (SELECT DISTINCT k FROM c WHERE k IS NOT NULL AND regexp_matches(url, '(?i)://([^/?#]*\.)?({"|".join(LISTED_SITES)})\.')),
+r AS (SELECT unnest([{", ".join(f"'{r}'" for r in URL_RULES)}]) AS rule, unnest([{", ".join(f"'{v}'" for v in URL_RULES.values())}]) AS verdict),
+f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM c JOIN r ON (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1))) AND prefix(path, rule[instr(rule, '/'):])
+  GROUP BY page_id)
+SELECT c.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN k IN (SELECT k FROM l) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN f ON c.page_id = f.page_id"""
+
+_QUALITY = rf"""WITH d AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS f
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM k),
+y AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS n FROM x WHERE n > 1),
+z AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_repeat_words FROM y GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, t, len(w) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(f) - len(list_distinct(f)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines
+  FROM d LEFT JOIN z ON d.doc_id = z.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_symbols > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines
+    OR length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) < 0.5 * word_chars OR length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) > 0.6 * word_chars) AS kept FROM b"""
+
+_LINES = rf"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), {_UPPER}) AS key FROM l),
+h AS (SELECT key, min(doc_id) AS holder FROM k WHERE length(key) >= 10 GROUP BY key),
+j AS (SELECT k.*, holder IS NOT NULL AND holder <> doc_id AS gone FROM k LEFT JOIN h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+#: The others rest on 64-bit hashes, trained weights or page structure, which SQL can't express.
+ORACLES: dict[str, str] = {
+    "op4_chat_format": _CHAT,
+    "op5_url_filter": _URLS,
+    "op7_quality_rules": _QUALITY,
+    "op9_line_dedup": _LINES,
+}

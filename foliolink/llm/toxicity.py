@@ -47,7 +47,7 @@ class FTRL:
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / rate)
 
     def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
-        at = np.append(at, len(self.z) - 1)
+        at = np.append(at.astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         g = weight * (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - label)
         step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
@@ -56,7 +56,7 @@ class FTRL:
 
 
 def train(
-    rows: DataFrame, id_col: str, text_col: str, label_col: str, n_labelled: int, max_rows: int = 24_000, passes: int = 4, bits: int = 20, seed: int = 5, **options
+    rows: DataFrame, id_col: str, text_col: str, label_col: str, n_labelled: int, max_rows: int = 10_000, passes: int = 4, bits: int = 20, seed: int = 5, **options
 ) -> pd.DataFrame:
     """Weights ``(bucket, weight)`` other than zero, bias under bucket ``2**bits``.
 
@@ -79,11 +79,11 @@ def train(
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         model = FTRL(bits, **options)
         group = group.sort_values(["turn", "label"], kind="stable")
-        examples = [(np.frombuffer(at, "<u4").astype(np.int64), int(label)) for at, label in zip(group["at"], group["label"])]
+        packed_rows, labels = group["at"].tolist(), group["label"].tolist()
         order = np.random.default_rng(seed)
         for k in range(passes):
-            for i in range(len(examples)) if k == 0 else order.permutation(len(examples)):
-                model.learn(*examples[i])
+            for i in range(len(labels)) if k == 0 else order.permutation(len(labels)):
+                model.learn(np.frombuffer(packed_rows[i], "<u4"), int(labels[i]))
         everywhere = model.weights(np.arange(len(model.z)))
         used = np.flatnonzero(everywhere)
         return pd.DataFrame({"bucket": used, "weight": everywhere[used]})
