@@ -103,8 +103,8 @@ def identify(
     smoothed with ``smoothing`` rows of its suffix's prior, which is smoothed the same way
     with the overall prior. A row's own part is taken out of its host's and suffix's sums, so a text is not
     counted twice. Missing evidence (null or blank declared language, suffix or host, text
-    without letters) leaves the other evidence; a row with neither letters nor a best language above ``min_confidence`` is ``und``,
-    and so is one whose best posterior is below it. Repeated rows and null ids give a row
+    without letters) leaves the other evidence; a row without any is ``und``, and so is one
+    whose best posterior is below ``min_confidence``. Repeated rows and null ids give a row
     each; an empty table gives an empty table.
     """
     langs, n = model.languages, len(model.languages)
@@ -163,10 +163,11 @@ def identify(
     joined = joined.withColumn("final", final).withColumn("confidence", F.lit(1.0) / F.aggregate("final", F.lit(0.0), lambda a, x: a + x))
     names = F.array(*[F.lit(x) for x in langs])
     best = F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int"))
+    known = (F.col("n_grams") > 0) | F.coalesce("d_key", "h_key", "s_key").isNotNull()
     text_best = F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
     return joined.select(
         F.col("id").alias(id_col),
-        F.when(F.col("confidence") >= min_confidence, best).otherwise(F.lit("und")).alias("lang"),
+        F.when((F.col("confidence") >= min_confidence) & known, best).otherwise(F.lit("und")).alias("lang"),
         F.round("confidence", 6).alias("confidence"),
         text_best.alias("text_lang"),
         "n_grams",

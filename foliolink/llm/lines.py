@@ -66,7 +66,7 @@ def dropped_lines(
     """
     key = line_key(F.col("line"))
     who = F.col(id_col)
-    spread = docs.select(who.cast("double").alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)
+    spread = docs.select(who.cast("double").alias("x")).approxQuantile("x", [i / batches for i in range(batches)], 0.01)[1:]
     batch = sum(((who > F.lit(cut)).cast("int") for cut in spread), F.lit(0))
     lines = store(
         docs.select(who.alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.coalesce(batch, F.lit(batches - 1)).alias("batch"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))

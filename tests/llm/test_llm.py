@@ -459,14 +459,14 @@ def test_html_structure(page, want):
 
 def test_html_host_boilerplate(spark):
     boiler = " ".join(f"word{k}" for k in range(20))
-    pages = [(k, "http://h.example/x", f"<body><p>{boiler}</p><p>own text {k} of this page</p></body>") for k in range(3)]
+    pages = [(k, "http://h.example/x", f"<body><p>{boiler}</p><p>{k} is the own text of this page</p></body>") for k in range(3)]
     pages += [(7, "http://other.example/", f"<body><p>{boiler}</p></body>"), (8, None, None), (9, "http://h.example/", f"<body><article><p>{boiler}</p></article></body>")]
     pages += [(10, "http://twin.example/", f"<p>{boiler}</p>")] * 2
     rows = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, text string")
     got = defaultdict(list)
     for r in html_text.main_text(rows).collect():
         got[r.page_id].append(r.text)
-    assert [got[k] for k in range(3)] == [[f"own text {k} of this page"] for k in range(3)]
+    assert [got[k] for k in range(3)] == [[f"{k} is the own text of this page"] for k in range(3)]
     assert got[7] == [boiler] and got[8] == [""] and got[9] == [boiler] and got[10] == [boiler, boiler]
     assert html_text.main_text(rows.limit(0)).count() == 0
 
