@@ -53,7 +53,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The rules of the contract.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Names of sites whose pages make up the list of URLs.
-LISTED_SITES = ("cheap-pills", "free-bets", "spam-farm", "ads-track")
+LISTED_SITES = ("cheap-pills", "free-bets", "spam-farm", "ads-track", "casino-win", "adult-x")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:

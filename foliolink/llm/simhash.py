@@ -45,7 +45,27 @@ def fingerprint(text: Column, width: int = 3, seed: int = 42) -> Column:
     return of(text)
 
 
-def near_pairs(prints: DataFrame, column: str = "fp", distance: int = 3) -> DataFrame:
+#: Fingerprints with one segment value from which on the value is split further.
+CROWDED = 1024
+
+
+def _other_half(seg: Column, fp: Column) -> Column:
+    return F.when(seg == 0, fp.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
+
+
+def _byte(half: Column, k: int) -> Column:
+    return F.shiftright(half, 8 * k).bitwiseAND(F.lit(0xFF)).cast("int")
+
+
+def _split_crowded(rows: DataFrame, crowded: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``part, byte``: one row for a usual segment value, four, by the bytes of the other segment, for a crowded one."""
+    half = _other_half(F.col("seg"), F.col(column))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("byte")))
+    bytewise = F.array(*[F.struct(F.lit(k).alias("part"), _byte(half, k).alias("byte")) for k in range(4)])
+    return rows.join(crowded, ["seg", "val"], "left").select(*rows.columns, F.inline(F.when(F.col("crowd").isNull(), whole).otherwise(bytewise)))
+
+
+def near_pairs(prints: DataFrame, column: str = "fp", distance: int = 3, crowded: int = CROWDED) -> DataFrame:
     """Pairs of different fingerprints at most ``distance`` (0 to 3) bits apart, each once: ``(a, b)``.
 
     Two fingerprints that differ in at most 3 bits differ in at most one bit of one of their
@@ -54,6 +74,9 @@ def near_pairs(prints: DataFrame, column: str = "fp", distance: int = 3) -> Data
     side clears its own set bits. The join verifies the complete distance and leaves out what
     the first segment has found already, so no candidate outlives the join. ``prints`` holds
     each fingerprint once (copies are one row), so a large group of copies is no large bucket.
+    A segment value that more than ``crowded`` fingerprints share is split by the bytes of the
+    other segment: at most 3 bits differ there, so one of its four bytes is equal, and the
+    first equal one finds the pair.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with radius 1 cover distances 0 to 3")
@@ -81,6 +104,14 @@ def near_pairs(prints: DataFrame, column: str = "fp", distance: int = 3) -> Data
         & ((F.col("bit") != 0) | (F.col("a") < F.col("b")))
         & ((F.col("p.seg") == 0) | (apart_high > 1))
     )
+    crowd = store(table.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("seg", "val", F.lit(True).alias("crowd")), "crowded")
+    if not crowd.isEmpty():
+        probes, table = _split_crowded(probes, crowd, "a"), _split_crowded(table, crowd, "b")
+        differs = _other_half(F.col("p.seg"), F.col("a").bitwiseXOR(F.col("b")))
+        first = F.lit(True)
+        for k in range(3):
+            first = first & ((F.col("p.part") <= k) | (_byte(differs, k) != 0))
+        hit = hit & (F.col("p.part") == F.col("t.part")) & (F.col("p.byte") == F.col("t.byte")) & first
     return probes.alias("p").join(table.alias("t"), hit).select("a", "b")
 
 

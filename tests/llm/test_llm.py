@@ -70,13 +70,13 @@ def test_simhash_matches_brute_force(spark, awkward):
     assert got == {k: (prints[k], root[k]) for k in root}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_multi_index_pairs(spark, seed):
+@pytest.mark.parametrize("seed,crowded", [(0, 1024), (1, 1024), (2, 3), (3, 10), (4, 0)])
+def test_multi_index_pairs(spark, seed, crowded):
     rng = random.Random(seed)
     centre = rng.getrandbits(64)
     prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 6))) for _ in range(120)} | {0, 2**64 - 1, 1 << 63, 7}
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    got = [tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()]
+    got = [tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), crowded=crowded).collect()]
     want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3}
     assert len(got) == len(set(got)) and set(got) == want
 
