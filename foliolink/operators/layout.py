@@ -67,19 +67,21 @@ def grid_rows(cells: DataFrame, tolerance: float = 10.0) -> DataFrame:
 
 
 def markdown(grid: Column) -> Column:
-    """A grid as a Markdown table: the first row as its head, short rows filled up, bars escaped."""
+    """A grid as a Markdown table: the first row as its head, short rows filled up."""
     width = F.array_max(F.transform(grid, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
     body = F.transform(grid, line)
     return F.when(F.size(grid) > 0, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.size(body))), "\n")).otherwise("")
 
 
-def scaled_size(width: Column, height: Column, longest: int = 4000) -> Column:
-    """Struct ``width, height, scale``: the size at which neither side exceeds ``longest``."""
-    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
-    return F.struct(F.floor(width * scale).cast("int").alias("width"), F.floor(height * scale).cast("int").alias("height"), scale.alias("scale"))
-
-
-def memory_mb(width: Column, height: Column, channels: int = 3) -> Column:
-    return width * height * channels / F.lit(1024.0 * 1024.0)
+def hybrid_text(text: Column, tables: Column) -> Column:
+    """Page text, then each table ``struct<table_id, grid>`` under its banner, as Markdown and as plain rows."""
+    shown = F.transform(
+        tables,
+        lambda t: F.concat(
+            F.format_string("\n--- TABLE %d ---\n", t["table_id"]), markdown(t["grid"]), F.lit("\n\n--- STRUCTURED DATA ---\n"),
+            F.array_join(F.transform(t["grid"], lambda r: F.array_join(r, " | ")), "\n"),
+        ),
+    )
+    return F.array_join(F.concat(F.filter(F.array(text), lambda x: F.coalesce(x, F.lit("")) != ""), shown), "\n")

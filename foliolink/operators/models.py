@@ -138,3 +138,21 @@ def content(response: Column) -> Column:
 def capability_report(available: dict[str, str]) -> list[tuple[str, str]]:
     """Engines and versions as rows, by name."""
     return sorted(available.items())
+
+
+#: What a prompt asks for: one page's record, or the persons of a run of pages.
+RECORD_PROMPT = "Return the persons' data on this page as one JSON object with the keys patient, doctor, insurance and dme. Leave unknown values empty.\n\n%s"
+PERSONS_PROMPT = "List every person on these pages with name, date of birth and page numbers, as one JSON object.\n\n%s"
+
+
+def prompts(texts: DataFrame, template: str = RECORD_PROMPT, text_col: str = "text") -> DataFrame:
+    """``texts`` with ``prompt``."""
+    return texts.withColumn("prompt", F.format_string(template, F.col(text_col)))
+
+
+def setting(spark, model: str, name: str, default: float) -> float:
+    """``foliolink.<model>.<name>`` of the session as a number; the default if it is unset or no number."""
+    try:
+        return float(spark.conf.get(f"foliolink.{model}.{name}", None) or default)
+    except ValueError:
+        return default

@@ -80,3 +80,22 @@ def prompt_pages(pages: DataFrame) -> DataFrame:
     block = F.concat(F.format_string("=== PAGE %d (Confidence: %.2f) ===\n", "page_number", "confidence"), X.text(F.col("text")))
     parts = F.sort_array(F.collect_list(F.struct("pos", block.alias("b"))))
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
+
+
+def joined_text(pages: DataFrame) -> DataFrame:
+    """Per document the stripped non-blank pages in order, blank lines between; empty without any."""
+    bare = X.strip(F.col("text"))
+    parts = F.sort_array(F.collect_list(F.when(bare != "", F.struct("pos", bare.alias("b")))))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("text"))
+
+
+def distinct_fonts(spans: DataFrame) -> DataFrame:
+    """Fonts of each page ``(doc_id, page_number, pos, font, size, flags, color)``: the first span of each font, size and flags."""
+    first = F.min_by("color", "pos").alias("color")
+    return spans.groupBy("doc_id", "page_number", "font", "size", "flags").agg(first, F.min("pos").alias("first_pos"))
+
+
+def summary_line(result: DataFrame) -> DataFrame:
+    """One line of text per run ``(file_name, success, total_pages, total_characters, processing_time, method)``."""
+    good = F.format_string("%s: %d pages, %s characters, %.2f s, %s", "file_name", "total_pages", F.format_number("total_characters", 0), "processing_time", "method")
+    return result.select("file_name", F.when(F.col("success"), good).otherwise(F.concat(F.col("file_name"), F.lit(": failed"))).alias("line"))

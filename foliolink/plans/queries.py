@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from ..operators import chunk, compare, consolidate, layout, models, resolve, route
+from ..operators import chunk, compare, consolidate, images, layout, models, resolve, route
 from ..sources import pages as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,16 +178,16 @@ def consensus_mode(spark, sf_dir):
 
 @query(
     f"""WITH {ORDER_RUNS}, s AS (
-  SELECT doc_id, count(*) AS n_algorithms, round(avg(total_patients), 6) AS average_patients, round(avg(total_entries), 6) AS average_entries,
-    round(avg(processing_time), 6) AS average_processing_time, round(avg(average_confidence), 6) AS average_confidence,
-    round(max(processing_time) - min(processing_time), 6) AS processing_time_range
+  SELECT doc_id, count(*) AS n_algorithms, round(avg(total_patients), 3) AS average_patients, round(avg(total_entries), 3) AS average_entries,
+    round(avg(processing_time), 3) AS average_processing_time, round(avg(average_confidence), 3) AS average_confidence,
+    round(max(processing_time) - min(processing_time), 3) AS processing_time_range
   FROM r GROUP BY doc_id)
-SELECT * FROM s JOIN m USING (doc_id)"""
+SELECT s.*, consensus_patients, round(agreement_percentage, 3) AS agreement_percentage, min_patients, max_patients FROM s JOIN m ON s.doc_id = m.doc_id"""
 )
 def comparison_analysis(spark, sf_dir):
     made = compare.comparison(order_runs(spark, sf_dir))
     rounded = ("average_patients", "average_entries", "average_processing_time", "average_confidence", "processing_time_range", "agreement_percentage")
-    return made.withColumns({c: F.round(c, 6) for c in rounded})
+    return made.withColumns({c: F.round(c, 3) for c in rounded})
 
 
 def event_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -811,3 +811,69 @@ def regex_fallback(spark, sf_dir):
 def greedy_json(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("json", X.greedy_json(F.col("props")))
     return events.select("event_id", F.coalesce(F.get_json_object("json", "$.k"), F.lit("")).alias("k"), "json")
+
+
+# ---- images and layout text --------------------------------------------------------------
+
+
+@query(
+    """WITH i AS (SELECT p_partkey, CAST(500 + p_partkey * 37 % 6000 AS INTEGER) AS w, CAST(500 + p_partkey * 53 % 6000 AS INTEGER) AS h, p_size FROM part)
+SELECT p_partkey, CAST(least(300, CASE WHEN p_size % 5 * 72 < 216 THEN floor(d * 1.3::DOUBLE) ELSE d END) AS INTEGER) AS dpi
+FROM (SELECT *, coalesce(map {'id_card': 250, 'aadhar': 200, 'pan': 200, 'text': 150, 'resume': 180, 'general': 200}[['text', 'id_card', 'other', 'resume'][p_partkey % 4 + 1]], 200) AS d FROM i)"""
+)
+def dpi_choice(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("text", "id_card", "other", "resume"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return part.select("p_partkey", images.render_dpi(kind, F.col("p_size") % 5 * 72, F.lit(792)).alias("dpi"))
+
+
+_KNOWN = ", ".join(f"({k}, {w}, {h}, {d})" for k, (w, h, d) in enumerate(images.KNOWN_SIZES))
+IMAGE_SIZES = f"""s(k, sw, sh, sd) AS (VALUES {_KNOWN}),
+i AS (SELECT p_partkey, CAST(500 + p_partkey * 37 % 6000 AS INTEGER) AS width, CAST(500 + p_partkey * 53 % 6000 AS INTEGER) AS height FROM part),
+m AS (
+  SELECT p_partkey, arg_min(sd, k) FILTER (abs(width - sw) < 50 AND abs(height - sh) < 50) AS e,
+    arg_min(sd, k) FILTER (abs(height / width - sh / sw) < 0.1::DOUBLE AND abs(width - sw) / sw < 0.2::DOUBLE AND abs(height - sh) / sh < 0.2::DOUBLE) AS a
+  FROM i, s GROUP BY p_partkey),
+d AS (
+  SELECT i.*, greatest(width, height) AS n,
+    coalesce(e, a, CASE WHEN greatest(width, height) >= 4000 THEN 300 WHEN greatest(width, height) >= 2500 THEN 250 WHEN greatest(width, height) >= 1500 THEN 200 ELSE 150 END) AS dpi
+  FROM i JOIN m USING (p_partkey)),
+f AS (SELECT *, 1800::DOUBLE / n AS first, CASE WHEN n > 5000 THEN 120 WHEN n > 3500 THEN 150 ELSE 200 END AS least_dpi FROM d),
+g AS (SELECT *, CASE WHEN dpi * first < least_dpi THEN first * least_dpi / (dpi * first) ELSE first END AS held FROM f),
+h AS (SELECT *, CASE WHEN greatest(floor(width * held), floor(height * held)) > 4000 THEN 3800::DOUBLE / greatest(floor(width * held), floor(height * held)) ELSE 1 END AS safe FROM g)"""
+
+
+@query(
+    f"""WITH {IMAGE_SIZES} SELECT p_partkey, dpi, CASE WHEN n <= 2800 THEN 'none' WHEN n > 3500 THEN 'aggressive' ELSE 'conservative' END AS tier,
+CASE WHEN n <= 2800 THEN 1 ELSE round(held * safe, 6) END AS scale,
+CAST(CASE WHEN n <= 2800 THEN width ELSE floor(floor(width * held) * safe) END AS INTEGER) AS new_width,
+CAST(CASE WHEN n <= 2800 THEN height ELSE floor(floor(height * held) * safe) END AS INTEGER) AS new_height FROM h"""
+)
+def image_downscale(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    sizes = part.select("p_partkey", (500 + F.col("p_partkey") * 37 % 6000).cast("int").alias("width"), (500 + F.col("p_partkey") * 53 % 6000).cast("int").alias("height"))
+    made = images.downscale(sizes).withColumn("dpi", images.source_dpi(F.col("width"), F.col("height")))
+    return made.select("p_partkey", "dpi", "tier", F.round("scale", 6).alias("scale"), "new_width", "new_height")
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS page_number, l_returnflag AS font, l_quantity AS size, l_linestatus AS flags, arg_min(l_partkey, l_partkey) AS color, min(l_partkey) AS first_pos FROM lineitem GROUP BY ALL")
+def distinct_fonts(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem")
+    spans = i.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("font"),
+        F.col("l_quantity").alias("size"), F.col("l_linestatus").alias("flags"), F.col("l_partkey").alias("color"),
+    )
+    return route.distinct_fonts(spans)
+
+
+@query(
+    """SELECT conv_id AS doc_id, md5(coalesce(string_agg(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) FILTER (trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''), '')) AS text_md5
+FROM conversations GROUP BY conv_id"""
+)
+def text_only_scan(spark, sf_dir):
+    return route.joined_text(turn_pages(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT conv_id AS doc_id, turn + 1 AS page_number, text FROM conversations WHERE turn < 2")
+def first_pages(spark, sf_dir):
+    return route.first_pages(turn_pages(spark, sf_dir), 2).select("doc_id", F.col("page_number").cast("long").alias("page_number"), "text")

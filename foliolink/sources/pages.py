@@ -117,3 +117,21 @@ def selected_pages(pages: DataFrame, selection: str) -> DataFrame:
     spans = spark.range(1).select(F.explode(F.split(F.lit(selection), ",")).alias("s")).select(F.regexp_extract_all("s", F.lit(r"(\d+)"), F.lit(1)).alias("n")).where("size(n) > 0")
     wanted = spans.select(F.explode(F.sequence(F.col("n")[0].cast("int"), F.element_at("n", -1).cast("int"))).alias("page_number")).distinct()
     return pages.join(wanted, "page_number", "left_semi")
+
+
+def clear_cache(spark: SparkSession, path: str, prefix: str | None = None) -> int:
+    """Deletes kept documents, all or those whose stem begins with ``prefix``; returns how many stems went."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        name = status.getPath().getName()
+        if name.startswith("stem=" + (prefix or "")) and fs.delete(status.getPath(), True):
+            gone += 1
+    return gone
+
+
+def image_base64(images: DataFrame) -> DataFrame:
+    """``path`` and the file's bytes as base64, for models that read images."""
+    return images.select("path", F.base64("content").alias("image"))
