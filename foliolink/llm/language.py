@@ -52,7 +52,7 @@ class TextModel:
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_languages: int = 64) -> TextModel:
     """Counts trigrams per language over a bounded sample of labelled rows.
 
-    About ``max_rows`` labelled rows at most are drawn by a hash of the id, evenly over languages; rows
+    About ``max_rows`` labelled rows at most are drawn by a hash of id and text, evenly over languages; rows
     with a null or blank label or a null text are no examples; without any example the only
     language is ``und``. The model has a fixed number
     of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name).
@@ -63,7 +63,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
         return TextModel(("und",), np.zeros((BUCKETS, 1), np.float32))
     languages = tuple(sorted(r["label"] for r in sizes))
     share = {r["label"]: min(1.0, max_rows / len(sizes) / r["count"]) for r in sizes}
-    draw = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.lit(3), F.col("id"), F.col("text")), F.lit(1_000_000)) / 1e6
     part_of = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("label"))
     sample = labelled.where(F.col("label").isin(*languages)).where(draw < part_of)
 
