@@ -107,8 +107,8 @@ def members(pages: DataFrame, plans: DataFrame) -> DataFrame:
 def chunk_list(plans: DataFrame, legacy: bool = False) -> DataFrame:
     """One row per chunk: ``doc_id, chunk_id, first_pos, n_pages``.
 
-    ``legacy`` keeps starting chunks, by the same step, until one would start past the last page less nothing: its
-    tail is one chunk longer, made of pages that the chunk before holds too.
+    ``legacy`` plans end with one chunk more, the last overlap once again, as documents that are cut
+    at all were planned before.
     """
     n, p, s = F.col("total_pages"), F.col("pages_per_chunk"), F.col("step")
     tail = F.when(F.lit(legacy) & (n > p), 1).otherwise(0)

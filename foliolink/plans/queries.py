@@ -155,14 +155,14 @@ def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("algorithm")).agg(
         F.count("*").alias("total_patients"),
         F.count_distinct("o_orderstatus").alias("total_entries"),
-        (F.sum("o_totalprice") / 100000).alias("processing_time"),
-        (F.max("o_totalprice") / 1000000).alias("average_confidence"),
+        F.sum("o_totalprice").alias("processing_time"),
+        F.max("o_totalprice").alias("average_confidence"),
     )
 
 
 ORDER_RUNS = """r AS (
   SELECT o_custkey AS doc_id, o_orderpriority AS algorithm, count(*) AS total_patients, count(DISTINCT o_orderstatus) AS total_entries,
-    sum(o_totalprice) / 100000 AS processing_time, max(o_totalprice) / 1000000 AS average_confidence
+    sum(o_totalprice) AS processing_time, max(o_totalprice) AS average_confidence
   FROM orders GROUP BY 1, 2),
 v AS (SELECT doc_id, total_patients, count(*) AS votes FROM r GROUP BY 1, 2),
 m AS (
@@ -178,16 +178,16 @@ def consensus_mode(spark, sf_dir):
 
 @query(
     f"""WITH {ORDER_RUNS}, s AS (
-  SELECT doc_id, count(*) AS n_algorithms, round(avg(total_patients), 3) AS average_patients, round(avg(total_entries), 3) AS average_entries,
-    round(avg(processing_time), 3) AS average_processing_time, round(avg(average_confidence), 3) AS average_confidence,
-    round(max(processing_time) - min(processing_time), 3) AS processing_time_range
+  SELECT doc_id, count(*) AS n_algorithms, round(avg(total_patients), 4) AS average_patients, round(avg(total_entries), 4) AS average_entries,
+    round(avg(processing_time), 4) AS average_processing_time, round(avg(average_confidence), 4) AS average_confidence,
+    round(max(processing_time) - min(processing_time), 4) AS processing_time_range
   FROM r GROUP BY doc_id)
-SELECT s.*, consensus_patients, round(agreement_percentage, 3) AS agreement_percentage, min_patients, max_patients FROM s JOIN m ON s.doc_id = m.doc_id"""
+SELECT s.*, consensus_patients, round(agreement_percentage, 4) AS agreement_percentage, min_patients, max_patients FROM s JOIN m ON s.doc_id = m.doc_id"""
 )
 def comparison_analysis(spark, sf_dir):
     made = compare.comparison(order_runs(spark, sf_dir))
     rounded = ("average_patients", "average_entries", "average_processing_time", "average_confidence", "processing_time_range", "agreement_percentage")
-    return made.withColumns({c: F.round(c, 3) for c in rounded})
+    return made.withColumns({c: F.round(c, 4) for c in rounded})
 
 
 def event_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def engine_summary(spark, sf_dir):
 m AS (
   SELECT doc_id, coalesce(ok, []) AS ok, list_contains(coalesce(ok, []), 'purchase') AS agreed, list_contains(coalesce(ok, []), 'scanned') AS scanned FROM s)
 SELECT doc_id, CASE WHEN agreed THEN 'purchase' WHEN scanned THEN 'scanned' ELSE coalesce(ok[1], 'none') END AS method,
-  CASE WHEN agreed THEN 0.9 WHEN scanned THEN 0.8 WHEN len(ok) > 0 THEN 0.6 ELSE 0.0 END AS confidence,
+  CAST(CASE WHEN agreed THEN 0.9 WHEN scanned THEN 0.8 WHEN len(ok) > 0 THEN 0.6 ELSE 0.0 END AS DOUBLE) AS confidence,
   array_to_string(list_filter(ok, lambda x: x <> CASE WHEN agreed THEN 'purchase' WHEN scanned THEN 'scanned' ELSE coalesce(ok[1], 'none') END), ',') AS alternatives
 FROM m"""
 )
@@ -282,7 +282,7 @@ def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH t AS (SELECT conv_id AS doc_id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS x FROM conversations),
 d AS (SELECT doc_id, count(*) AS total_pages, count(*) FILTER (x <> '') AS pages_with_text, CAST(coalesce(sum(length(x)) FILTER (x <> ''), 0) AS BIGINT) AS total_text_length FROM t GROUP BY doc_id)
 SELECT *, CASE WHEN pages_with_text > 0 AND total_text_length >= 300 THEN 'scanned' ELSE 'ocr' END AS method,
-  CASE WHEN pages_with_text > 0 AND total_text_length >= 300 THEN CASE WHEN pages_with_text / total_pages > 0.5 THEN 0.9 ELSE 0.7 END ELSE 0.8 END AS confidence FROM d"""
+  CAST(CASE WHEN pages_with_text > 0 AND total_text_length >= 300 THEN CASE WHEN pages_with_text / total_pages > 0.5 THEN 0.9 ELSE 0.7 END ELSE 0.8 END AS DOUBLE) AS confidence FROM d"""
 )
 def route_decision(spark, sf_dir):
     made = route.route(route.page_coverage(turn_pages(spark, sf_dir)), min_text=300, prefer_scanned=False)
