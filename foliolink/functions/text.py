@@ -304,7 +304,8 @@ def fenced_json(c: Column) -> Column:
         lambda a: a["end"],
     )
     tail = F.regexp_replace(body, r"(?s)^[^{]*", "")
-    return F.when(has_fence, strip(fence)).when(opened & (depth > 0), F.substring(tail, F.lit(1), depth))
+    balanced = F.element_at(F.transform(F.array(depth), lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n))), 1)  # one fold
+    return F.when(has_fence, strip(fence)).when(opened, balanced)
 
 
 def _brace_step(a: Column, ch: Column) -> Column:

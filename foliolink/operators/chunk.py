@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -144,31 +145,38 @@ def merge_chunks(groups: DataFrame, strict: bool = False) -> DataFrame:
     In order of chunk and person each takes the number of the first person before it with
     the same signature, else of the first that shares ``min(2, words - 1)`` words and has the
     same date or none on either side; else a new one. ``strict`` wants one common word at
-    least. Chunks of a document list few people, so a document's meet in one task.
+    least. Rows stream through sorted by document, chunk and person; only the people of the
+    document at hand are kept in memory.
     """
     doc, chunk = dict(groups.dtypes)["doc_id"], dict(groups.dtypes)["chunk_id"]
     person = dict(groups.dtypes)["person_no"]
     signed = groups.select("doc_id", "chunk_id", "person_no", X.collapse(F.col("full_name")).alias("name"), X.chunk_dob(F.col("dob")).alias("date"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["chunk_id", "person_no"], kind="stable")
+    schema = f"doc_id {doc}, chunk_id {chunk}, person_no {person}, merged_no int"
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: list[tuple[str, str, set]] = []
-        out = []
-        for name, date in zip(part["name"], part["date"]):
-            words = set(name.split())
-            need = min(2, len(name.split()) - 1)
-            need = max(1, need) if strict else need
-            exact = (k for k, (n, d, _) in enumerate(known) if (n, d) == (name, date))
-            alike = (k for k, (_, d, w) in enumerate(known) if len(words & w) >= need and (not date or not d or date == d))
-            at = next(exact, None)
-            at = next(alike, None) if at is None else at
-            if at is None:
-                at = len(known)
-                known.append((name, date, words))
-            out.append(at + 1)
-        return part[["doc_id", "chunk_id", "person_no"]].assign(merged_no=out)
-
-    numbered = signed.groupBy("doc_id").applyInPandas(fold, f"doc_id {doc}, chunk_id {chunk}, person_no {person}, merged_no int")
+        now = object()
+        for part in parts:
+            out = []
+            for key, name, date in zip(part["doc_id"], part["name"], part["date"]):
+                if key != now:
+                    now, known = key, []
+                words = set(name.split())
+                need = min(2, len(name.split()) - 1)
+                need = max(1, need) if strict else need
+                exact = (k for k, (n, d, _) in enumerate(known) if (n, d) == (name, date))
+                alike = (k for k, (_, d, w) in enumerate(known) if len(words & w) >= need and (not date or not d or date == d))
+                at = next(exact, None)
+                at = next(alike, None) if at is None else at
+                if at is None:
+                    at = len(known)
+                    known.append((name, date, words))
+                out.append(at + 1)
+            yield part[["doc_id", "chunk_id", "person_no"]].assign(merged_no=out)
+
+    ordered = signed.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_id", "person_no")
+    numbered = ordered.mapInPandas(fold, schema)
     return groups.join(numbered, ["doc_id", "chunk_id", "person_no"])
 
 

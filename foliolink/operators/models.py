@@ -97,16 +97,16 @@ def parse_replies(replies: DataFrame, simple: bool = False) -> DataFrame:
     never null.
     """
     found = X.greedy_json(F.col("reply")) if simple else X.fenced_json(F.col("reply"))
-    parsed = F.from_json(found, RECORD)
+    parsed = F.col("_parsed")
     plain = X.text_fallback(F.col("reply"))
     ok = F.coalesce(parsed["patient"].isNotNull() | parsed["doctor"].isNotNull(), F.lit(False))
     patient = F.struct(*[F.when(F.col("_ok"), X.strip(F.col("_parsed.patient")[f])).otherwise(F.col("_plain")[f] if f in ("phone", "mobile_landline", "dob") else F.lit("")).alias(f) for f in _fields("patient")])
     doctor = F.struct(F.when(F.col("_ok"), X.record_npi(F.col("_parsed.doctor.npi"))).otherwise(X.record_npi(F.col("_plain.npi"))).alias("npi"))
     insurance = F.struct(*[X.strip(F.col("_parsed.insurance")[f]).alias(f) for f in _fields("insurance")])
     dme = F.struct(X.strip(F.col("_parsed.dme.dme_id")).alias("dme_id"), F.coalesce(F.col("_parsed.dme.items"), F.array().cast("array<struct<item_name:string,item_quantity:string>>")).alias("items"))
-    staged = replies.withColumns({"_parsed": parsed, "_plain": plain, "_ok": ok})
+    staged = replies.withColumn("_found", found).withColumn("_parsed", F.from_json("_found", RECORD)).withColumns({"_plain": plain, "_ok": ok})
     staged = staged.withColumn("record", F.struct(patient.alias("patient"), doctor.alias("doctor"), insurance.alias("insurance"), dme.alias("dme")))
-    return staged.withColumn("record", tidy_record(F.col("record"))).withColumnRenamed("_ok", "parse_ok").drop("_parsed", "_plain")
+    return staged.withColumn("record", tidy_record(F.col("record"))).withColumnRenamed("_ok", "parse_ok").drop("_found", "_parsed", "_plain")
 
 
 def _fields(part: str) -> tuple[str, ...]:
