@@ -99,6 +99,47 @@ def test_simhash_edges(spark):
     assert simhash.keep_one(rows).columns == rows.columns
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+
+
+def test_near_duplicate_stage_finds_all_at_similarity(spark, awkward):
+    """The stage against brute force over 5-word shingles: texts at 0.8 to 1, chains and a crowded group, of which SimHash's 3 bits miss most."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = list(awkward)
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(6, 150))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    base = [f"g{k}" for k in range(80)]
+    texts += [" ".join(base[:at] + [f"x{at}"] + base[at + 1 :]) for at in range(0, 80, 2)]
+    sets = [plain_shingles(t) for t in texts]
+    root = plain_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    rows = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(rows).collect()}
+    assert got == root
+    kept = corpus_pipeline.near_duplicate_stage(spark, rows, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == rows.columns
+
+
+def test_near_copies_edges(spark):
+    assert simhash.near_copies(docs(spark, [])).count() == 0
+    rows = docs(spark, ["a b c", "A b\tc", None, "", "a b c"], ids=[None, 4, 9, 8, 4])
+    got = sorted((str(r.doc_id), r.component_id) for r in simhash.near_copies(rows).collect())
+    assert got == [("4", 4), ("4", 4), ("8", 8), ("9", 8), ("None", 4)]
+
+
 # ---- 2 mixing ----------------------------------------------------------------------------
 
 
