@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import fresh, store
 
 BUCKETS = 1 << 16
+#: Standard errors by which a text's mean may be below the bound of the open-set test.
+ALLOWANCE = 2.0
 _GAP = re.compile(r"[\W\d_]+")
 _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 
@@ -36,17 +38,62 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Trigram log-likelihoods: a row per bucket, a column per language."""
+    """Trigram log-likelihoods: a row per bucket, a column per language; ``bound`` of the open-set test: ``(lowest mean, spread of a trigram)``."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    bound: tuple[float, float] | None = None
 
     def score(self, text: str | None, effective: int) -> tuple[np.ndarray, int]:
         """Log-likelihood per language, as if from ``effective`` trigrams at most (they aren't independent), and the number there are."""
+        return self.judge(text, effective)[:2]
+
+    def judge(self, text: str | None, effective: int) -> tuple[np.ndarray, int, bool]:
+        """:meth:`score`, and the open-set test: whether the trigrams, each in its best language, are as likely as those of labelled texts. A text that mixes trained languages passes."""
         found = grams(text)
         if not len(found):
-            return np.zeros(len(self.languages)), 0
-        return self.table[found].sum(0, dtype=np.float64) * (min(len(found), effective) / len(found)), len(found)
+            return np.zeros(len(self.languages)), 0, True
+        logs = self.table[found]
+        lowest, spread = self.bound or (-np.inf, 0.0)
+        fits = logs.max(1).mean(dtype=np.float64) >= lowest - ALLOWANCE * spread / np.sqrt(len(found))
+        return logs.sum(0, dtype=np.float64) * (min(len(found), effective) / len(found)), len(found), bool(fits)
+
+
+def _fit_bound(sample: DataFrame, languages: tuple[str, ...], counts: np.ndarray) -> tuple[float, float]:
+    """The lowest mean log-likelihood a trigram of labelled texts, each scored without its own counts, and the spread of a trigram.
+
+    A short text may be ``ALLOWANCE`` standard errors lower, and any a quarter of the way from
+    the mean to a text of unseen trigrams only, so that a uniform sample doesn't shut out
+    other texts. Labelled rows beyond the middle of that way are no examples, so garbage among
+    them can't lower the bound further.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast((counts, counts.sum(0)))
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counted, sums = shared.value
+        for part in parts:
+            rows = []
+            for label, text in zip(part["label"], part["text"]):
+                found = grams(text)
+                if not len(found):
+                    continue
+                own = languages.index(label)
+                kinds, times = np.unique(found, return_counts=True)
+                rest, total = counted[kinds].astype(np.float64), sums.copy()
+                rest[:, own] -= times
+                total[own] -= len(found)
+                logs = np.log((rest + 0.5) / (total + 0.5 * BUCKETS)).max(1)
+                mean = (logs * times).sum() / len(found)
+                rows.append((len(found), mean, ((logs - mean) ** 2 * times).sum() / len(found)))
+            yield pd.DataFrame(rows, columns=["n", "mean", "spread"])
+
+    got = sample.select("label", "text").mapInPandas(measure, "n int, mean double, spread double").toPandas()  # at most a row per sampled row
+    if not len(got):
+        return -np.inf, 0.0
+    spread = float(np.sqrt(np.average(got["spread"], weights=got["n"])))
+    mean, unseen = np.average(got["mean"], weights=got["n"]), float(np.log(0.5 / (counts.sum(0).min() + 0.5 * BUCKETS)))
+    eased = got["mean"] + ALLOWANCE * spread / np.sqrt(got["n"])
+    return float(min(mean + (unseen - mean) / 4, *eased[eased >= (mean + unseen) / 2])) - 1e-3, spread  # less the table's rounding
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_languages: int = 64) -> TextModel:
@@ -55,7 +102,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     About ``max_rows`` labelled rows at most are drawn by a hash of id and text, evenly over languages; rows
     with a null or blank label or a null text are no examples; without any example the only
     language is ``und``. The model has a fixed number
-    of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name).
+    of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name), and one bound of the open-set test.
     """
     labelled = docs.select(F.lower(F.trim(F.col(label_col))).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("label <> '' and text is not null")
     sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
@@ -76,10 +123,11 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
         yield pd.DataFrame({"of": of, "bucket": bucket, "n": totals[of, bucket]})
 
     counts = sample.select("label", "text").mapInPandas(count, "of int, bucket int, n long").groupBy("of", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((BUCKETS, len(languages)), 0.5)
+    counted = np.zeros((BUCKETS, len(languages)), np.int32)
     got = counts.toPandas()  # at most BUCKETS rows a language
-    table[got["bucket"].to_numpy(int), got["of"].to_numpy(int)] += got["n"].to_numpy(float)
-    return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32))
+    counted[got["bucket"].to_numpy(int), got["of"].to_numpy(int)] = got["n"].to_numpy(int)
+    table = counted + 0.5
+    return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32), _fit_bound(sample, languages, counted))
 
 
 def identify(
@@ -104,13 +152,15 @@ def identify(
     with the overall prior. A row's own part is taken out of its host's and suffix's sums, so a text is not
     counted twice. Missing evidence (null or blank declared language, suffix or host, text
     without letters) leaves the other evidence; a row without any is ``und``, and so is one
-    whose best posterior is below ``min_confidence``. Repeated rows and null ids give a row
+    whose best posterior is below ``min_confidence``. The posterior is among the trained
+    languages; a text that fails the model's open-set test is in none of them, so its row is
+    ``und`` with confidence 0 and no ``text_lang``, and it counts in no sum. Repeated rows and null ids give a row
     each; an empty table gives an empty table.
     """
     langs, n = model.languages, len(model.languages)
     blank = F.lit(None).cast("string")
     clean = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
-    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table))
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bound))
     named = rows.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
@@ -119,19 +169,19 @@ def identify(
         (clean(host) if host is not None else blank).alias("host"),
     )
     kept = [f.simpleString().split(":", 1) for f in named.schema if f.name != "text"]
-    schema = ", ".join(f"{c} {kind}" for c, kind in kept) + ", n_grams int, score array<double>"
+    schema = ", ".join(f"{c} {kind}" for c, kind in kept) + ", n_grams int, fits boolean, score array<double>"
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TextModel(*shared.value)
         for part in parts:
-            got = [known.score(text_of(t) if markup else t, effective) for t in part["text"]]
-            yield part.drop(columns="text").assign(n_grams=[k for _, k in got], score=[s for s, _ in got])
+            got = [known.judge(text_of(t) if markup else t, effective) for t in part["text"]]
+            yield part.drop(columns="text").assign(n_grams=[k for _, k, _ in got], fits=[fits for _, _, fits in got], score=[s for s, _, _ in got])
 
     scored = named.mapInPandas(read, schema)
     top = F.array_max("score")
     soft = F.transform("score", lambda s: F.exp(s - top))
     mass = F.aggregate(soft, F.lit(0.0), lambda a, x: a + x)
-    seen = F.when(F.col("n_grams") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    seen = F.when((F.col("n_grams") > 0) & F.col("fits"), F.lit(1.0)).otherwise(F.lit(0.0))
     part = store(scored.withColumn("post", F.transform(soft, lambda x: x / mass * seen)), "text_scores")
 
     sums = lambda: F.array(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)) for i in range(n)])
@@ -164,11 +214,11 @@ def identify(
     names = F.array(*[F.lit(x) for x in langs])
     best = F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int"))
     known = (F.col("n_grams") > 0) | F.coalesce("d_key", "h_key", "s_key").isNotNull()
-    text_best = F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
+    text_best = F.when((F.col("n_grams") > 0) & F.col("fits"), F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
     return joined.select(
         F.col("id").alias(id_col),
-        F.when((F.col("confidence") >= min_confidence) & known, best).otherwise(F.lit("und")).alias("lang"),
-        F.round("confidence", 6).alias("confidence"),
+        F.when((F.col("confidence") >= min_confidence) & known & F.col("fits"), best).otherwise(F.lit("und")).alias("lang"),
+        F.when(F.col("fits"), F.round("confidence", 6)).otherwise(F.lit(0.0)).alias("confidence"),
         text_best.alias("text_lang"),
         "n_grams",
         "declared",
@@ -188,7 +238,8 @@ def page_languages(pages: DataFrame, model: TextModel, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` in which a language can be told, with the declared one as evidence and the source as host.
 
-    Rejected: rows without letters, and rows whose best posterior is below ``min_confidence``.
+    Rejected: rows without letters, rows whose best posterior is below ``min_confidence``, and
+    rows that fail the open-set test.
     Rows with a null id stay, as nothing tells their results apart.
     """
     model = train(docs, text_col, lang_col, id_col)

@@ -249,6 +249,28 @@ def test_language_filter(spark):
     assert language.keep_identified(rows.limit(0)).count() == 0
 
 
+#: Texts in no language of TEXT: other languages and scripts, random letters.
+FOREIGN = [
+    "日本語の文章です。これはテストです、よろしくお願いします",
+    "Привет мир, это русский текст для проверки языка",
+    "xkcd qwrtz bcdfg hjklm pqrst vwxzk lmnbv gfdsq zxcvb",
+    "tämä on suomenkielinen lause jota malli ei ole nähnyt",
+]
+
+
+def test_language_open_set(spark, model):
+    """Texts of no trained language are und in documents and pages, whatever is declared; a text of garbage among the labelled changes nothing."""
+    texts = [t for t in TEXT.values() for _ in range(10)] + FOREIGN
+    langs = [k for k in TEXT for _ in range(10)] + ["en"] * len(FOREIGN)
+    rows = spark.createDataFrame([(k, t, d, "s") for k, (t, d) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(rows, model, "doc_id", "text", F.col("lang"), None, F.col("source")).collect()}
+    assert [got[k].lang for k in range(30)] == langs[:30]
+    assert {(got[k].lang, got[k].confidence, got[k].text_lang) for k in range(30, len(texts))} == {("und", 0.0, None)}
+    pages = spark.createDataFrame([(k, "http://a.example.de/", f'<html lang="de"><p>{t}') for k, t in enumerate([TEXT["de"], *FOREIGN])], "page_id long, url string, html string")
+    assert [r.lang for r in language.page_languages(pages, model).orderBy("page_id").collect()] == ["de"] + ["und"] * len(FOREIGN)
+    assert {r.doc_id for r in language.keep_identified(rows).collect()} == set(range(30))
+
+
 # ---- 4 chat ------------------------------------------------------------------------------
 
 
