@@ -534,6 +534,21 @@ def test_html_host_boilerplate(spark):
     assert html_text.main_text(rows.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_boilerplate(spark):
+    """Copies and near copies under different ids and addresses keep their text; a passage of two pages stays; a run of three contents goes."""
+    rng = random.Random(4)
+    boiler = " ".join(f"menu{k}" for k in range(15))
+    article = [f"art{k}" for k in range(200)]
+    near = [" ".join(article[: 40 * k] + [f"edit{k}"] + article[40 * k + 1 :]) for k in range(5)]
+    passage = " ".join(f"quote{k}" for k in range(30))
+    own = [" ".join(f"own{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    texts = [" ".join(article)] * 4 + near + [f"{passage} {own[0]}", f"{own[1]} {passage}"] + own[2:]
+    pages = [(k, f"http://h.example/{k}", f"<body><div>{boiler}</div><div>{t}</div></body>") for k, t in enumerate(texts)]
+    pages += [(50 + k, f"http://copies.example/{k}", f"<p>{near[0]}</p>") for k in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(texts)) | {50 + k: near[0] for k in range(4)}
+
+
 # ---- queries and pipeline ----------------------------------------------------------------
 
 
