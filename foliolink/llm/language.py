@@ -102,12 +102,16 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     About ``max_rows`` labelled rows at most are drawn by a hash of id and text, evenly over languages; rows
     with a null or blank label or a null text are no examples; without any example the only
     language is ``und``. The model has a fixed number
-    of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name), and one bound of the open-set test.
+    of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name); the rows of all
+    other labels are one more, ``und``, so that texts like them are identified as that. There is one bound of the open-set test.
     """
     labelled = docs.select(F.lower(F.trim(F.col(label_col))).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("label <> '' and text is not null")
-    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()
+    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages + 1).collect()
     if not sizes:
         return TextModel(("und",), np.zeros((BUCKETS, 1), np.float32))
+    if len(sizes) > max_languages:
+        labelled = labelled.withColumn("label", F.when(F.col("label").isin(*[r["label"] for r in sizes[:-1]]), F.col("label")).otherwise(F.lit("und")))
+        sizes = labelled.groupBy("label").count().orderBy("label").collect()
     languages = tuple(sorted(r["label"] for r in sizes))
     share = {r["label"]: min(1.0, max_rows / len(sizes) / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit(3), F.col("id"), F.col("text")), F.lit(1_000_000)) / 1e6

@@ -271,6 +271,15 @@ def test_language_open_set(spark, model):
     assert {r.doc_id for r in language.keep_identified(rows).collect()} == set(range(30))
 
 
+def test_language_beyond_the_bound(spark):
+    """Rows in labels beyond max_languages are und, not one of the languages within."""
+    more = TEXT | {"fi": "tämä on suomenkielinen lause jota malli oppii vain yhteisenä muiden kanssa tässä", "tr": "bu cümle türkçe yazılmış ve dil tanıma için kullanılan bir örnektir"}
+    rows = spark.createDataFrame([(100 * i + k, t, lang) for i, (lang, t) in enumerate(more.items()) for k in range(20 - i)], "doc_id long, text string, lang string")
+    model = language.train(rows, max_languages=3)
+    got = {(r.text, r.lang) for r in language.identify(rows, model, "doc_id", "text").join(rows.select("doc_id", "text"), "doc_id").collect()}
+    assert got == {(t, lang if lang in TEXT else "und") for lang, t in more.items()} and len(model.languages) == 4
+
+
 # ---- 4 chat ------------------------------------------------------------------------------
 
 
