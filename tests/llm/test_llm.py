@@ -529,6 +529,20 @@ def test_html_structure(page, want):
     assert "\n".join(t for k, t in html_text.blocks_of(page) if k in (html_text.CONTENT, html_text.OTHER)) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article>a<datalist><option>x<option>y</datalist><p>b</article>", "a\nb"),
+        ("<article>a<select><option>x<option>y</select><p>b<select><option>z</option></select></article>", "a\nb"),
+        ("<article>a<video src=v><p>b</article>", "a\nb"),
+        ("<article>a<svg><p>b</article>", "a\nb"),
+        ("<article>a<style>x<p>b</article>", "a"),
+    ],
+)
+def test_html_unclosed(page, want):
+    assert "\n".join(t for k, t in html_text.blocks_of(page) if k in (html_text.CONTENT, html_text.OTHER)) == want
+
+
 def test_html_host_boilerplate(spark):
     boiler = " ".join(f"word{k}" for k in range(20))
     pages = [(k, "http://h.example/x", f"<body><p>{boiler}</p><p>{k} is the own text of this page</p></body>") for k in range(3)]
