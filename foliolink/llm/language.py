@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,18 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, store
+from .common import fresh, join_spread, store
+from .markup import text_of
 
 BUCKETS = 1 << 16
+#: Labels that a model takes, at most: there are fewer codes in ISO 639-1 and 639-2 together.
+MOST_LANGUAGES = 1024
 #: Standard errors by which a text's mean may be below the bound of the open-set test.
 ALLOWANCE = 2.0
 _GAP = re.compile(r"[\W\d_]+")
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-
-
-def text_of(markup: str | None) -> str:
-    """The text of a page, menus and all: enough to count letters."""
-    return html_entities.unescape(_MARKUP.sub(" ", markup or ""))
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -96,20 +92,23 @@ def _fit_bound(sample: DataFrame, languages: tuple[str, ...], counts: np.ndarray
     return float(min(mean + (unseen - mean) / 4, *eased[eased >= (mean + unseen) / 2])) - 1e-3, spread  # less the table's rounding
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_languages: int = 64) -> TextModel:
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, max_languages: int | None = None) -> TextModel:
     """Counts trigrams per language over a bounded sample of labelled rows.
 
     About ``max_rows`` labelled rows at most are drawn by a hash of id and text, evenly over languages; rows
     with a null or blank label or a null text are no examples; without any example the only
-    language is ``und``. The model has a fixed number
-    of buckets for each of at most ``max_languages`` languages (the most frequent, ties by name); the rows of all
-    other labels are one more, ``und``, so that texts like them are identified as that. There is one bound of the open-set test.
+    language is ``und``. Every label is a language, with a fixed number of buckets each (512 KB),
+    so more than ``MOST_LANGUAGES`` labels, too many for codes of languages, are an error. ``max_languages``
+    bounds them to the most frequent (ties by name); the rows of all
+    other labels are then one more, ``und``, so that texts like them are identified as that. There is one bound of the open-set test.
     """
     labelled = docs.select(F.lower(F.trim(F.col(label_col))).alias("label"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("label <> '' and text is not null")
-    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages + 1).collect()
+    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit((max_languages or MOST_LANGUAGES) + 1).collect()
     if not sizes:
         return TextModel(("und",), np.zeros((BUCKETS, 1), np.float32))
-    if len(sizes) > max_languages:
+    if max_languages is None and len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{label_col} has more than {MOST_LANGUAGES} labels; set max_languages")
+    if max_languages is not None and len(sizes) > max_languages:
         labelled = labelled.withColumn("label", F.when(F.col("label").isin(*[r["label"] for r in sizes[:-1]]), F.col("label")).otherwise(F.lit("und")))
         sizes = labelled.groupBy("label").count().orderBy("label").collect()
     languages = tuple(sorted(r["label"] for r in sizes))
@@ -192,9 +191,9 @@ def identify(
     overall = part.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(n)]).first()
     weight = sum(overall) or 1.0
     base = F.array(*[F.lit((overall[i] + 1.0) / (weight + n)) for i in range(n)])
-    by_suffix = part.where("suffix is not null").groupBy(F.col("suffix").alias("s_key")).agg(sums().alias("s_sum"))
-    by_host = part.where("host is not null").groupBy(F.col("host").alias("h_key"), F.col("suffix").alias("h_suffix")).agg(sums().alias("h_sum"))
-    by_declared = part.where("declared is not null").groupBy(F.col("declared").alias("d_key")).agg(sums().alias("d_sum"))
+    by_suffix = part.where("suffix is not null").groupBy("suffix").agg(sums().alias("s_sum"), F.count("*").alias("n"))
+    by_host = part.where("host is not null").groupBy("host", F.coalesce("suffix", F.lit("")).alias("site")).agg(sums().alias("h_sum"), F.count("*").alias("n"))
+    by_declared = part.where("declared is not null").groupBy("declared").agg(sums().alias("d_sum"), F.count("*").alias("n"))
     total_declared = part.where("declared is not null").agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(n)], F.count_distinct("declared").alias("kinds")).first()
 
     def smooth(counts: Column, own: Column, prior: Column) -> Column:
@@ -203,21 +202,23 @@ def identify(
         return F.zip_with(left, prior, lambda c, p: (c + F.lit(smoothing) * p) / (size + F.lit(smoothing)))
 
     none = F.array(*[F.lit(0.0)] * n)
-    joined = (
-        part.join(by_suffix, F.col("suffix") == F.col("s_key"), "left")
-        .join(by_host, (F.col("host") == F.col("h_key")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left")
-        .join(by_declared, F.col("declared") == F.col("d_key"), "left")
-    )
-    joined = joined.withColumn("suffix_prior", F.when(F.col("s_key").isNull(), base).otherwise(smooth(F.coalesce("s_sum", none), F.col("post"), base)))
-    joined = joined.withColumn("prior", F.when(F.col("h_key").isNull(), F.col("suffix_prior")).otherwise(smooth(F.coalesce("h_sum", none), F.col("post"), F.col("suffix_prior"))))
+    joined = part.withColumn("row_key", F.xxhash64("id", "n_grams", "score"))
+    for sums_of, keys in ((by_suffix, ["suffix"]), (by_host, ["host", "site"]), (by_declared, ["declared"])):
+        if keys[-1] == "site":
+            joined = joined.withColumn("site", F.coalesce("suffix", F.lit("")))
+        sums_of = store(sums_of, "evidence")
+        joined = join_spread(joined, sums_of.drop("n"), keys, ["row_key"], sums_of.select(*keys, "n"), "left")
+    has_host, has_suffix, has_declared = F.col("h_sum").isNotNull(), F.col("s_sum").isNotNull(), F.col("d_sum").isNotNull()
+    joined = joined.withColumn("suffix_prior", F.when(~has_suffix, base).otherwise(smooth(F.coalesce("s_sum", none), F.col("post"), base)))
+    joined = joined.withColumn("prior", F.when(~has_host, F.col("suffix_prior")).otherwise(smooth(F.coalesce("h_sum", none), F.col("post"), F.col("suffix_prior"))))
     likely = F.array(*[(F.col("d_sum")[i] + 0.5) / F.lit(total_declared[i] + 0.5 * (total_declared["kinds"] + 1)) for i in range(n)])
-    declared_part = F.when(F.col("d_key").isNull(), none).otherwise(F.transform(likely, lambda x: F.log(x)))
+    declared_part = F.when(~has_declared, none).otherwise(F.transform(likely, lambda x: F.log(x)))
     joined = joined.withColumn("logs", F.zip_with(F.zip_with("score", declared_part, lambda a, b: a + b), "prior", lambda a, p: a + F.log(p)))
     final = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
     joined = joined.withColumn("final", final).withColumn("confidence", F.lit(1.0) / F.aggregate("final", F.lit(0.0), lambda a, x: a + x))
     names = F.array(*[F.lit(x) for x in langs])
     best = F.element_at(names, F.array_position("logs", F.array_max("logs")).cast("int"))
-    known = (F.col("n_grams") > 0) | F.coalesce("d_key", "h_key", "s_key").isNotNull()
+    known = (F.col("n_grams") > 0) | has_declared | has_host | has_suffix
     text_best = F.when((F.col("n_grams") > 0) & F.col("fits"), F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
     return joined.select(
         F.col("id").alias(id_col),
@@ -234,7 +235,8 @@ def identify(
 def page_languages(pages: DataFrame, model: TextModel, **options) -> DataFrame:
     """:func:`identify` for raw pages ``(page_id, url, html)``: declared language from the ``lang`` attribute of ``html``, host and suffix from the address."""
     address = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[^:/?#]*://([^/?#:]*)", 1))
-    declared = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
+    opening = F.substring_index(F.substr(F.col("html"), F.nullif(F.regexp_instr(F.col("html"), F.lit(r"(?i)<html\b")), F.lit(0))), ">", 1)  # scanned once, however broken
+    declared = F.regexp_extract(F.coalesce(opening, F.lit("")), r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)", 1)
     suffix = F.regexp_extract(address, r"([^.]+)$", 1)
     return identify(pages, model, "page_id", "html", declared, suffix, address, markup=True, **options)
 
@@ -244,10 +246,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rejected: rows without letters, rows whose best posterior is below ``min_confidence``, and
     rows that fail the open-set test.
-    Rows with a null id stay, as nothing tells their results apart.
+    Rows with a null id stay, as nothing tells their results apart; rows that repeat an id
+    go with it if one of them is rejected. Spark broadcasts the rejected ids where their table is small.
     """
     model = train(docs, text_col, lang_col, id_col)
     found = identify(docs, model, id_col, text_col, F.col(lang_col), None, F.col(source_col), **options)
     mark = fresh(docs, "unknown")
-    bad = found.where((F.col("lang") == "und") | (F.col("n_grams") == 0)).select(F.col(id_col).alias(mark)).distinct()
+    bad = store(found.where((F.col("lang") == "und") | (F.col("n_grams") == 0)).select(F.col(id_col).alias(mark)).distinct(), "unknown")
     return docs.join(bad, docs[id_col] == bad[mark], "left_anti")

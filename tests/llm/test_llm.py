@@ -406,15 +406,28 @@ def test_quality_measures(spark, awkward):
 
 def test_quality_cascade(spark, awkward):
     rows = docs(spark, awkward)
-    rules = quality.default_rules()
-    alone = {r.name: {x.doc_id for x in rows.where(r.rejects).collect()} for r in rules}
+    measured, rules = quality.measures(rows), quality.default_rules()
+    alone = {r.name: {x.doc_id for x in measured.where(r.rejects).collect()} for r in rules}
     got = {r.doc_id: r.rejected_by for r in quality.apply_rules(rows).collect()}
     assert {k for k, v in got.items() if v} == set().union(*alone.values())
     assert all(k in alone[v] for k, v in got.items() if v)
-    planned = quality.plan_cascade(rows, rules)
-    gain = [planned.rejected[r.name] / max(planned.cost[r.name], 1e-6) for r in planned.rules]
-    assert gain == sorted(gain, reverse=True)
-    assert quality.apply_rules(quality.measures(rows.limit(0))).count() == 0
+    planned = quality.plan_cascade(measured, rules)
+    gain = [planned.rejected[r.name] / planned.cost[r.name] for r in planned.rules]
+    assert gain == sorted(gain, reverse=True) and planned.rejected == pytest.approx({k: len(v) / len(awkward) for k, v in alone.items()})
+    assert quality.apply_rules(rows.limit(0)).count() == 0
+    clash = rows.withColumnRenamed("fp", "n_words").withColumnRenamed("id", "rejected_by")
+    assert {r.doc_id: r._rejected_by is None for r in quality.apply_rules(clash).collect()} == {k: v is None for k, v in got.items()}
+
+
+def test_quality_order_follows_cost_and_rejections(spark):
+    """A dear rule goes behind a cheap one with as many rejections; one that rejects more goes first."""
+    rows = docs(spark, ["a b c d " * 400] * 40)
+    dear = F.length(F.regexp_replace(F.concat_ws(" ", *[F.col("text")] * 60), r"(?:[a-z] )+(?=d)", "")) > 0
+    rules = [quality.Rule("dear", dear), quality.Rule("cheap", F.col("doc_id") >= 0), quality.Rule("rare", F.col("doc_id") == 3)]
+    planned = quality.plan_cascade(quality.measures(rows), rules)
+    assert planned.cost["dear"] > planned.cost["cheap"] and [r.name for r in planned.rules][0] == "cheap"
+    seen = quality.apply_rules(rows, rules).select("rejected_by").distinct().collect()
+    assert [r.rejected_by for r in seen] == ["cheap"]
 
 
 # ---- 8 decontamination -------------------------------------------------------------------
@@ -526,7 +539,7 @@ def test_line_dedup_edges(spark):
     ],
 )
 def test_html_structure(page, want):
-    assert "\n".join(t for k, t in html_text.blocks_of(page) if k in (html_text.CONTENT, html_text.OTHER)) == want
+    assert "\n".join(t for k, t in html_text.blocks_of(page) if k != html_text.NOISY) == want
 
 
 @pytest.mark.parametrize(
@@ -540,7 +553,7 @@ def test_html_structure(page, want):
     ],
 )
 def test_html_unclosed(page, want):
-    assert "\n".join(t for k, t in html_text.blocks_of(page) if k in (html_text.CONTENT, html_text.OTHER)) == want
+    assert "\n".join(t for k, t in html_text.blocks_of(page) if k != html_text.NOISY) == want
 
 
 def test_html_host_boilerplate(spark):
@@ -572,6 +585,108 @@ def test_html_copies_are_no_boilerplate(spark):
     assert got == dict(enumerate(texts)) | {50 + k: near[0] for k in range(4)}
 
 
+def plain_depths(streams, least, min_pages, window):
+    """For each suffix the longest prefix that min_pages contents of its host have, found by counting every prefix."""
+    holders = defaultdict(set)
+    for host, content, stream in streams:
+        for k in range(len(stream)):
+            for n in range(least, min(window, len(stream) - k) + 1):
+                holders[host, tuple(stream[k : k + n])].add(content)
+    return {
+        (host, tuple(stream[k : k + window])): depth
+        for host, _, stream in streams
+        for k in range(len(stream) - least + 1)
+        for depth in [max((n for n in range(least, min(window, len(stream) - k) + 1) if len(holders[host, tuple(stream[k : k + n])]) >= min_pages), default=0)]
+        if depth
+    }
+
+
+@pytest.mark.parametrize("seed,crowded,min_pages", [(0, 10_000, 3), (1, 10_000, 2), (2, 10_000, 3)])
+def test_suffix_array_matches_brute_force(spark, monkeypatch, seed, crowded, min_pages):
+    rng = random.Random(seed)
+    runs = [[rng.choice("abcdef") for _ in range(rng.randrange(3, 20))] for _ in range(6)]
+    streams = []
+    for content in range(30):
+        stream = [x for _ in range(rng.randrange(1, 5)) for x in rng.choice(runs)[rng.randrange(3) :] + [rng.choice("ghijkl")]]
+        streams.append((rng.choice(["h1", "h2", ""]), content, stream))
+    streams += [("h1", 100, ["a"] * 40), ("h1", 101, ["a"] * 30)]
+    rows = [(h, c, bytearray(s)) for h, c, stream in streams for s in html_text.suffixes(html_text._tokens(stream), 3, 7)]
+    got = html_text.repeated_runs(spark.createDataFrame(rows, "host string, content long, suffix binary").repartition(4), 3, min_pages, 7).collect()
+    want = {(h, html_text._tokens(list(key)).tobytes()): d for (h, key), d in plain_depths(streams, 3, min_pages, 7).items()}
+    assert {(r.host, bytes(r.suffix)): r.depth for r in got} == want and len(got) == len(want)
+
+
+def test_suffix_array_in_smaller_pieces(spark, monkeypatch):
+    """Pieces cut further lose no suffix of a repeated prefix."""
+    rng = random.Random(3)
+    streams = [(c, ["a", "b", "c", *(rng.choice("xyz") for _ in range(6))]) for c in range(200)]
+    rows = [("h", c, bytearray(s)) for c, stream in streams for s in html_text.suffixes(html_text._tokens(stream), 3, 7)]
+    table = spark.createDataFrame(rows, "host string, content long, suffix binary")
+    whole = {bytes(r.suffix): r.depth for r in html_text.repeated_runs(table, 3, 3, 7).collect()}
+    monkeypatch.setattr(html_text, "CROWDED", 20)
+    cut = {bytes(r.suffix): r.depth for r in html_text.repeated_runs(table, 3, 3, 7).collect()}
+    assert set(cut) == set(whole) and all(3 <= cut[k] <= whole[k] for k in whole)
+
+
+NOTICE = "please sign up to our weekly letter and never miss a story again"
+
+
+def notice_pages(n):
+    """Articles with a notice that no name marks; other pages of the host have it below their articles."""
+    own = [" ".join(f"own{k}w{j}" for j in range(30)) for k in range(n + 3)]
+    inner = [(k, f"http://n.example/{k}", f"<article><h1>t{k}</h1><p>{own[k]}</p><div>{NOTICE}</div><p>end {k}</p></article>") for k in range(n)]
+    outer = [(n + k, f"http://n.example/{n + k}", f"<article><p>{own[n + k]}</p></article><div>{NOTICE}</div>") for k in range(3)]
+    want = {k: f"t{k}\n{own[k]}\nend {k}" for k in range(n)} | {n + k: own[n + k] for k in range(3)}
+    return inner + outer, want
+
+
+def test_array_decides_within_articles(spark, monkeypatch):
+    pages, want = notice_pages(4)
+    pages += [(90, "http://else.example/", pages[0][2])]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want[90] = want[0].replace("\nend", f"\n{NOTICE}\nend")  # another host has no such run
+    assert {r.page_id: r.text for r in html_text.main_text(rows, within_main=True).collect()} == want
+    whole = {r.page_id: (r.text.count(NOTICE), r.n_repeated) for r in html_text.main_text(rows).collect()}
+    assert whole == {k: (0, 13) if 4 <= k < 7 else (1, 0) for k in want}  # by default the main element is whole
+    none = spark.createDataFrame([], "host string, suffix binary, depth int")
+    monkeypatch.setattr(html_text, "repeated_runs", lambda *_: none)
+    without = {r.page_id: r.text for r in html_text.main_text(rows, within_main=True).collect()}
+    assert without != want and all(NOTICE in without[k] for k in range(4))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", '<a "', '<a b=">', "<svg>", "<a<", "<!--", "<", "<p class='", "<html ", "<option>", "&", "<div>", "<p class=ad>", "<style>x</style "])
+def test_long_broken_markup(part):
+    import time
+
+    from foliolink.llm import markup
+
+    page = part * (1_000_000 // len(part))
+    began = time.perf_counter()
+    html_text.blocks_of(page)
+    markup.text_of(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_array_decides_on_pages_without_structure(spark, monkeypatch):
+    """Unnamed divs: only the array tells a site's frame from a page's own text, and it leaves what two pages share."""
+    rng = random.Random(6)
+    frame = [" ".join(f"frame{k}w{rng.randrange(99)}" for _ in range(9)) for k in range(2)]
+    own = [" ".join(f"own{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    quote = " ".join(f"quote{k}" for k in range(12))
+    texts = [f"{own[k]} {quote}" if k < 2 else own[k] for k in range(6)]
+    pages = [(k, "http://p.example/", f"<body><div>{frame[0]}</div><div>{texts[k]}</div><div>{frame[1]}</div></body>") for k in range(6)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_repeated) for r in html_text.main_text(rows).collect()} == {k: (t, 18) for k, t in enumerate(texts)}
+    monkeypatch.setattr(html_text, "repeated_runs", lambda *_: spark.createDataFrame([], "host string, suffix binary, depth int"))
+    assert {r.page_id: r.text for r in html_text.main_text(rows).collect()} == {k: f"{frame[0]}\n{t}\n{frame[1]}" for k, t in enumerate(texts)}
+
+
+def test_long_page(spark):
+    text = " ".join(f"w{k}" for k in range(200_000))
+    rows = spark.createDataFrame([(1, "http://a.example/", f"<article><p>{text}</p></article>"), (2, None, f"<p>{text}</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(rows).collect()} == {1: text, 2: text}
+
+
 # ---- queries and pipeline ----------------------------------------------------------------
 
 
