@@ -60,20 +60,22 @@ HEAVY = 4096
 LIGHT = 16
 
 
-def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
     """``big.join(small, keys, how)`` (inner, left or left_semi) in which no key of ``big`` is one task.
 
-    ``counts`` has ``n``, the rows of ``big``, per key. Keys with more than one row in
-    ``HEAVY`` (so fewer than ``HEAVY`` keys, and only they are broadcast) are dealt to parts by
-    a hash of the columns ``spread``, and their rows in ``small`` are repeated for each part.
+    ``counts`` has ``n``, the rows of ``big``, per key; ``total`` is their sum, if it is known.
+    Keys with more than one row in ``HEAVY`` (so fewer than ``HEAVY`` keys, and only they are
+    collected and broadcast) are dealt to parts by a hash of the columns ``spread``, and their rows in ``small`` are repeated for each part.
     Null keys match nothing, as in any join.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
     share = max(total / HEAVY, float(LIGHT))
     heavy = counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_parts"))
-    heavy = store(heavy, "heavy")
-    if heavy.isEmpty():
+    found = heavy.collect()  # fewer than HEAVY rows
+    if not found:
         return big.join(small, keys, how)
+    heavy = big.sparkSession.createDataFrame(found, heavy.schema)
     parts = F.coalesce("_parts", F.lit(1))
     dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
     copies = small.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, store
+from .common import join_spread, release, store
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node passes its smallest neighbour to its larger neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-    return both.where("v > u").join(low, "u").select(F.col("low").alias("u"), "v")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+    return join_spread(both.where("v > u"), low.drop("n"), ["u"], ["v"], low.select("u", "n"), total=n).select(F.col("low").alias("u"), "v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node passes the smallest of its smaller neighbours to itself and to the others of them."""
-    low = edges.groupBy("v").agg(F.min("u").alias("low"))
-    moved = edges.join(low, "v").where("u <> low").select(F.col("low").alias("u"), F.col("u").alias("v"))
+    low = edges.groupBy("v").agg(F.min("u").alias("low"), F.count("*").alias("n"))
+    moved = join_spread(edges, low.drop("n"), ["v"], ["u"], low.select("v", "n"), total=n).where("u <> low").select(F.col("low").alias("u"), F.col("u").alias("v"))
     return moved.unionAll(low.select(F.col("low").alias("u"), "v"))
 
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges are allowed; an edge with a null end is no edge. Returns ``(node, root)`` for
     every node that has an edge to another node; an empty table gives an empty table.
     Each round is one aggregation and one join per star, written to the shared folder, so a
-    node of any degree is never gathered in one task. The number of rounds grows with the
+    node of any degree is never gathered in one task: its edges are dealt over many. The number of rounds grows with the
     logarithm of the longest chain; ``max_rounds`` only stops a run that doesn't end.
     """
     a, b = edges.columns[:2]
@@ -41,7 +41,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        after = store(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        stars = store(_large_star(now, mark[0]).distinct(), "edges")
+        after = store(_small_star(stars, mark[0]).distinct(), "edges")
+        release(stars)
         release(now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, store
+from .common import fresh, join_spread, store
 
 _TOKEN = re.compile(r"\w+")
+#: The bitmap has two to this many bits at most (16 MB): with more than 8 million seeds more windows pass it, never fewer.
+MOST_BITS = 27
 #: Base of the rolling hash (any odd number of 64 bits).
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,7 +113,7 @@ def overlaps(
     """Pairs with a test item of which tiles cover at least ``coverage``: ``(id, item_id, n_words, n_covered, n_tiles)``.
 
     Windows of ``min_match`` words that a document shares with an item are the seeds. A
-    bitmap of ``2**bits`` bits over the items' seeds (its size doesn't depend on the items)
+    bitmap over the items' seeds (16 bits a seed, ``2**bits`` to ``2**MOST_BITS`` of them)
     lets most windows go where they are read; the others are joined with the seeds by hash.
     Tiles lie within seeds, so a pair whose seeds cover less than ``coverage`` of the item is
     out; the other documents are read again and tiled whole. Tiles needn't be in the item's
@@ -121,10 +123,14 @@ def overlaps(
     """
     spark = docs.sparkSession
     seeds = store(_item_seeds(benchmark, item_col, item_text_col, min_match), "seeds")
+    bits = min(MOST_BITS, max(bits, (16 * seeds.count()).bit_length()))
     mask = (1 << bits) - 1
-    slots = [r[0] for r in seeds.select(F.col("seed").bitwiseAND(F.lit(mask))).distinct().collect()]  # at most 2**bits
-    bitmap = np.zeros(1 << bits, bool)
-    bitmap[slots] = True
+    slots = seeds.select(F.col("seed").bitwiseAND(F.lit(mask)).alias("slot")).distinct()
+    words = slots.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
+    filled = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toPandas()  # at most 2**bits / 64 rows
+    filled[got["word"].to_numpy(int)] = got["bits"].to_numpy(np.int64)
+    bitmap = np.unpackbits(filled.astype("<i8").view(np.uint8), bitorder="little")
     shared = spark.sparkContext.broadcast(np.packbits(bitmap))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -138,14 +144,14 @@ def overlaps(
             yield pd.Series(out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    hits = rows.select("id", F.explode(windows("text")).alias("seed"))
+    hits = store(rows.select("id", F.explode(windows("text")).alias("seed")), "hits")
     starts = F.sort_array(F.array_distinct(F.flatten(F.collect_list("at"))))
     reach = F.transform(
         F.col("starts"),
         lambda p, k: F.when(k + 1 < F.size("starts"), F.least(F.lit(min_match), F.element_at("starts", k + 2) - p)).otherwise(F.lit(min_match)),
     )
     pairs = (
-        hits.join(seeds, "seed")
+        join_spread(hits, seeds, ["seed"], ["id"], hits.groupBy("seed").agg(F.count("*").alias("n")))
         .groupBy("id", "item_id", "n_words")
         .agg(starts.alias("starts"))
         .where(F.aggregate(reach, F.lit(0), lambda a, x: a + x) >= F.lit(coverage) * F.col("n_words"))
@@ -178,5 +184,5 @@ def overlaps(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that contain no test item; rows with a null id stay."""
     mark = fresh(docs, "leak")
-    leaks = overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(mark)).distinct()
+    leaks = store(overlaps(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(mark)).distinct(), "leaks")
     return docs.join(leaks, docs[id_col] == leaks[mark], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, store
+from .common import fresh, join_spread, store
 from .components import components
 
 BITS = 64
@@ -125,13 +125,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are not read. An empty table gives an empty table.
     """
     marks = store(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "fingerprints")
-    prints = marks.groupBy("fp").agg(F.min("id").alias("first"))
+    prints = marks.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     groups = components(near_pairs(prints.select("fp"), "fp", distance))
     linked = groups.join(prints, groups["node"] == prints["fp"]).select("root", "fp", "first")
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     moved = linked.join(lowest, "root").select("fp", "lowest")
-    named = store(prints.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id")), "components")
-    return marks.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = store(prints.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"), "n"), "components")
+    return join_spread(marks, named.drop("n"), ["fp"], ["id"], named.select("fp", "n")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def shingle_hashes(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -176,7 +176,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     """The ``pairs (a, b)`` of set keys whose shingle sets have a Jaccard similarity of ``similarity`` or more, from the texts again."""
     pairs = store(pairs, "candidates")
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = sets.join(keys, "key", "left_semi").select("text_hash")
+    wanted = store(sets.join(keys, "key", "left_semi").select("text_hash"), "wanted")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -226,11 +226,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = dict(named.dtypes)["id"]
     marks = store(named.mapInPandas(read, f"id {kind}, text_hash long, key long, fp long, n int, prefix array<long>"), "shingle_sets")
-    sets = store(marks.groupBy("key").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("n").alias("n")), "sets")
+    sets = store(marks.groupBy("key").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")), "sets")
 
     places = marks.dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = places.groupBy("shingle").agg(F.count("*").alias("met"), F.min(F.struct("key", "n", "pos")).alias("head")).where("met > 1").drop("met")
-    rows = store(places.join(heads, "shingle"), "shared_shingles")
+    heads = store(places.groupBy("shingle").agg(F.count("*").alias("met"), F.min(F.struct("key", "n", "pos")).alias("head")).where("met > 1"), "heads")
+    rows = store(join_spread(places, heads.drop("met"), ["shingle"], ["key"], heads.select("shingle", F.col("met").alias("n"))), "shared_shingles")
 
     def possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
         """What the sizes and the places of the first common shingle leave."""
@@ -258,16 +258,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = sets.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_set = store(rooted.join(least, "root").select("key", "component_id"), "components")
-    return marks.select("id", "key").join(of_set, "key").select(F.col("id").alias(id_col), "component_id")
+    copies = sets.select("key", F.col("copies").alias("n"))
+    return join_spread(marks.select("id", "key"), of_set, ["key"], ["id"], copies).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` whose id names its component by ``find``: one document of each group stays.
 
     Rows that repeat the id of a kept document stay with it; rows with a null id stay, as
-    nothing tells which of them to keep.
+    nothing tells which of them to keep. Spark broadcasts the ids that go where their table is small.
     """
     found = find(docs, id_col, text_col, **options)
     mark = fresh(docs, "gone")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
+    gone = store(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone[mark], "left_anti")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliolink.llm import chat, components, decontaminate, html_text, language, lines, mixing, quality, simhash, toxicity, urls
+from foliolink.llm import chat, common, components, decontaminate, html_text, language, lines, mixing, quality, simhash, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, fp string, id string, dropped int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
@@ -38,6 +38,19 @@ def awkward():
     return base + near + base[:5] + lined + [None, "", " \t\n", "one", "one two", "\n\n", "É ümlaut\x85x", sentence(rng, 30000), "a " * 4000, "###", "[INST] x </s> \\ [/INST]"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_join_spread_is_the_join(spark, monkeypatch, how):
+    """Hot keys, dealt to parts, give what the plain join gives."""
+    monkeypatch.setattr(common, "LIGHT", 4)
+    rng = random.Random(1)
+    big = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, k, None]), k) for k in range(300)], "key int, row int")
+    small = spark.createDataFrame([(k % 7, f"v{k}") for k in range(20)] + [(None, "x")], "key int, value string")
+    counts = big.groupBy("key").agg(F.count("*").alias("n"))
+    got = common.join_spread(big, small, ["key"], ["row"], counts, how)
+    want = big.join(small, ["key"], how)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 # ---- 1 SimHash ---------------------------------------------------------------------------
 
 
@@ -177,6 +190,21 @@ def test_mixing(spark, awkward):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(rows.repartition(7)).collect()), key=str)
 
 
+def test_mixed_rows_are_the_mix(spark, awkward):
+    """Each row as often as mix says, and nothing, empty texts included, more than max_epochs times."""
+    rng = random.Random(7)
+    names = [rng.choice(["a", "b", "B", None, "zz"]) for _ in awkward]
+    rows = docs(spark, awkward, names).withColumnRenamed("fp", "slot").withColumnRenamed("id", "of")
+    want = Counter({r.doc_id: r.repeats for r in mixing.mix(rows).collect()})
+    got = mixing.mixed_rows(rows)
+    assert got.columns == [*rows.columns, "repetition"]
+    made = got.collect()
+    assert Counter(r.doc_id for r in made) == +want and max(want.values()) <= 2
+    assert all(r.text == awkward[r.doc_id] and r.source == names[r.doc_id] for r in made)
+    empty = docs(spark, ["a b c d e f"] * 3 + [""] * 3000, ["x"] * 3003)
+    assert {r.repeats for r in mixing.mix(empty, epochs=5.0).collect()} == {2}
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert {r.taken for r in mixing.mix(docs(spark, [None, "", " "])).collect()} == {0}
@@ -501,16 +529,45 @@ def plain_line_dedup(texts):
     return out
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (7, 3)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2)])
 def test_line_dedup(spark, awkward, batches, fanout):
-    want = plain_line_dedup(awkward)
-    rows = docs(spark, awkward).repartition(5)
-    got = lines.dedup_lines(rows, batches=batches, fanout=fanout)
+    odd = ["0123456789 abc \x85", "0123456789 abc\x85", "0123456789 ABC\u2028 ", "\x0b0123456789 abc\u2028\r", "É ÀÖ lines of text", "É Àö lines of text", "é ÀÖ lines OF text"]
+    texts = awkward + odd
+    want = plain_line_dedup(texts)
+    rows = docs(spark, texts).repartition(5)
+    got = lines.dedup_lines(rows, least_batches=batches, fanout=fanout)
     assert got.columns == [*rows.columns, "n_lines", "n_dropped"]
     for r in got.collect():
         assert (r.n_lines, r.n_dropped, r.text) == want[r.doc_id]
 
 
+def test_line_dedup_of_other_ids(spark):
+    """Ids that are text or dates keep the smallest holder."""
+    texts = ["a shared line here\nown a line here", "a shared line here", "a shared line here\nown b line here"]
+    rows = spark.createDataFrame([(f"id-{k}", t) for k, t in zip("bac", texts)], "doc_id string, text string")
+    want = {"id-a": (0, texts[1]), "id-b": (1, "own a line here"), "id-c": (1, "own b line here")}
+    assert {r.doc_id: (r.n_dropped, r.text) for r in lines.dedup_lines(rows).collect()} == want
+    dates = rows.withColumn("doc_id", F.date_add(F.lit("2020-01-01").cast("date"), F.ascii(F.substring("doc_id", 4, 1))))
+    assert sorted(r.n_dropped for r in lines.dedup_lines(dates).collect()) == [0, 1, 1]
+
+
+def test_runs_are_merged_without_sorting(spark):
+    """A batch meets each stored run by a merge join with no shuffle and no sort on either side; full levels are compacted."""
+    runs = lines.Runs(spark, 2)
+    part = lambda a, b: spark.range(a, b).select(F.col("id").alias("h1"), (-F.col("id")).alias("h2")).repartition(runs.buckets, *lines.KEY)
+    for at in range(0, 50, 10):
+        runs.compact()
+        batch = runs.lay_out(part(at - 3, at + 10))
+        with lines._sorted_scans(spark):
+            new = runs.unseen(batch)
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r.h1 for r in new.collect()) == list(range(at - (3 if at == 0 else 0), at + 10))
+        assert "Exchange" not in plan and "Sort [" not in plan and plan.count("SortMergeJoin") == sum(map(len, runs.levels))
+        runs.add(runs.lay_out(new))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    runs.close()
+
+
 def test_line_dedup_edges(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
     text = "a line long enough\nb line long enough"
