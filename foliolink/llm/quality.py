@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
+import statistics
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, split_words, store
+from .common import WORD, fresh, release, split_words, store
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-_BLANKS = " \t\n\x0b\x0c\r"
+#: Seconds that a rule costs at least, so that noise doesn't order rules that cost nothing.
+LEAST_COST = 1e-2
 
 
-def word_chars(text: Column) -> Column:
+def word_chars(words: Column) -> Column:
     """Code points in words."""
-    return F.length(F.translate(text, _BLANKS, "")).cast("long")
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
-def duplicate_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, _BLANKS, "") != "")
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+def duplicate_lines(lines: Column) -> Column:
+    """Lines with a word that equal an earlier line; texts without equal lines need no look at words."""
+    full = F.filter(lines, lambda line: line.rlike(WORD))
+    return F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.size(full) - F.size(F.array_distinct(full))).otherwise(0).cast("long")
 
 
 def _windows(words: Column) -> Column:
@@ -59,24 +61,33 @@ def _covered(windows: Column) -> Column:
     )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
+def measure_names(docs: DataFrame) -> dict[str, str]:
+    """Each measure's column name beside the columns of ``docs``."""
+    return {n: fresh(docs, n) for n in MEASURES}
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long; names made free).
+    """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (long; names made free).
 
-    Words are runs of anything but ASCII white space; a null text has none. Everything is
-    counted within the row by built-in functions, over the whole text.
+    Words are runs of anything but ASCII white space; a null text has none and one line.
+    Everything is counted within the row by built-in functions, over the whole text.
     """
-    names = {n: fresh(docs, n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    words, windows, twice = fresh(docs, "words_here"), fresh(docs, "windows_here"), fresh(docs, "twice_here")
+    names = measure_names(docs)
+    words, windows, twice, lines = (fresh(docs, f"{n}_here") for n in ("words", "windows", "twice", "lines"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn(words, split_words(text)).withColumn(windows, _windows(F.col(words)))
+    split = docs.withColumn(words, split_words(text)).withColumn(windows, _windows(F.col(words))).withColumn(lines, F.split(text, "\n"))
     found = split.withColumn(twice, F.size(F.array_distinct(windows)) < F.size(windows))
     return found.select(
         *docs.columns,
         F.size(words).cast("long").alias(names["n_words"]),
-        word_chars(text).alias(names["word_chars"]),
+        word_chars(F.col(words)).alias(names["word_chars"]),
         symbols(text).alias(names["n_symbols"]),
-        duplicate_lines(text).alias(names["n_dup_lines"]),
+        duplicate_lines(F.col(lines)).alias(names["n_dup_lines"]),
         F.when(F.col(twice), _covered(F.col(windows))).otherwise(0).cast("long").alias(names["n_repeat_words"]),
+        F.size(lines).cast("long").alias(names["n_lines"]),
     )
 
 
@@ -88,17 +99,21 @@ class Rule:
     rejects: Column
 
 
-def default_rules(text_col: str = "text") -> list[Rule]:
-    """Rules on words, symbols, letters and lines, loose enough that ordinary prose passes."""
+def default_rules(text_col: str = "text", names: dict[str, str] | None = None) -> list[Rule]:
+    """Rules on words, symbols, letters and lines, loose enough that ordinary prose passes.
+
+    They read the columns of :func:`measures`, under ``names`` (:func:`measure_names`) if
+    those were made free; only letters and capitals read the text itself.
+    """
+    m = {n: F.col((names or {}).get(n, n)) for n in MEASURES}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1))
-    lines = F.greatest(F.size(F.split(text, "\n")), F.lit(1))
+    n = F.greatest(m["n_words"], F.lit(1))
     return [
-        Rule("word_length", (word_chars(text) < 2 * n) | (word_chars(text) > 15 * n)),
-        Rule("symbols", symbols(text) > F.lit(0.3) * n),
-        Rule("letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.5) * word_chars(text)),
-        Rule("duplicate_lines", duplicate_lines(text) > F.lit(0.5) * lines),
-        Rule("capitals", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) > F.lit(0.6) * word_chars(text)),
+        Rule("word_length", (m["word_chars"] < 2 * n) | (m["word_chars"] > 15 * n)),
+        Rule("symbols", m["n_symbols"] > F.lit(0.3) * n),
+        Rule("letters", F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) < F.lit(0.5) * m["word_chars"]),
+        Rule("duplicate_lines", m["n_dup_lines"] > F.lit(0.5) * m["n_lines"]),
+        Rule("capitals", F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) > F.lit(0.6) * m["word_chars"]),
     ]
 
 
@@ -118,28 +133,47 @@ class Cascade:
         return found
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 1000) -> Cascade:
-    """Times each rule over a bounded sample and orders the rules by rejections per second.
+def plan_cascade(measured: DataFrame, rules: list[Rule], copies: int = 16, runs: int = 3) -> Cascade:
+    """Times each rule over a measured sample and orders the rules by rejections per second.
 
-    The sample, about ``sample_rows`` rows, only orders the rules; which
-    rows they reject doesn't depend on it. On an empty sample the order is as given.
+    A rule's cost is the median of ``runs`` timed jobs over ``copies`` copies of the sample,
+    after one that isn't timed, less the same for no rule at all, so that start-up and the
+    scan don't count. The sample only orders the rules; which rows they reject doesn't depend
+    on it. On an empty sample the order is as given.
     """
-    n = docs.count()
-    sample = store(docs.sample(min(1.0, sample_rows / max(n, 1)), seed=11), "rule_sample")
-    rows = sample.agg(F.count("*"), F.sum(F.length(text_col))).first()[0]
+    repeated = measured.withColumn(fresh(measured, "copy_here"), F.explode(F.sequence(F.lit(1), F.lit(copies))))
     cost, rejected = {}, {}
+
+    def timed(condition: Column) -> tuple[float, float]:
+        job, took = repeated.agg(F.count("*").alias("n"), F.count(F.when(condition, 1)).alias("hits")), []
+        for _ in range(runs + 1):
+            began = time.perf_counter()
+            got = job.first()
+            took.append(time.perf_counter() - began)
+        return statistics.median(took[1:]), got["hits"] / max(got["n"], 1)
+
+    idle, _ = timed(F.lit(False))
     for rule in rules:
-        began = time.perf_counter()
-        hits = sample.agg(F.count(F.when(rule.rejects, 1))).first()[0]
-        cost[rule.name], rejected[rule.name] = time.perf_counter() - began, hits / max(rows, 1)
-    order = sorted(range(len(rules)), key=lambda k: (-rejected[rules[k].name] / max(cost[rules[k].name], 1e-6), k))
+        seconds, rejected[rule.name] = timed(rule.rejects)
+        cost[rule.name] = max(seconds - idle, LEAST_COST)
+    order = sorted(range(len(rules)), key=lambda k: (-rejected[rules[k].name] / cost[rules[k].name], k))
     return Cascade(tuple(rules[k] for k in order), cost, rejected)
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with ``rejected_by`` (name made free): the first rule of the cascade that rejects, else null.
+def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = 1000, **options) -> DataFrame:
+    """``docs`` with the columns of :func:`measures` and ``rejected_by`` (names made free).
 
-    A null text is the empty text. Repeated rows stay and agree. An empty table stays empty.
+    ``rejected_by`` is the first rule of the cascade that rejects, else null. About
+    ``sample_rows`` rows are drawn from ``docs`` itself, so that only they are measured for
+    the plan. Rules may use any column of ``docs`` and the measures. A null text is the empty
+    text. Repeated rows stay and agree. An empty table stays empty.
     """
-    cascade = plan_cascade(docs, rules if rules is not None else default_rules(text_col), text_col, **options)
-    return docs.withColumn(fresh(docs, "rejected_by"), cascade.verdict())
+    rules = rules if rules is not None else default_rules(text_col, measure_names(docs))
+    part = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = store(docs.sample(part, seed=11), "rule_sample")
+    measured = store(measures(sample, text_col), "rule_measures")
+    cascade = plan_cascade(measured, rules, **options)
+    release(sample)
+    release(measured)
+    done = measures(docs, text_col)
+    return done.withColumn(fresh(done, "rejected_by"), cascade.verdict())

@@ -52,19 +52,20 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rules of the contract.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Names of sites whose pages make up the list of URLs.
-LISTED_SITES = ("cheap-pills", "free-bets", "spam-farm", "ads-track", "casino-win", "adult-x")
+#: A page with less markup than this is thin; a host with more than this percentage of thin pages is listed.
+THIN_CHARS, THIN_PERCENT = 2000, 45
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """Canonical URLs ``(url_key)`` of the pages on listed sites."""
-    site = F.col("url").rlike("|".join(rf"(?i)://([^/?#]*\.)?{s}\." for s in LISTED_SITES))
-    return pages.where(site).select(urls.canonical(F.col("url")).alias("url_key")).where("url_key is not null").distinct()
+    """Canonical URLs ``(url_key)`` of the thin pages of hosts on which thin pages are the rule, from the pages' markup."""
+    seen = pages.select(urls.host_of(F.col("url")).alias("host"), urls.canonical(F.col("url")).alias("url_key"), (F.coalesce(F.length("html"), F.lit(0)) < THIN_CHARS).alias("thin"))
+    hosts = seen.groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("thin"), 1)).alias("k")).where(100 * F.col("k") > THIN_PERCENT * F.col("n"))
+    return seen.where("thin and url_key is not null").join(hosts, "host", "left_semi").select("url_key").distinct()
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages.select("page_id", "url"), listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ruled = quality.apply_rules(quality.measures(docs))
+    ruled = quality.apply_rules(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return ruled.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
@@ -99,6 +100,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; ``n_repeated`` counts the tokens that runs of the host's suffix array cover."""
     return html_text.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -138,11 +140,12 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 
 _URLS = rf"""WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, url FROM pages),
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(length(html), 0) < {THIN_CHARS} AS thin FROM pages),
 c AS (
   SELECT *, CASE WHEN host <> '' THEN CASE WHEN regexp_matches(host, '^(www|m)\.[^.]+\.') THEN regexp_replace(host, '^(www|m)\.', '') ELSE host END
     || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '') END AS k FROM u),
-l AS (SELECT DISTINCT k FROM c WHERE k IS NOT NULL AND regexp_matches(url, '(?i)://([^/?#]*\.)?({"|".join(LISTED_SITES)})\.')),
+h AS (SELECT host FROM c GROUP BY host HAVING 100 * count(*) FILTER (thin) > {THIN_PERCENT} * count(*)),
+l AS (SELECT DISTINCT k FROM c WHERE k IS NOT NULL AND thin AND host IN (SELECT host FROM h)),
 r AS (SELECT unnest([{", ".join(f"'{r}'" for r in URL_RULES)}]) AS rule, unnest([{", ".join(f"'{v}'" for v in URL_RULES.values())}]) AS verdict),
 f AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict

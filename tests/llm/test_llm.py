@@ -269,6 +269,44 @@ def test_language_posterior_is_bayes(spark, model):
         assert got[k] == pytest.approx((p / p.sum()).max(), abs=2e-5)
 
 
+def test_language_priors_are_hierarchical(spark, model):
+    """Host and suffix evidence by hand: the suffix's prior smoothed with the overall one, the host's with the suffix's, a row's own part taken out."""
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        suffix = rng.choice(["de", "es", None])
+        host = rng.choice([f"a.{suffix}", f"b.{suffix}", None])
+        rows.append((k, rng.choice([*TEXT.values(), ""]), rng.choice(["en", "de", None]), suffix, host))
+    table = spark.createDataFrame(rows, "doc_id long, text string, d string, s string, h string")
+    got = {r.doc_id: r for r in language.identify(table, model, "doc_id", "text", F.col("d"), F.col("s"), F.col("h"), effective=4).collect()}
+    score = np.array([model.score(t, 4)[0] for _, t, *_ in rows])
+    seen = np.array([float(model.score(t, 4)[1] > 0) for _, t, *_ in rows])
+    post = np.exp(score - score.max(1, keepdims=True))
+    post = post / post.sum(1, keepdims=True) * seen[:, None]
+    base = (post.sum(0) + 1) / (post.sum() + 3)
+    kinds = len({d for _, _, d, *_ in rows if d})
+    for k, (_, text, d, s, h) in enumerate(rows):
+        same = lambda test: post[[j for j, r in enumerate(rows) if j != k and test(r)]].sum(0)
+        prior = base
+        if s is not None:
+            left = same(lambda r: r[3] == s)
+            prior = (left + 20 * prior) / (left.sum() + 20)
+        if h is not None:
+            left = same(lambda r: r[4] == h and r[3] == s)
+            prior = (left + 20 * prior) / (left.sum() + 20)
+        p = np.exp(score[k] - score[k].max()) * prior
+        if d is not None:
+            told = post[[j for j, r in enumerate(rows) if r[2] == d]].sum(0)
+            total = post[[j for j, r in enumerate(rows) if r[2]]].sum(0)
+            p = p * (told + 0.5) / (total + 0.5 * (kinds + 1))
+        p = p / p.sum()
+        assert got[k].confidence == pytest.approx(p.max(), abs=2e-5), rows[k]
+        known = bool(text) or d or s or h
+        assert got[k].lang == (model.languages[int(p.argmax())] if p.max() >= 0.5 and known else "und")
+
+
 def test_language_filter(spark):
     texts = [TEXT["en"]] * 10 + [TEXT["de"]] * 10 + [None, "", "12 !!"]
     rows = spark.createDataFrame([(k, t, "de" if t == TEXT["de"] else "en", None) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
@@ -380,6 +418,18 @@ def test_bloom_never_misses(spark):
     assert hit.where("listed <> (id < 3000)").count() == 0 and hit.count() == 6000
 
 
+def test_bloom_false_hits_are_few(spark):
+    """Of keys that aren't in the list, the filter alone lets through a few in a hundred; the exact join takes those out."""
+    keys = spark.range(20000).select(F.concat(F.lit("h/"), F.col("id")).alias("k"))
+    words, blocks = urls.bloom_filter(keys, "k")
+    others = spark.range(20000, 60000).select(F.concat(F.lit("h/"), F.col("id")).alias("k"))
+    both = others.join(words, urls._block(F.col("k"), blocks) == words["block"], "left")
+    need = urls._bits(F.col("k"))
+    assert both.where(F.col("word").bitwiseAND(need) == need).count() < 0.05 * 40000
+    probe = others.select(F.concat(F.lit("http://"), "k").alias("url"))
+    assert urls.listed_hits(probe, keys, "url", "k").where("listed").count() == 0
+
+
 # ---- 6 toxicity --------------------------------------------------------------------------
 
 
@@ -406,6 +456,49 @@ def test_toxicity_learns_and_holds_out(spark):
     assert again == {k: r.score for k, r in by_id.items()}  # held-out labels change nothing
 
 
+def plain_features(text, bits=20):
+    """Distinct buckets, word by word, with integers."""
+    mix, full = 0x9E3779B97F4A7C15, 2**64
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    raw = set(h)
+    for gap, mark in ((1, 1), (2, 2)):
+        raw |= {(a * mix % full) ^ (b >> 1) ^ mark for a, b in zip(h, h[gap:])}
+    raw |= {xxhash.xxh3_64_intdigest(w[:n], n) for w in words for n in (4, 6) if len(w) > n}
+    return {x * mix % full >> (64 - bits) for x in raw}
+
+
+def test_toxicity_features_and_updates(awkward):
+    """Features by integers, and weights by the textbook loop over single coordinates."""
+    import math
+
+    for text in awkward:
+        assert set(toxicity.features(text).tolist()) == plain_features(text)
+    rng = random.Random(3)
+    model = toxicity.FTRL(bits=6, alpha=0.7, beta=1.5, l1=0.8, l2=0.2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= 0.8:
+            return 0.0
+        return -(z[i] - math.copysign(0.8, z[i])) / ((1.5 + math.sqrt(n[i])) / 0.7 + 0.2)
+
+    import numpy as np
+
+    for _ in range(200):
+        at, label, times = sorted(rng.sample(range(64), 6)), rng.randrange(2), rng.choice([1.0, 3.0])
+        model.learn(np.array(at), label, times)
+        here = [*at, 64]
+        p = 1 / (1 + math.exp(-sum(map(weight, here))))
+        old = {i: weight(i) for i in here}
+        for i in here:
+            g = times * (p - label)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.7 * old[i]
+            n[i] += g * g
+    got = model.weights(np.arange(65))
+    assert got == pytest.approx([weight(i) for i in range(65)], abs=1e-9) and 0 < (got == 0).sum() < 65
+
+
 def test_toxicity_edges(spark):
     label = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score_documents(docs(spark, ["a", None]), label).collect()} == {0.5}
