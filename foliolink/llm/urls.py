@@ -25,7 +25,7 @@ def path_of(url: Column) -> Column:
 def canonical(url: Column) -> Column:
     """Host without a leading ``www.`` or ``m.``, path without ``index.html`` and closing slashes; no scheme, query or fragment. Null without a host."""
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.(?=[^.]+\.)", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?$", "/"), r"/+$", "")
+    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?\z", "/"), r"/+\z", "")
     return F.when(host != "", F.concat(host, path))
 
 
