@@ -119,10 +119,18 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Jaccard of the distinct lower-cased words."""
-    words = lambda c: F.array_distinct(F.filter(F.split(X.collapse(c), " "), lambda w: w != ""))
-    x, y = words(a), words(b)
-    union = F.size(F.array_union(x, y))
-    return _blanks(a, b, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union))
+    return _blanks(a, b, token_set_similarity(token_set(a), token_set(b)))
+
+
+def token_set(c: Column) -> Column:
+    """The distinct lower-cased words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(X.text(c)), F.lit(r"(?U)\S+"), F.lit(0)))
+
+
+def token_set_similarity(x: Column, y: Column) -> Column:
+    """Jaccard of two sets; two empty ones are alike. The union's size follows from that of the intersection."""
+    common = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(common / (F.size(x) + F.size(y) - common))
 
 
 def common_words(a: Column, b: Column) -> Column:
@@ -148,20 +156,24 @@ def phone_similarity(a: Column, b: Column) -> Column:
     return _blanks(a, b, (bare(a) == bare(b)).cast("double"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    memo: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a.fillna(""), b.fillna("")):
-        if pair not in memo:
-            memo[pair] = jaro_winkler_of(*pair)
-        out.append(memo[pair])
-    return pd.Series(out, dtype=float)
+def _jaro_winkler(a: Column, b: Column) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        memo: dict[tuple[str, str], float] = {}
+        for pair in zip(a.fillna(""), b.fillna("")):
+            if pair not in memo:
+                memo[pair] = jaro_winkler_of(*pair)
+        return pd.Series([memo[pair] for pair in zip(a.fillna(""), b.fillna(""))], dtype=float)
+
+    return score(a, b)
+
 
+def _blocks_ratio(a: Column, b: Column) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
 
-@F.pandas_udf(T.DoubleType())
-def _blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
+    return score(a, b)
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:

@@ -268,12 +268,13 @@ def chunk_signature(name: Column, dob: Column) -> Column:
 
 #: A written date.
 _DATE = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}"
+#: What introduces a date of birth, tried in this order.
+BIRTH_LABELS = (rf"\bDOB[:\s]*({_DATE})\b", rf"\bDate of Birth[:\s]*({_DATE})\b", rf"\bBorn[:\s]*({_DATE})\b", r"\bAge[:\s]*(\d{1,2})[yo]\b", rf"\b({_DATE})\b")
 
 
 def dates_of_birth(c: Column) -> Column:
     """Dates after ``DOB``, ``Date of Birth``, ``Born``, ages after ``Age``, then any date; each once."""
-    labels = [rf"\bDOB[:\s]*({_DATE})\b", rf"\bDate of Birth[:\s]*({_DATE})\b", rf"\bBorn[:\s]*({_DATE})\b", r"\bAge[:\s]*(\d{1,2})[yo]\b", rf"\b({_DATE})\b"]
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text(c), F.lit("(?iU)" + p), F.lit(1)) for p in labels]))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text(c), F.lit("(?iU)" + p), F.lit(1)) for p in BIRTH_LABELS]))
 
 
 def clean_for_tokens(c: Column) -> Column:

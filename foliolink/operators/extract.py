@@ -25,6 +25,7 @@ DOB_PATTERNS = (
     (rf"(?:(?:Sex|Gender)[:\s]*[MFmf][,\s]*)?DOB[:\s]*({_DATE})", 1),
     (rf"Age[:\s]*(\d{{1,2}})\s*yo(?:\s*\(DOB:\s*({_DATE})\))?", 2),
 )
+#: Label words that are no names; the scores of best_name and best_dob are fixed values too.
 KEYWORDS = ("patient", "name", "mr", "mrs", "dr")
 
 
@@ -86,9 +87,22 @@ def with_person(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
     All are empty where nothing is found; ``sig_name`` and ``sig_dob`` are the parts of the signature.
     """
-    found = pages.withColumns({"_names": name_candidates(F.col(text_col)), "_dobs": dob_candidates(F.col(text_col))})
-    best = found.withColumns({"extracted_name": best_name(F.col("_names"), F.col(text_col)), "extracted_dob": best_dob(F.col("_dobs"))}).drop("_names", "_dobs")
-    parts = best.withColumns({"full_name": F.col("extracted_name"), "dob": F.when(F.col("extracted_dob") != "", X.normalize_dob(F.col("extracted_dob"))).otherwise(""), "_parts": X.name_parts(F.col("extracted_name"))})
-    return parts.select(*[c for c in parts.columns if c != "_parts"], "_parts.*").withColumns(
-        {"sig_name": X.normalize_name(F.col("full_name")), "sig_dob": X.normalize_dob(F.col("dob"))}
+    return _with(
+        _with(
+            _with(
+                _with(pages, _names=name_candidates(F.col(text_col)), _dobs=dob_candidates(F.col(text_col))),
+                extracted_name=best_name(F.col("_names"), F.col(text_col)),
+                extracted_dob=best_dob(F.col("_dobs")),
+            ).drop("_names", "_dobs"),
+            full_name=F.col("extracted_name"),
+            dob=F.when(F.col("extracted_dob") != "", X.normalize_dob(F.col("extracted_dob"))).otherwise(""),
+            **{part: X.name_parts(F.col("extracted_name"))[part] for part in ("first_name", "middle_name", "last_name")},
+        ),
+        sig_name=X.normalize_name(F.col("full_name")),
+        sig_dob=X.normalize_dob(F.col("dob")),
     )
+
+
+def _with(pages: DataFrame, **made: Column) -> DataFrame:
+    """``pages`` with more columns, each computed once: nothing that reads them is merged with their expressions."""
+    return pages.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))

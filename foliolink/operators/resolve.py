@@ -6,11 +6,15 @@ signature ``sig_name, sig_dob`` and ``confidence``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..functions.similarity import FIELD_WEIGHTS, blend_of
 from ..functions import text as X
 
 INFO = ("full_name", "first_name", "middle_name", "last_name", "dob")
@@ -24,25 +28,42 @@ def exact_groups(pages: DataFrame) -> DataFrame:
     return named.join(numbered, ["doc_id", "sig_name", "sig_dob"])
 
 
-def _same_person(name: str, dob: str, of_name: str, of_dob: str, threshold: float, need_dob: bool) -> bool:
-    """A page without a date fits any group of its name; a page with one needs the group to have the same."""
-    if S.blend_of(name, of_name) < threshold:
-        return False
-    return not (need_dob and dob) or dob == of_dob
-
-
-def _record_score(a: dict, b: dict) -> float:
+def _record_score(a: dict, b: dict, alike: Callable[[str, str], float]) -> float:
     """Weighted similarity of two persons' fields."""
     total = weight = 0.0
     for field in INFO:
-        x, y, w = a[field] or "", b[field] or "", S.FIELD_WEIGHTS.get(field)
+        x, y, w = a[field] or "", b[field] or "", FIELD_WEIGHTS.get(field)
         if w is None or not (x or y):
             continue
-        score = float(x == y) if field == "dob" else S.blend_of(x, y)
-        total, weight = total + w * score, weight + w
+        total, weight = total + w * (float(x == y) if field == "dob" else alike(x, y)), weight + w
     return total / weight if weight else 0.0
 
 
+def _numbered(rows: list[dict], alike: Callable[[str, str], float], threshold: float, need_dob: bool, merge_at: float) -> list[tuple]:
+    """``(doc_id, sig_name, sig_dob, lone, group_no)`` of one document's signatures, in order of first appearance.
+
+    A page without a date fits any group of its name; a page with one needs the group to have the same.
+    """
+    opened: list[dict] = []
+    number = []
+    for row in rows:
+        dob = row["sig_dob"] or ""
+        fits = (k for k, g in enumerate(opened) if alike(row["sig_name"], g["sig_name"]) >= threshold and (not (need_dob and dob) or dob == (g["sig_dob"] or "")))
+        at = next(fits, len(opened))
+        if at == len(opened):
+            opened.append(row)
+        number.append(at)
+    person, goes_to = list(opened), list(range(len(opened)))
+    filled = lambda p: sum(bool((p[f] or "").strip()) for f in INFO)
+    for i in range(len(opened)):
+        for j in range(i + 1, len(opened)) if goes_to[i] == i else ():
+            if goes_to[j] == j and _record_score(person[i], person[j], alike) >= merge_at:
+                goes_to[j] = i
+                person[i] = max(person[i], person[j], key=filled)  # the earlier on a tie
+    kept = {g: k + 1 for k, g in enumerate(dict.fromkeys(goes_to))}
+    return [(r["doc_id"], r["sig_name"], r["sig_dob"], r["lone"], kept[goes_to[k]]) for r, k in zip(rows, number)]
+
+
 def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, merge_at: float = 0.95) -> DataFrame:
     """Adds ``group_no``: each page joins the first group whose opening signature it resembles, else opens one.
 
@@ -59,33 +80,23 @@ def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = Tru
     opening = F.min_by(F.struct(*INFO), F.col("pos")).alias("info")
     seen = keyed.groupBy("doc_id", "sig_name", "sig_dob", "lone").agg(F.min("pos").alias("first_pos"), opening).select("doc_id", "sig_name", "sig_dob", "lone", "first_pos", "info.*")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["first_pos", "sig_name", "sig_dob"], kind="stable")
-        opened: list[tuple[str, str, dict]] = []
-        number = []
-        for row in part.to_dict("records"):
-            name, dob = row["sig_name"], row["sig_dob"] or ""
-            at = next((k for k, (n, d, _) in enumerate(opened) if _same_person(name, dob, n, d, threshold, need_dob)), None)
-            if at is None:
-                at = len(opened)
-                opened.append((name, dob, {f: row[f] for f in INFO}))
-            number.append(at)
-        person = [info for _, _, info in opened]
-        goes_to = list(range(len(opened)))
-        filled = lambda p: sum(bool((v or "").strip()) for v in p.values())
-        for i in range(len(opened)):
-            if goes_to[i] != i:
-                continue
-            for j in range(i + 1, len(opened)):
-                if goes_to[j] == j and _record_score(person[i], person[j]) >= merge_at:
-                    goes_to[j] = i
-                    if filled(person[j]) > filled(person[i]):
-                        person[i] = person[j]
-        kept = {g: k + 1 for k, g in enumerate(dict.fromkeys(goes_to))}
-        return part[["doc_id", "sig_name", "sig_dob", "lone"]].assign(group_no=[kept[goes_to[k]] for k in number])
-
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alike = lru_cache(1 << 16)(blend_of)  # documents repeat names
+        now, rows = object(), []
+        for part in parts:
+            out = []
+            for row in part.to_dict("records"):
+                if row["doc_id"] != now:
+                    out += _numbered(rows, alike, threshold, need_dob, merge_at)
+                    now, rows = row["doc_id"], []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=named_columns)
+        yield pd.DataFrame(_numbered(rows, alike, threshold, need_dob, merge_at), columns=named_columns)
+
+    named_columns = ["doc_id", "sig_name", "sig_dob", "lone", "group_no"]
     doc = dict(named.dtypes)["doc_id"]
-    groups = seen.groupBy("doc_id").applyInPandas(fold, f"doc_id {doc}, sig_name string, sig_dob string, lone long, group_no int")
+    ordered = seen.repartition("doc_id").sortWithinPartitions("doc_id", "first_pos", "sig_name", "sig_dob")
+    groups = ordered.mapInPandas(fold, f"doc_id {doc}, sig_name string, sig_dob string, lone long, group_no int")
     return keyed.join(groups, ["doc_id", "sig_name", "sig_dob", "lone"]).drop("lone")
 
 

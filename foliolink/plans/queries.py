@@ -530,18 +530,34 @@ def ocr_similarity(spark, sf_dir):
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '')) AS s FROM documents)
-SELECT a.doc_id, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
-FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.s) > 0 AND len(b.s) > 0"""
+    r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda t: t <> '')) AS s FROM documents)
+SELECT a.doc_id, CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) END AS similarity
+FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
 )
 def token_jaccard(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
-    pairs = docs.join(after, "doc_id").where((X.collapse(F.col("text")) != "") & (X.collapse(F.col("next_text")) != ""))
-    return pairs.select("doc_id", F.round(S.token_similarity(F.col("text"), F.col("next_text")), 6).alias("similarity"))
+    """Each document with the next one, blank ones too; only hashes of the words are joined."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.transform(S.token_set(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    after = words.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("next_words"))
+    return words.join(after, "doc_id").select("doc_id", F.round(S.token_set_similarity(F.col("words"), F.col("next_words")), 6).alias("similarity"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE q AS (SELECT c_custkey, lower(x) AS a, lower(y) AS b, greatest(length(x), length(y)) // 2 - 1 AS reach FROM ({PAIRS})),
+r AS (
+  SELECT c_custkey, a, b, reach, 0 AS i, CAST([] AS INTEGER[]) AS lefts, CAST([] AS INTEGER[]) AS used FROM q
+  UNION ALL
+  SELECT c_custkey, a, b, reach, i + 1, CASE WHEN hit IS NULL THEN lefts ELSE list_append(lefts, CAST(i + 1 AS INTEGER)) END,
+    CASE WHEN hit IS NULL THEN used ELSE list_append(used, CAST(hit AS INTEGER)) END
+  FROM (
+    SELECT *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: b[j] = a[i + 1] AND NOT list_contains(used, CAST(j AS INTEGER)))[1] AS hit
+    FROM r WHERE i < length(a))),
+m AS (
+  SELECT c_custkey, a, b, len(used) AS m, len(list_filter(range(1, len(used) + 1), lambda k: a[lefts[k]] <> b[list_sort(used)[k]])) / 2 AS swapped FROM r WHERE i = length(a)),
+j AS (
+  SELECT *, CASE WHEN m = 0 THEN 0 ELSE (m / length(a) + m / length(b) + (m - swapped) / m) / 3 END AS jaro,
+    CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS same FROM m)
+SELECT c_custkey, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE round(jaro + 0.1::DOUBLE * same * (1 - jaro), 6) END AS similarity FROM j"""
+)
 def jaro_winkler(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("c_custkey", F.round(S.jaro_winkler_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
@@ -596,14 +612,38 @@ def chunk_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("person_no", F.lit(1))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (
+  SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k,
+    lower(min('Part ' || ['Ann', 'Bo', 'Cy', 'Di', 'Ed'][l_partkey % 5 + 1] || ' ' || l_linestatus)) AS name,
+    replace(min(['', '1/2/1980', '1980-01-02'][l_suppkey % 3 + 1]), '/', '-') AS dob
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+r AS (
+  SELECT doc_id, chunk_id, k, [{'n': name, 'd': dob}] AS known, 1 AS merged_no FROM n WHERE k = 1
+  UNION ALL
+  SELECT doc_id, chunk_id, k, CASE WHEN hit IS NULL THEN list_append(known, {'n': name, 'd': dob}) ELSE known END, coalesce(hit, len(known) + 1)
+  FROM (
+    SELECT n.doc_id, n.chunk_id, n.k, n.name, n.dob, known, coalesce(
+      list_filter(range(1, len(known) + 1), lambda i: known[i].n = n.name AND known[i].d = n.dob)[1],
+      list_filter(range(1, len(known) + 1), lambda i: len(list_intersect(string_split(known[i].n, ' '), string_split(n.name, ' '))) >= 2
+        AND (known[i].d = '' OR n.dob = '' OR known[i].d = n.dob))[1]) AS hit
+    FROM r JOIN n ON n.doc_id = r.doc_id AND n.k = r.k + 1))
+SELECT doc_id, chunk_id, 1 AS person_no, CAST(merged_no AS INTEGER) AS merged_no FROM r"""
+)
 def chunk_merge(spark, sf_dir):
     return chunk.merge_chunks(chunk_people(spark, sf_dir)).select("doc_id", "chunk_id", "person_no", "merged_no")
 
 
-@query()
+@query(
+    """WITH t AS (
+  SELECT conv_id AS doc_id, turn AS pos, CAST(turn + 1 AS INTEGER) AS page_number, role, role || ' ' || turn % 2 AS name, CASE WHEN turn % 3 = 0 THEN '1980-01-02' ELSE '' END AS dob FROM conversations),
+o AS (SELECT doc_id, name, arg_min(dob, pos) AS opening FROM t GROUP BY doc_id, name),
+g AS (SELECT t.*, CASE WHEN dob <> '' THEN dob ELSE opening END AS of_dob FROM t JOIN o USING (doc_id, name)),
+k AS (SELECT doc_id, role, of_dob, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS group_no FROM g GROUP BY doc_id, role, of_dob)
+SELECT g.doc_id, page_number, CAST(group_no AS INTEGER) AS group_no FROM g JOIN k USING (doc_id, role, of_dob)"""
+)
 def greedy_groups(spark, sf_dir):
-    """Turns as pages of whoever speaks, with a date on every third page."""
+    """Turns as pages of whoever speaks, with a date on every third page. No two different signatures here reach the threshold, so SQL can tell the groups by equality."""
     pages = turn_pages(spark, sf_dir).withColumn("sig_dob", F.when(F.col("pos") % 3 == 0, "1980-01-02").otherwise(""))
     named = pages.withColumns({"sig_name": F.concat(F.col("role"), F.lit(" "), F.col("pos") % 2), "full_name": F.col("role"), "first_name": F.col("role"), "middle_name": F.lit(""), "last_name": F.lit(""), "dob": F.col("sig_dob")})
     return resolve.greedy_groups(named).select("doc_id", "page_number", "group_no")
@@ -760,7 +800,21 @@ def table_decision(spark, sf_dir):
     return layout.table_decision(layout.crossings(image_lines(spark, sf_dir))).select("image_id", "has_table", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (
+  SELECT l_orderkey AS t, l_returnflag AS s, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(l_quantity % 40 AS DOUBLE) AS y,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 40, l_partkey % 97, l_returnflag) AS k FROM lineitem),
+r AS (
+  SELECT t, s, x, k, y AS anchor, 0 AS line FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.t, c.s, c.x, c.k, CASE WHEN abs(c.y - anchor) > 10 THEN c.y ELSE anchor END, line + CASE WHEN abs(c.y - anchor) > 10 THEN 1 ELSE 0 END
+  FROM r JOIN c ON c.t = r.t AND c.k = r.k + 1),
+l AS (SELECT t, line, list(s ORDER BY x, s) AS cells FROM r GROUP BY t, line),
+w AS (SELECT t, max(len(cells)) AS w FROM l GROUP BY t)
+SELECT l.t AS table_id, string_agg('| ' || array_to_string(list_concat(cells, list_transform(range(0, w - len(cells)), lambda i: '')), ' | ') || ' |'
+  || CASE WHEN line = 0 THEN chr(10) || '|' || repeat(' --- |', w) ELSE '' END, chr(10) ORDER BY line) AS markdown
+FROM l JOIN w ON l.t = w.t GROUP BY l.t"""
+)
 def grid_rows(spark, sf_dir):
     """Order lines as cells; the grid as Markdown."""
     i = table(spark, sf_dir, "lineitem")
