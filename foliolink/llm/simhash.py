@@ -228,9 +228,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = store(named.mapInPandas(read, f"id {kind}, text_hash long, key long, fp long, n int, prefix array<long>"), "shingle_sets")
     sets = store(marks.groupBy("key").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")), "sets")
 
+    # only shingles of two different sets go on
+    shared_by = marks.select(F.explode("prefix").alias("shingle"), "key").groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    met = store(shared_by.where("low < high").select("shingle", "n"), "shared_prefixes")
     places = marks.dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = store(places.groupBy("shingle").agg(F.count("*").alias("met"), F.min(F.struct("key", "n", "pos")).alias("head")).where("met > 1"), "heads")
-    rows = store(join_spread(places, heads.drop("met"), ["shingle"], ["key"], heads.select("shingle", F.col("met").alias("n"))), "shared_shingles")
+    places = store(join_spread(places, met.select("shingle"), ["shingle"], ["key"], met, "left_semi"), "places")
+    heads = places.groupBy("shingle").agg(F.min(F.struct("key", "n", "pos")).alias("head"))
+    rows = store(join_spread(places, heads, ["shingle"], ["key"], met), "shared_shingles")
 
     def possible(n: Column, pos: Column, m: Column, at: Column) -> Column:
         """What the sizes and the places of the first common shingle leave."""
