@@ -172,20 +172,80 @@ def common_shingles(docs: DataFrame, text_col: str, width: int, seed: int, max_r
     return hashes[order], got["n"].to_numpy(np.int64)[order]
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's members by slot, a power of two of slots, at least 64 and the set's size, as signed longs.
+
+    Each member that just one of two sets has changes one parity, so sketches of one length
+    differ in at most as many bits as the sets in members. Halves of a sketch, combined by
+    exclusive or, are the sketch of half the length.
+    """
+    slots = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Differing bits of two parity sketches, the longer one folded to the length of the other."""
+    size = F.least(F.size(a), F.size(b))
+    place = lambda sketch, k: F.aggregate(F.sequence(k, F.size(sketch), size), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.element_at(sketch, j)))
+    return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), lambda n, k: n + F.bit_count(place(a, k).bitwiseXOR(place(b, k))))
+
+
+def _per_key(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a").agg(F.count("*").alias("n"))
+
+
+#: The bitmap of wanted texts has 16 bits a text, to this many bits at most (16 MB); with more texts more pass it, never fewer.
+MOST_BITS = 27
+
+
+def _bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Packed bits of the slots that the hashes fall into, and the mask that gives a slot."""
+    bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
+    mask = (1 << bits) - 1
+    slot = hashes.select(F.col(column).bitwiseAND(F.lit(mask)).alias("slot")).distinct()
+    words = slot.groupBy((F.col("slot") / 64).cast("long").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("bits"))
+    filled = np.zeros(1 << (bits - 6), np.int64)
+    got = words.toPandas()  # at most 2**bits / 64 rows
+    filled[got["word"].to_numpy(int)] = got["bits"].to_numpy(np.int64)
+    return filled.astype("<i8").view(np.uint8), mask
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int, similarity: float) -> DataFrame:
-    """The ``pairs (a, b)`` of set keys whose shingle sets have a Jaccard similarity of ``similarity`` or more, from the texts again."""
+    """The ``pairs (a, b)`` of set keys whose shingle sets have a Jaccard similarity of ``similarity`` or more, from the texts again.
+
+    Pairs whose parity sketches differ in more bits than such sets can in members go first;
+    texts of the others are found by a bitmap where they are read, so no text is shuffled.
+    """
     pairs = store(pairs, "candidates")
+    sketches = sets.select("key", F.col("n").alias("size"), "sketch")
+    of_a = sketches.toDF("a", "size_a", "sketch_a")
+    of_b = sketches.toDF("b", "size_b", "sketch_b")
+    both = join_spread(pairs, of_a, ["a"], ["b"], _per_key(pairs)).join(of_b, "b")
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    pairs = store(both.where(_apart(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b"), "likely")
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = store(sets.join(keys, "key", "left_semi").select("text_hash"), "wanted")
+    bits, mask = _bitmap(store(sets.join(keys, "key", "left_semi").select("text_hash"), "wanted"), "text_hash")
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf(T.BooleanType())
+    def wanted(hashes: pd.Series) -> pd.Series:
+        slot = hashes.to_numpy(np.int64) & mask
+        return pd.Series((shared.value[slot >> 3] >> (slot & 7)) & 1 == 1)
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies within the task
         for part in parts:
-            got = [shingle_hashes(t, width, seed) for t in part["text"]]
-            yield pd.DataFrame({"key": [_set_key(h) for h in got], "shingles": [h.view(np.int64) for h in got]})
-
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash", "left_semi")
-    full = store(texts.select("text").mapInPandas(read, "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
-    met = pairs.join(full.toDF("a", "of_a"), "a").join(full.toDF("b", "of_b"), "b")
+            got = []
+            for text_hash, text in zip(part["text_hash"], part["text"]):
+                if text_hash not in seen:
+                    seen.add(text_hash)
+                    got.append(shingle_hashes(text, width, seed))
+            yield pd.DataFrame({"key": np.array([_set_key(h) for h in got], np.int64), "shingles": [h.view(np.int64) for h in got]})
+
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where(wanted("text_hash"))
+    full = store(texts.mapInPandas(read, "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
+    met = join_spread(pairs, full.toDF("a", "of_a"), ["a"], ["b"], _per_key(pairs)).join(full.toDF("b", "of_b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return met.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
@@ -209,7 +269,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = shared.value
         for part in parts:
-            keys, prints, sizes, prefixes = [], [], [], []
+            keys, prints, sizes, prefixes, sketches = [], [], [], [], []
             for text in part["text"]:
                 hashes = shingle_hashes(text, width, seed)
                 weight = np.zeros(len(hashes), np.int64)
@@ -222,11 +282,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prints.append(_set_print(hashes))
                 sizes.append(n)
                 prefixes.append(prefix.view(np.int64))
-            yield part.drop(columns="text").assign(key=keys, fp=prints, n=sizes, prefix=prefixes)
+                sketches.append(parity_sketch(hashes))
+            yield part.drop(columns="text").assign(key=keys, fp=prints, n=sizes, prefix=prefixes, sketch=sketches)
 
     kind = dict(named.dtypes)["id"]
-    marks = store(named.mapInPandas(read, f"id {kind}, text_hash long, key long, fp long, n int, prefix array<long>"), "shingle_sets")
-    sets = store(marks.groupBy("key").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("copies")), "sets")
+    marks = store(named.mapInPandas(read, f"id {kind}, text_hash long, key long, fp long, n int, prefix array<long>, sketch array<long>"), "shingle_sets")
+    sets = store(marks.groupBy("key").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "sets")
 
     # only shingles of two different sets go on
     shared_by = marks.select(F.explode("prefix").alias("shingle"), "key").groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,6 +154,21 @@ def test_near_copies_edges(spark):
     assert got == [("4", 4), ("4", 4), ("8", 8), ("9", 8), ("None", 4)]
 
 
+def test_parity_sketches_lose_no_pair(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 3, 63, 64, 65, 130, 500, 2049):
+        for gone in (0, 1, n // 10, n // 2):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, rng.integers(0, n), dtype=np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            rows.append((simhash.parity_sketch(a).tolist(), simhash.parity_sketch(b).tolist(), differ))
+            rows.append((rows[-1][1], rows[-1][0], differ))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, differ int").select("differ", simhash._apart(F.col("a"), F.col("b")).alias("apart")).collect()
+    assert len(got) == len(rows) and all(r.apart <= r.differ and (r.apart - r.differ) % 2 == 0 for r in got)
+    assert any(r.apart > r.differ / 2 > 20 for r in got)
+
+
 # ---- 2 mixing ----------------------------------------------------------------------------
 
 
