@@ -319,7 +319,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")),
     )
     more = _verified(met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), sets, docs, text_col, width, seed, similarity)
-    groups = components(links.unionAll(more))
+    groups = components(roots.select("root", "node").unionAll(more))  # the stars stand for the links
     rooted = sets.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_set = store(rooted.join(least, "root").select("key", "component_id"), "components")
