@@ -155,6 +155,23 @@ def _set_print(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0].astype(np.int64))
 
 
+def repeated_shingles(texts: pd.Series, width: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that two texts or more have, ascending, and the number of texts that have each.
+
+    All shingles lie in one array, sorted in place; a text has at most one word for every other character.
+    """
+    held, size = np.empty(sum(len(t or "") // 2 + 1 for t in texts), np.uint64), 0
+    for text in texts:
+        hashes = shingle_hashes(text, width, seed)
+        held[size : size + len(hashes)] = hashes
+        size += len(hashes)
+    held = held[:size]
+    held.sort()
+    edges = np.diff(np.concatenate(([0], (held[1:] == held[:-1]).astype(np.int8), [0])))
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return held[first], last - first + 1
+
+
 def common_shingles(docs: DataFrame, text_col: str, width: int, seed: int, max_rows: int = 50_000, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent shingles of about ``max_rows`` texts, ascending, and their counts; any answer is right, a good one saves work."""
     share = min(1.0, max_rows / max(1, docs.count()))
@@ -162,8 +179,8 @@ def common_shingles(docs: DataFrame, text_col: str, width: int, seed: int, max_r
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(t, width, seed) for t in part["text"])]), return_counts=True)
-            yield pd.DataFrame({"shingle": found[n > 1].view(np.int64), "n": n[n > 1]})
+            found, n = repeated_shingles(part["text"], width, seed)
+            yield pd.DataFrame({"shingle": found.view(np.int64), "n": n})
 
     counts = docs.select(F.col(text_col).alias("text")).where(draw < share).mapInPandas(count, "shingle long, n long")
     got = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "shingle").limit(most).toPandas()
@@ -277,7 +294,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     weight = np.where(known[at] == hashes, counts[at], 0)
                 n = len(hashes)
-                prefix = hashes[np.argsort(weight, kind="stable")][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                prefix = hashes[np.argsort(weight, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
                 keys.append(_set_key(hashes))
                 prints.append(_set_print(hashes))
                 sizes.append(n)

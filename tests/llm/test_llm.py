@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +148,13 @@ def test_near_duplicate_stage_finds_all_at_similarity(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == rows.columns
 
 
+def test_repeated_shingles():
+    for texts in ([], [None], ["", ""], ["a", "a"], ["a b"] * 3 + ["c"], ["a b c d e f g", "b c d e f q", "A b c d e"], ["x y", "z", None, "x y", "w", "z", "z"]):
+        counts = Counter(h for t in texts for h in simhash.shingle_hashes(t).tolist())
+        found, n = simhash.repeated_shingles(pd.Series(texts, dtype=object))
+        assert list(zip(found.tolist(), n.tolist())) == sorted((h, k) for h, k in counts.items() if k > 1)
+
+
 def test_near_copies_edges(spark):
     assert simhash.near_copies(docs(spark, [])).count() == 0
     rows = docs(spark, ["a b c", "A b\tc", None, "", "a b c"], ids=[None, 4, 9, 8, 4])
