@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: A pair without a rank.
 NONE = np.int32(2**31 - 1)
-#: Characters that are encoded at a time, and characters of distinct words that are remembered.
-SLICE, REMEMBERED = 1 << 20, 1 << 23
+#: Bytes of text that are encoded at a time, and characters of distinct words that are remembered.
+SLICE, REMEMBERED = 1 << 19, 1 << 20
 
 
 class Vocabulary:
@@ -256,17 +257,11 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of whole texts with about ``SLICE`` characters."""
-    part, n = [], 0
-    for text in texts:
-        part.append(text)
-        n += len(text)
-        if n >= SLICE:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes are about ``most`` together."""
+    group = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
@@ -285,10 +280,9 @@ def encoded(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for part in parts:
-            made = [encoder.encode(s) for s in _slices(part.to_pylist())]
-            ids = np.concatenate([x for x, _ in made]) if made else np.empty(0, np.int32)
-            sizes = np.concatenate([n for _, n in made]) if made else np.empty(0, np.int64)
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
+            for low, high in ranges(pc.binary_length(part).to_numpy(), SLICE):
+                ids, sizes = encoder.encode(part[low:high].to_pylist())
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -332,18 +326,10 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     @F.arrow_udf("string")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts, offsets, flat = [], part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+            offsets, flat = part.offsets.to_numpy(), part.values.to_numpy()
             sizes = np.diff(offsets)
-            for low, high in _ranges(sizes):
-                texts += decode_flat(shared.value, flat[offsets[low] : offsets[high]], sizes[low:high])
-            yield pa.array(texts, pa.string())
+            for low, high in ranges(sizes, SLICE // 4):
+                yield pa.array(decode_flat(shared.value, flat[offsets[low] : offsets[high]], sizes[low:high]), pa.string())
 
     given = F.coalesce(F.filter(F.col(f"`{ids}`"), lambda k: k.isNotNull()), F.array().cast("array<int>"))
     return docs.withColumn(out, of(given))
-
-
-def _ranges(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about a quarter of ``SLICE`` ids."""
-    group = np.cumsum(sizes) // (SLICE // 4)
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
-    return ((a, b) for a, b in zip(edges, edges[1:]) if b > a)

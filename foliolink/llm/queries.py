@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, lines, mixing, pieces, quality, simhash, toxicity, urls
+from . import chat, decontaminate, html_text, language, lines, mixing, periods, pieces, quality, simhash, toxicity, urls
+from .common import split_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +121,43 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     )
 
 
+def repeating_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in which the words of every tenth document by hash come again with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def again(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    # The words are a variable of the outer transform, so that they are split once.
+    made = F.get(F.transform(F.array(split_words(F.col("text"))), lambda w: F.when(F.size(w) > 0, again(w))), F.lit(0))
+    text = F.when(h % 10 == 0, made).otherwise(F.col("text"))
+    return docs.select("doc_id", F.explode(F.array(text)).alias("text"))  # a column of its own: Python functions can't take nested lambdas
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, of which every tenth is made periodic first."""
+    found = periods.find_runs(repeating_texts(_table(spark, sf_dir, "documents")))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    best = found.withColumn("_best", longest)
+    length, start, period = F.col("_best.length"), -F.col("_best.start"), -F.col("_best.period")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -134,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_html_text,
         op11_sentencepiece,
+        op13_periodic_runs,
     )
 }
 
@@ -195,10 +234,39 @@ j AS (SELECT k.*, holder IS NOT NULL AND holder <> doc_id AS gone FROM k LEFT JO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
+_PERIODS = rf"""WITH RECURSIVE k(n, c, i) AS (
+  SELECT n, n, 0 FROM range(256) x(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM k WHERE i < 8),
+t AS (SELECT list(c ORDER BY n) AS t FROM k WHERE i = 8),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM documents, t),
+f AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS e FROM d),
+s AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // e) + 1] END) ELSE w END AS w FROM f),
+e AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM s),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+o AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS b FROM m),
+c AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM o GROUP BY doc_id, q, b HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM c z WHERE z.doc_id = c.doc_id AND z.q < c.q AND z.start <= c.start AND z.start + z.length >= c.start + c.length)),
+g AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+v AS (
+  SELECT e.doc_id, sha256(coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL), '')) AS collapsed_sha256
+  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id),
+b AS (
+  SELECT doc_id, count(*) AS n_runs, max(struct_pack(l := length, s := -start, q := -q)) AS best,
+    sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q)) AS runs_sha256 FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN v ON d.doc_id = v.doc_id"""
+
 #: The others rest on 64-bit hashes, trained weights or page structure, which SQL can't express.
 ORACLES: dict[str, str] = {
     "op4_chat_format": _CHAT,
     "op5_url_filter": _URLS,
     "op7_quality_rules": _QUALITY,
     "op9_line_dedup": _LINES,
+    "op13_periodic_runs": _PERIODS,
 }
