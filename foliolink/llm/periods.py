@@ -15,11 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are read, and words in which runs are looked for, at a time.
-SLICE = 1 << 19
+from .pieces import ranges
+
+#: Bytes of text that are taken, words that are read, and words in which runs are looked for, at a time.
+TEXTS, SLICE = 1 << 23, 1 << 19
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
@@ -220,7 +223,7 @@ def runs_in_texts(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarra
 
     def read(rows: list[list[bytes]], base: int) -> None:
         numbers: dict[bytes, int] = {}
-        sizes = np.array([len(r) for r in rows])
+        sizes = np.array([len(r) for r in rows], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         symbols = np.fromiter((numbers.setdefault(w, len(numbers)) for r in rows for w in r), np.int64, int(bounds[-1]))
         start, size = suspects(symbols, bounds, least)
@@ -280,13 +283,14 @@ def find_runs(docs: DataFrame, text: str = "text", least: int = 12) -> DataFrame
     @F.arrow_udf(f"struct<n_words: bigint, runs: {RUNS}, collapsed: string>")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = part.cast(pa.binary()).to_pylist()
-            counts, owner, runs = runs_in_texts(texts, least)
-            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-            fields = [pa.array(runs[:, k], pa.int64()) for k in range(3)]
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "length", "period"]))
-            short = pa.array([collapse(t, runs[a:b]) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary()).cast(pa.string())
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists, short], ["n_words", "runs", "collapsed"])
+            for low, high in ranges(pc.binary_length(part).to_numpy(), TEXTS):
+                texts = part[low:high].cast(pa.binary()).to_pylist()
+                counts, owner, runs = runs_in_texts(texts, least)
+                bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+                fields = [pa.array(runs[:, k], pa.int64()) for k in range(3)]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "length", "period"]))
+                short = pa.array([collapse(t, runs[a:b]) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary()).cast(pa.string())
+                yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists, short], ["n_words", "runs", "collapsed"])
 
     found = of(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     name = "_found"
