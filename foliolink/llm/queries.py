@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, lines, mixing, periods, pieces, quality, simhash, toxicity, urls
+from . import chat, decontaminate, html_text, language, lines, mixing, negatives, periods, pieces, quality, simhash, toxicity, urls
 from .common import split_words
 
 
@@ -121,6 +121,19 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     )
 
 
+def labelled_vectors(embeddings: DataFrame) -> DataFrame:
+    """``id, label, vector`` in whole numbers; every seventh row's label moves on by one."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return embeddings.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").alias("id"), moved.alias("label"), whole.alias("vector"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    return negatives.hard_negatives(labelled_vectors(_table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
+
+
 def repeating_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` in which the words of every tenth document by hash come again with a period from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -172,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_html_text,
         op11_sentencepiece,
+        op12_hard_negatives,
         op13_periodic_runs,
     )
 }
@@ -234,6 +248,21 @@ j AS (SELECT k.*, holder IS NOT NULL AND holder <> doc_id AS gone FROM k LEFT JO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
+_NEGATIVES = """WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.other_id AS negative_id,
+  p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY rank <= 10"""
+
 _PERIODS = rf"""WITH RECURSIVE k(n, c, i) AS (
   SELECT n, n, 0 FROM range(256) x(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM k WHERE i < 8),
 t AS (SELECT list(c ORDER BY n) AS t FROM k WHERE i = 8),
@@ -268,5 +297,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": _URLS,
     "op7_quality_rules": _QUALITY,
     "op9_line_dedup": _LINES,
+    "op12_hard_negatives": _NEGATIVES,
     "op13_periodic_runs": _PERIODS,
 }
