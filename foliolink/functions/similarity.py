@@ -8,6 +8,7 @@ values are alike (1.0) and a blank and a value are not (0.0).
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from os.path import commonprefix
 
 import pandas as pd
@@ -152,8 +153,12 @@ def date_similarity(a: Column, b: Column) -> Column:
 
 
 def phone_similarity(a: Column, b: Column) -> Column:
-    bare = lambda c: F.regexp_replace(X.digits(c), r"^1(?=\d{10}$)", "")
-    return _blanks(a, b, (bare(a) == bare(b)).cast("double"))
+    return _blanks(a, b, (bare_phone(a) == bare_phone(b)).cast("double"))
+
+
+def bare_phone(c: Column) -> Column:
+    """Digits, without a leading 1 before ten others."""
+    return F.regexp_replace(X.digits(c), r"^1(?=\d{10}$)", "")
 
 
 def _jaro_winkler(a: Column, b: Column) -> Column:
@@ -168,6 +173,16 @@ def _jaro_winkler(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
+def blend_similarity(a: Column, b: Column) -> Column:
+    """:func:`blend_of` for columns, the same to the last bit."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([blend_of(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype=float)
+
+    return score(a, b)
+
+
 def _blocks_ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -199,13 +214,29 @@ def address_similarity(a: Column, b: Column) -> Column:
 
 def record_similarity(a: Column, b: Column, fields: list[str], weights: dict[str, float] | None = None) -> Column:
     """Weighted mean over the struct fields that at least one of two records fills; 0 if there is none."""
+    return _record(a, b, fields, weights, name_similarity)
+
+
+def record_bound(a: Column, b: Column, fields: list[str], weights: dict[str, float] | None = None) -> Column:
+    """At least :func:`record_similarity`, without Python: of Jaro-Winkler only what the lengths allow."""
+    return _record(a, b, fields, weights, _name_bound)
+
+
+def _name_bound(a: Column, b: Column) -> Column:
+    x, y = X.collapse(a), X.collapse(b)
+    n, m = F.length(x), F.length(y)
+    jaro = (F.least(n, m) * (1 / n + 1 / m) + 1) / 3
+    return _blanks(x, y, 0.4 * (jaro + 0.4 * (1 - jaro)) + 0.3 * ocr_similarity(x, y) + 0.3 * token_similarity(x, y) + 1e-9)
+
+
+def _record(a: Column, b: Column, fields: list[str], weights: dict[str, float] | None, of_name: Callable[[Column, Column], Column]) -> Column:
     total, weight = F.lit(0.0), F.lit(0.0)
     for field, w in (weights or FIELD_WEIGHTS).items():
         if field not in fields:
             continue
         x, y = X.text(a[field]), X.text(b[field])
         if field in NAME_FIELDS or field in ADDRESS_FIELDS:
-            score = name_similarity(x, y)
+            score = of_name(x, y)
         elif field == "dob":
             score = date_similarity(x, y)
         elif field in PHONE_FIELDS:
@@ -216,3 +247,9 @@ def record_similarity(a: Column, b: Column, fields: list[str], weights: dict[str
         total = total + F.when(used, score * w).otherwise(0.0)
         weight = weight + F.when(used, F.lit(float(w))).otherwise(0.0)
     return F.when(weight > 0, total / weight).otherwise(0.0)
+
+
+def exact_key(field: str, value: Column) -> Column | None:
+    """What two values of a date or phone field have in common exactly when they score 1, else 0; null for a blank one. No column for other fields."""
+    made = X.normalize_date(value) if field == "dob" else bare_phone(value) if field in PHONE_FIELDS else None
+    return None if made is None else F.when(X.text(value) != "", made)

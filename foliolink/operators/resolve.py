@@ -7,15 +7,17 @@ signature ``sig_name, sig_dob`` and ``confidence``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import similarity as S
 from ..functions.similarity import FIELD_WEIGHTS, blend_of
 from ..functions import text as X
+from . import linkage
 
 INFO = ("full_name", "first_name", "middle_name", "last_name", "dob")
 
@@ -39,6 +41,18 @@ def _record_score(a: dict, b: dict, alike: Callable[[str, str], float]) -> float
     return total / weight if weight else 0.0
 
 
+def _absorbed(person: list[dict], alike: Callable[[str, str], float], merge_at: float) -> list[int]:
+    """For each person in order the one that it becomes: an earlier one that agrees to ``merge_at``, the fuller of both standing for it, the earlier on a tie."""
+    person, goes_to = list(person), list(range(len(person)))
+    filled = lambda p: sum(bool((p[f] or "").strip()) for f in INFO)
+    for i in range(len(person)):
+        for j in range(i + 1, len(person)) if goes_to[i] == i else ():
+            if goes_to[j] == j and _record_score(person[i], person[j], alike) >= merge_at:
+                goes_to[j] = i
+                person[i] = max(person[i], person[j], key=filled)
+    return goes_to
+
+
 def _numbered(rows: list[dict], alike: Callable[[str, str], float], threshold: float, need_dob: bool, merge_at: float) -> list[tuple]:
     """``(doc_id, sig_name, sig_dob, lone, group_no)`` of one document's signatures, in order of first appearance.
 
@@ -47,38 +61,56 @@ def _numbered(rows: list[dict], alike: Callable[[str, str], float], threshold: f
     opened: list[dict] = []
     number = []
     for row in rows:
-        dob = row["sig_dob"] or ""
-        fits = (k for k, g in enumerate(opened) if alike(row["sig_name"], g["sig_name"]) >= threshold and (not (need_dob and dob) or dob == (g["sig_dob"] or "")))
+        dob = row["sig_dob"]
+        fits = (k for k, g in enumerate(opened) if alike(row["sig_name"], g["sig_name"]) >= threshold and (not (need_dob and dob) or dob == g["sig_dob"]))
         at = next(fits, len(opened))
         if at == len(opened):
             opened.append(row)
         number.append(at)
-    person, goes_to = list(opened), list(range(len(opened)))
-    filled = lambda p: sum(bool((p[f] or "").strip()) for f in INFO)
-    for i in range(len(opened)):
-        for j in range(i + 1, len(opened)) if goes_to[i] == i else ():
-            if goes_to[j] == j and _record_score(person[i], person[j], alike) >= merge_at:
-                goes_to[j] = i
-                person[i] = max(person[i], person[j], key=filled)  # the earlier on a tie
+    goes_to = _absorbed(opened, alike, merge_at)
     kept = {g: k + 1 for k, g in enumerate(dict.fromkeys(goes_to))}
     return [(r["doc_id"], r["sig_name"], r["sig_dob"], r["lone"], kept[goes_to[k]]) for r, k in zip(rows, number)]
 
 
-def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, merge_at: float = 0.95) -> DataFrame:
+SIGNATURE = ["doc_id", "sig_name", "sig_dob", "lone"]
+#: Signatures of a document that are folded in one task, at most; beyond, the same groups are found by joins.
+FOLDED = 256
+
+
+def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, merge_at: float = 0.95, folded: int = FOLDED) -> DataFrame:
     """Adds ``group_no``: each page joins the first group whose opening signature it resembles, else opens one.
 
     Groups whose persons agree to ``merge_at`` then become one, the earlier number staying;
     the person with more filled fields stands for it, the earlier on a tie. Only the distinct
-    signatures of a document meet in one task, in order of first appearance, which gives the
-    groups that page order gives. A one-letter name doesn't resemble itself, so each of its
-    pages opens a group. Pages without a name are left out. ``pages`` has the columns of
-    :func:`extract.with_person`.
+    signatures of a document matter, in order of first appearance, which gives the groups
+    that page order gives. A one-letter name doesn't resemble itself, so each of its
+    pages opens a group. Pages without a name are left out; a null date is an empty one.
+    ``pages`` has the columns of :func:`extract.with_person`.
+
+    Documents of up to ``folded`` signatures are folded, many in a task; larger ones go through
+    rounds of joins (:mod:`linkage`), so that no document is one task. Both give the same
+    groups. Thresholds of 0.7 or less, and merging at 0.9 or less, are always folded, since the joins
+    rest on common words.
     """
     named = pages.where("sig_name <> ''")
     lone = F.when(F.length("sig_name") == 1, F.col("pos")).otherwise(F.lit(-1))
-    keyed = named.withColumn("lone", lone)
+    keyed = named.withColumns({"sig_dob": X.text(F.col("sig_dob")), "lone": lone})
     opening = F.min_by(F.struct(*INFO), F.col("pos")).alias("info")
-    seen = keyed.groupBy("doc_id", "sig_name", "sig_dob", "lone").agg(F.min("pos").alias("first_pos"), opening).select("doc_id", "sig_name", "sig_dob", "lone", "first_pos", "info.*")
+    seen = keyed.groupBy(*SIGNATURE).agg(F.min("pos").alias("first_pos"), opening).select(*SIGNATURE, "first_pos", "info.*")
+    if threshold <= linkage.LETTERS or merge_at <= 0.9:
+        return keyed.join(_folded(seen, threshold, need_dob, merge_at), SIGNATURE).drop("lone")
+    seen = scratch.keep(seen, "signatures")
+    large = seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id")
+    if large.isEmpty():
+        groups = _folded(seen, threshold, need_dob, merge_at)
+    else:
+        small = seen.join(large, "doc_id", "left_anti")
+        groups = _folded(small, threshold, need_dob, merge_at).unionByName(_joined(seen.join(large, "doc_id", "left_semi"), threshold, need_dob, merge_at))
+    return keyed.join(groups, SIGNATURE).drop("lone")
+
+
+def _folded(seen: DataFrame, threshold: float, need_dob: bool, merge_at: float) -> DataFrame:
+    """``SIGNATURE`` and ``group_no``: rows stream through sorted; a task holds one document's signatures at a time."""
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alike = lru_cache(1 << 16)(blend_of)  # documents repeat names
@@ -93,11 +125,80 @@ def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = Tru
             yield pd.DataFrame(out, columns=named_columns)
         yield pd.DataFrame(_numbered(rows, alike, threshold, need_dob, merge_at), columns=named_columns)
 
-    named_columns = ["doc_id", "sig_name", "sig_dob", "lone", "group_no"]
-    doc = dict(named.dtypes)["doc_id"]
+    named_columns = [*SIGNATURE, "group_no"]
+    doc = dict(seen.dtypes)["doc_id"]
+    lone = dict(seen.dtypes)["lone"]
     ordered = seen.repartition("doc_id").sortWithinPartitions("doc_id", "first_pos", "sig_name", "sig_dob")
-    groups = ordered.mapInPandas(fold, f"doc_id {doc}, sig_name string, sig_dob string, lone long, group_no int")
-    return keyed.join(groups, ["doc_id", "sig_name", "sig_dob", "lone"]).drop("lone")
+    return ordered.mapInPandas(fold, f"doc_id {doc}, sig_name string, sig_dob string, lone {lone}, group_no int")
+
+
+def _joined(seen: DataFrame, threshold: float, need_dob: bool, merge_at: float) -> DataFrame:
+    """What :func:`_folded` gives, by joins.
+
+    Pages with a date only join groups opened with the same date, so they are settled first;
+    then each page without one joins the earliest opening page of a like name.
+    """
+    place = F.struct("first_pos", "sig_name", "sig_dob")
+    date = F.col("sig_dob") if need_dob else F.lit("")
+    made = seen.groupBy("doc_id", "sig_name", date.alias("date"), "lone").agg(F.min(place).alias("place"), F.min_by(F.struct(*INFO), place).alias("info"))
+    nodes = scratch.keep(made.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    like = scratch.keep(linkage.like_names(nodes.select("doc_id", F.col("sig_name").alias("name")).distinct(), ["doc_id"], threshold), "like").select("doc_id", "a", "b")
+    rows = nodes.select("doc_id", F.col("sig_name").alias("a"), "date", "node", "place")
+    others = nodes.select("doc_id", F.col("sig_name").alias("b"), "date", F.col("node").alias("earlier"), F.col("place").alias("opened"))
+
+    def edges(which: str) -> DataFrame:
+        met = rows.where(which).join(like, ["doc_id", "a"]).join(others.where(which), ["doc_id", "b", "date"])
+        return met.where("opened < place").select("node", "earlier", "opened")
+
+    dated = scratch.keep(edges("date <> ''"), "dated")
+    joins = linkage.members_of_first(dated)
+    opening = others.where("date <> ''").join(joins.select(F.col("node").alias("earlier")), "earlier", "left_anti")
+    first_of = opening.groupBy("doc_id", "b").agg(F.min(F.struct("opened", "earlier")).alias("first"))
+    near = like.join(first_of, ["doc_id", "b"]).groupBy("doc_id", "a").agg(F.min("first").alias("first"))
+    late = rows.where("date = ''").join(near, ["doc_id", "a"]).where("first.opened < place")
+    late = scratch.keep(late.select("node", "first.earlier", "first.opened"), "late")
+    undated = scratch.keep(edges("date = ''"), "undated")
+    joins = scratch.keep(joins.unionByName(linkage.members_of_first(undated, late)), "joins")
+
+    possible = dated.unionByName(undated).join(joins.select(F.col("node").alias("earlier")), "earlier", "left_anti").select("node", "earlier", "opened")
+    home = possible.unionByName(late).join(joins, "node", "left_semi").groupBy("node").agg(F.min(F.struct("opened", "earlier"))["earlier"].alias("opener"))
+    openers = scratch.keep(nodes.join(joins, "node", "left_anti").select("doc_id", "node", "place", "info"), "openers")
+    into = scratch.keep(_merged_openers(openers, merge_at), "into")
+    stays = linkage.numbered(openers.join(into.select("node"), "node", "left_anti").select("doc_id", "place", "node"), ["doc_id"], ["place"], "group_no")
+    every = openers.select("node", F.col("node").alias("opener")).unionByName(home)
+    moved = every.join(into.select(F.col("node").alias("opener"), "root"), "opener", "left").select("node", F.coalesce("root", "opener").alias("opener"))
+    of = nodes.join(moved, "node").join(stays.select(F.col("node").alias("opener"), "group_no"), "opener").select("doc_id", "sig_name", "date", "lone", "group_no")
+    return seen.withColumn("date", date).join(of, ["doc_id", "sig_name", "date", "lone"]).select(*SIGNATURE, "group_no")
+
+
+def _merged_openers(openers: DataFrame, merge_at: float) -> DataFrame:
+    """``(node, root)`` of the openers that become an earlier one.
+
+    Persons can only agree to ``merge_at`` if their dates are the same and so are their full
+    names to a bound that leaves the rest of the weight; so only persons linked by that can
+    ever meet, and each such set is folded by itself.
+    """
+    whole = FIELD_WEIGHTS["full_name"] + FIELD_WEIGHTS["first_name"] + FIELD_WEIGHTS["last_name"] + FIELD_WEIGHTS["dob"]
+    bound = 1 - (1 - merge_at) * whole / FIELD_WEIGHTS["full_name"]
+    used = [F.nullif(X.text(F.col(f"info.{f}")), F.lit("")) for f in ("full_name", "first_name", "last_name")]
+    kind = F.when(used[0].isNotNull(), 0).when(used[1].isNotNull(), 1).when(used[2].isNotNull(), 2).otherwise(3)
+    keys = ["doc_id", "born", "kind"]
+    named = openers.select("doc_id", "node", X.text(F.col("info.dob")).alias("born"), kind.alias("kind"), F.coalesce(*used, F.lit("")).alias("name"))
+    named = scratch.keep(named.withColumn("least", F.min("node").over(Window.partitionBy(*keys, "name"))), "named")
+    names = named.select(*keys, "name", "least").distinct()
+    like = linkage.like_names(names.select(*keys, "name"), keys, max(linkage.LETTERS, bound - 1e-6)).where("a < b")
+    links = like.join(names.select(*keys, F.col("name").alias("a"), F.col("least").alias("x")), [*keys, "a"]).join(names.select(*keys, F.col("name").alias("b"), F.col("least").alias("y")), [*keys, "b"])
+    pairs = links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(named.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    sets = linkage.components(pairs)
+    people = openers.join(sets, "node").select("root", "node", "place", "info.*")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.assign(_order=[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in group["place"]]).sort_values("_order")
+        goes_to = _absorbed(ordered.to_dict("records"), lru_cache(1 << 12)(blend_of), merge_at)
+        nodes = ordered["node"].tolist()
+        return pd.DataFrame([(nodes[k], nodes[g]) for k, g in enumerate(goes_to) if g != k], columns=["node", "root"])
+
+    return people.groupBy("root").applyInPandas(fold, "node long, root long")
 
 
 def islands(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "group_no"), order: str = "pos") -> DataFrame:
@@ -193,17 +294,43 @@ def best_matches(targets: DataFrame, candidates: DataFrame, fields: list[str], t
 
     Both have ``block`` (only rows of a block are compared), ``person_id`` and a struct
     ``info``; ties go to the smaller id. Targets without a match have a null ``match_id``.
+
+    A mean of ``threshold`` or more needs a field that scores as much: an equal date or phone, or
+    names or addresses that are alike to it. Different records meet by these alone, copies of
+    a record as one; a bound without Python leaves out most pairs before they are scored. Below
+    0.7, or with fields of other kinds, all records of a block meet instead.
     """
-    met = targets.select("block", F.col("person_id").alias("target_id"), F.col("info").alias("t")).join(
-        candidates.select("block", F.col("person_id").alias("match_id"), F.col("info").alias("c")), "block"
-    )
-    scored = met.withColumn("score", S.record_similarity(F.col("t"), F.col("c"), fields)).where(F.col("score") >= threshold)
-    best = scored.groupBy("target_id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("minus"))).alias("best"))
-    return targets.select(F.col("person_id").alias("target_id")).join(best, "target_id", "left").select("target_id", (-F.col("best.minus")).alias("match_id"), F.col("best.score").alias("score"))
+    wanted = [f for f in FIELD_WEIGHTS if f in fields]
+    fuzzy = [f for f in wanted if f in S.NAME_FIELDS or f in S.ADDRESS_FIELDS]
+    exact = [f for f in wanted if S.exact_key(f, F.lit("")) is not None]
+    ours = scratch.keep(targets.select("block", "info").distinct().withColumn("t", F.monotonically_increasing_id()), "targets")
+    theirs = scratch.keep(candidates.groupBy("block", "info").agg(F.min("person_id").alias("match_id")).withColumn("c", F.monotonically_increasing_id()), "candidates")
+    if threshold < linkage.LETTERS or set(wanted) - {*fuzzy, *exact} or not wanted:
+        pairs = ours.select("block", "t").join(theirs.select("block", "c"), "block").select("t", "c")
+    else:
+        found = []
+        for field in exact:
+            key = S.exact_key(field, F.col(f"info.{field}")).alias("key")
+            found.append(ours.select("block", "t", key).join(theirs.select("block", "c", key), ["block", "key"]).select("t", "c"))
+        for field in fuzzy:
+            mine, other = (side.select("block", k, X.text(F.col(f"info.{field}")).alias("name")).where("name <> ''") for side, k in ((ours, "t"), (theirs, "c")))
+            names = mine.select("block", "name").unionByName(other.select("block", "name")).distinct()
+            like = linkage.like_names(names, ["block"], max(linkage.LETTERS, threshold - 1e-6)).select("block", "a", "b")
+            found.append(mine.withColumnRenamed("name", "a").join(like, ["block", "a"]).join(other.withColumnRenamed("name", "b"), ["block", "b"]).select("t", "c"))
+        pairs = reduce(DataFrame.unionByName, found).distinct()
+    met = pairs.join(ours.select("t", F.col("info").alias("x")), "t").join(theirs.select("c", "match_id", F.col("info").alias("y")), "c")
+    likely = met.where(S.record_bound(F.col("x"), F.col("y"), fields) >= threshold)
+    scored = likely.withColumn("score", S.record_similarity(F.col("x"), F.col("y"), fields)).where(F.col("score") >= threshold)
+    best = scored.groupBy("t").agg(F.max(F.struct("score", (-F.col("match_id")).alias("minus"))).alias("best"))
+    told = ours.join(best, "t").select("block", "info", (-F.col("best.minus")).alias("match_id"), F.col("best.score").alias("score"))
+    return targets.join(told, ["block", "info"], "left").select(F.col("person_id").alias("target_id"), "match_id", "score")
 
 
 def cohesion(people: DataFrame, fields: list[str]) -> DataFrame:
-    """Mean pairwise record similarity per group (``group_id, person_id, info``); 1 for one person. Groups are a person's records, so their pairs stay few."""
+    """Mean pairwise record similarity per group (``group_id, person_id, info``); 1 for one person.
+
+    The mean is over every pair of the group, near or far, so no index can spare any: groups are meant to be one person's records.
+    """
     a, b = people.alias("a"), people.alias("b")
     pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.person_id") < F.col("b.person_id"))).select(
         F.col("a.group_id").alias("group_id"), S.record_similarity(F.col("a.info"), F.col("b.info"), fields).alias("s")

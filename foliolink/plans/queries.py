@@ -16,6 +16,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import chunk, compare, consolidate, images, layout, models, resolve, route
 from ..sources import pages as sources
+from .blend_sql import blend
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -572,31 +573,53 @@ def person_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = F.struct(
         F.col("name").alias("full_name"),
         F.element_at(F.split("name", " "), 1).alias("first_name"),
-        F.concat(F.lit("01/"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit("/1980")).alias("dob"),
+        F.concat(F.lit("01/"), F.lpad((F.col("c_custkey") % 3 + 1).cast("string"), 2, "0"), F.lit("/1980")).alias("dob"),
         F.col("address").alias("address_full"),
         F.col("phone"),
     )
     return rows.select(F.col("c_custkey").alias("person_id"), F.floor(F.col("c_custkey") / 5).alias("group_id"), info.alias("info"))
 
 
-@query()
+RECORDS = rf"""{PEOPLE}, rec AS (
+  SELECT c_custkey AS k, {_COLLAPSE.format("name")} AS name, {_COLLAPSE.format("string_split(name, ' ')[1]")} AS first, c_custkey % 3 AS born,
+    {_COLLAPSE.format("address")} AS address, regexp_replace(regexp_replace(phone, '\D', '', 'g'), '^1(\d{{10}})$', '\1') AS phone FROM q)"""
+_THREE = "(40 * z.s + 30 * (x.born = y.born)::INT + 10 * (x.phone = y.phone)::INT) / 80"
+
+
+@query(
+    f"""WITH RECURSIVE {RECORDS}, pairs AS (SELECT x.*, y.name AS name2, y.first AS first2, y.born AS born2, y.address AS address2, y.phone AS phone2 FROM rec x JOIN rec y ON y.k = x.k + 1),
+texts AS (SELECT name AS a, name2 AS b FROM pairs UNION SELECT first, first2 FROM pairs UNION SELECT address, address2 FROM pairs), {blend("texts")}
+SELECT k AS person_id, round((40 * n.s + 20 * f.s + 30 * (born = born2)::INT + 20 * d.s + 10 * (phone = phone2)::INT) / 120 + 1e-9, 6) AS similarity
+FROM pairs JOIN z n ON n.a = name AND n.b = name2 JOIN z f ON f.a = first AND f.b = first2 JOIN z d ON d.a = address AND d.b = address2"""
+)
 def patient_similarity(spark, sf_dir):
     rows = person_records(spark, sf_dir)
     fields = ["full_name", "first_name", "dob", "address_full", "phone"]
     after = rows.select((F.col("person_id") - 1).alias("person_id"), F.col("info").alias("other"))
-    return rows.join(after, "person_id").select("person_id", F.round(S.record_similarity(F.col("info"), F.col("other"), fields), 6).alias("similarity"))
+    return rows.join(after, "person_id").select("person_id", F.round(S.record_similarity(F.col("info"), F.col("other"), fields) + 1e-9, 6).alias("similarity"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RECORDS}, pairs AS (SELECT x.name AS a, y.name AS b FROM rec x JOIN rec y ON x.k // 20 = y.k // 20 WHERE x.k % 2 = 0 AND y.k % 2 = 1), {blend("pairs")},
+scored AS (
+  SELECT x.k, y.k AS other, {_THREE} AS score FROM rec x JOIN rec y ON x.k // 20 = y.k // 20 JOIN z ON z.a = x.name AND z.b = y.name WHERE x.k % 2 = 0 AND y.k % 2 = 1),
+best AS (SELECT * FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, other) = 1)
+SELECT rec.k AS target_id, other AS match_id, round(score + 1e-9, 6) AS score FROM rec LEFT JOIN best ON best.k = rec.k WHERE rec.k % 2 = 0"""
+)
 def best_match(spark, sf_dir):
-    rows = person_records(spark, sf_dir).withColumnRenamed("group_id", "block")
-    fields = ["full_name", "dob", "phone"]
-    return resolve.best_matches(rows, rows.withColumn("person_id", F.col("person_id") + 1_000_000), fields, 0.7).withColumn("score", F.round("score", 6))
+    """Persons with even keys against those of their twenty with odd ones."""
+    rows = person_records(spark, sf_dir).withColumn("block", F.floor(F.col("person_id") / 20))
+    even, odd = rows.where("person_id % 2 = 0"), rows.where("person_id % 2 = 1")
+    return resolve.best_matches(even, odd, ["full_name", "dob", "phone"], 0.7).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RECORDS}, pairs AS (SELECT x.name AS a, y.name AS b FROM rec x JOIN rec y ON x.k // 5 = y.k // 5 AND x.k < y.k), {blend("pairs")},
+m AS (SELECT x.k // 5 AS g, avg({_THREE}) AS v FROM rec x JOIN rec y ON x.k // 5 = y.k // 5 AND x.k < y.k JOIN z ON z.a = x.name AND z.b = y.name GROUP BY 1)
+SELECT DISTINCT CAST(k // 5 AS BIGINT) AS group_id, round(coalesce(v, 1.0::DOUBLE) + 1e-9, 6) AS cohesion FROM rec LEFT JOIN m ON g = k // 5"""
+)
 def group_cohesion(spark, sf_dir):
-    return resolve.cohesion(person_records(spark, sf_dir), ["full_name", "dob", "phone"]).withColumn("cohesion", F.round("cohesion", 6))
+    return resolve.cohesion(person_records(spark, sf_dir), ["full_name", "dob", "phone"]).withColumn("cohesion", F.round(F.col("cohesion") + 1e-9, 6))
 
 
 # ---- linkage -----------------------------------------------------------------------------
@@ -634,19 +657,47 @@ def chunk_merge(spark, sf_dir):
     return chunk.merge_chunks(chunk_people(spark, sf_dir)).select("doc_id", "chunk_id", "person_no", "merged_no")
 
 
+#: People of whom some resemble others that don't resemble each other, and one whose signature has the words of another in other order.
+SIGNED = ("ann mary lee", "ann mary lea", "ann mari lea", "lee ann mary", "john paul smith", "john paul smyth", "joan paul smyth", "bo")
+SIGNED_ON = ("", "1980-01-02", "1981-01-02")
+_SIGNED = f"""t AS (
+  SELECT conv_id AS doc_id, turn AS pos, {_SQL(SIGNED)}[(conv_id * 3 + turn * 5) % 8 + 1] AS name, {_SQL(SIGNED_ON)}[(conv_id + turn // 2) % 3 + 1] AS dob,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+pairs AS (SELECT x.n AS a, y.n AS b FROM (SELECT unnest({_SQL(SIGNED)}) AS n) x, (SELECT unnest({_SQL(SIGNED)}) AS n) y)"""
+
+
 @query(
-    """WITH t AS (
-  SELECT conv_id AS doc_id, turn AS pos, CAST(turn + 1 AS INTEGER) AS page_number, role, role || ' ' || turn % 2 AS name, CASE WHEN turn % 3 = 0 THEN '1980-01-02' ELSE '' END AS dob FROM conversations),
-o AS (SELECT doc_id, name, arg_min(dob, pos) AS opening FROM t GROUP BY doc_id, name),
-g AS (SELECT t.*, CASE WHEN dob <> '' THEN dob ELSE opening END AS of_dob FROM t JOIN o USING (doc_id, name)),
-k AS (SELECT doc_id, role, of_dob, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS group_no FROM g GROUP BY doc_id, role, of_dob)
-SELECT g.doc_id, page_number, CAST(group_no AS INTEGER) AS group_no FROM g JOIN k USING (doc_id, role, of_dob)"""
+    f"""WITH RECURSIVE {_SIGNED}, {blend("pairs")}, ok AS (SELECT list(a || '|' || b) AS l FROM z WHERE s >= 0.8),
+r AS (
+  SELECT doc_id, pos, k, [{{'n': name, 'd': dob}}] AS known, 1 AS slot FROM t WHERE k = 1
+  UNION ALL
+  SELECT doc_id, pos, k, CASE WHEN hit IS NULL THEN list_append(known, {{'n': name, 'd': dob}}) ELSE known END, coalesce(hit, len(known) + 1)
+  FROM (
+    SELECT t.doc_id, t.pos, t.k, t.name, t.dob, known,
+      list_filter(range(1, len(known) + 1), lambda i: list_contains(l, t.name || '|' || known[i].n) AND (t.dob = '' OR known[i].d = t.dob))[1] AS hit
+    FROM r JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1, ok)),
+o AS (SELECT r.doc_id, slot, replace(name, 'lee ann mary', 'ann mary lee') AS person, dob FROM r JOIN t ON t.doc_id = r.doc_id AND t.pos = r.pos QUALIFY row_number() OVER (PARTITION BY r.doc_id, slot ORDER BY r.pos) = 1),
+m AS (SELECT doc_id, slot, min(slot) OVER (PARTITION BY doc_id, person, dob) AS into_ FROM o),
+g AS (SELECT doc_id, slot, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY into_) AS INTEGER) AS group_no FROM m)
+SELECT r.doc_id, CAST(pos + 1 AS INTEGER) AS page_number, group_no FROM r JOIN g ON g.doc_id = r.doc_id AND g.slot = r.slot"""
 )
 def greedy_groups(spark, sf_dir):
-    """Turns as pages of whoever speaks, with a date on every third page. No two different signatures here reach the threshold, so SQL can tell the groups by equality."""
-    pages = turn_pages(spark, sf_dir).withColumn("sig_dob", F.when(F.col("pos") % 3 == 0, "1980-01-02").otherwise(""))
-    named = pages.withColumns({"sig_name": F.concat(F.col("role"), F.lit(" "), F.col("pos") % 2), "full_name": F.col("role"), "first_name": F.col("role"), "middle_name": F.lit(""), "last_name": F.lit(""), "dob": F.col("sig_dob")})
-    return resolve.greedy_groups(named).select("doc_id", "page_number", "group_no")
+    """Turns as pages of people with like names, so that order matters; groups of one person under two signatures become one."""
+    return resolve.greedy_groups(signed_pages(spark, sf_dir)).select("doc_id", "page_number", "group_no")
+
+
+def signed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, turn = F.col("doc_id"), F.col("pos")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
+    whole = F.replace(F.col("sig_name"), F.lit("lee ann mary"), F.lit("ann mary lee"))
+    made = turn_pages(spark, sf_dir).withColumns({"sig_name": pick(SIGNED, (d * 3 + turn * 5) % 8), "sig_dob": pick(SIGNED_ON, (d + F.floor(turn / 2)) % 3)})
+    return made.withColumns({"full_name": whole, "first_name": F.element_at(F.split(whole, " "), 1), "middle_name": F.lit(""), "last_name": F.element_at(F.split(whole, " "), -1), "dob": F.col("sig_dob")})
+
+
+@query(ORACLES["greedy_groups"])
+def greedy_groups_joined(spark, sf_dir):
+    """The same groups by rounds of joins, as documents with very many signatures get them."""
+    return resolve.greedy_groups(signed_pages(spark, sf_dir), folded=0).select("doc_id", "page_number", "group_no")
 
 
 LINKS = """n AS (
