@@ -297,22 +297,22 @@ def fenced_json(c: Column) -> Column:
     fence = F.regexp_extract(body, r"(?s)```json(.*?)```", 1)
     has_fence = body.rlike(r"(?s)```json.*?```")
     opened = strip(body).startswith("{")
-    chars = F.split(F.regexp_replace(body, r"(?s)^[^{]*", ""), "")
-    depth = F.aggregate(
-        chars,
+    tail = F.regexp_replace(body, r"(?s)^[^{]*", "")
+    closed = F.split(tail, r"\}")  # what stands before each closing brace, and the rest
+    end = F.aggregate(
+        F.slice(closed, F.lit(1), F.size(closed) - 1),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end")),
-        lambda a, ch: F.when(a["end"] > 0, a).otherwise(_brace_step(a, ch)),
+        lambda a, part: F.when(a["end"] > 0, a).otherwise(_brace_step(a, part)),
         lambda a: a["end"],
     )
-    tail = F.regexp_replace(body, r"(?s)^[^{]*", "")
-    balanced = F.element_at(F.transform(F.array(depth), lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n))), 1)  # one fold
+    balanced = F.element_at(F.transform(F.array(end), lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n))), 1)  # one fold
     return F.when(has_fence, strip(fence)).when(opened, balanced)
 
 
-def _brace_step(a: Column, ch: Column) -> Column:
-    at = a["at"] + 1
-    depth = a["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-    return F.struct(at.alias("at"), depth.alias("depth"), F.when((ch == "}") & (depth == 0), at).otherwise(0).alias("end"))
+def _brace_step(a: Column, part: Column) -> Column:
+    at = a["at"] + F.length(part) + 1
+    depth = a["depth"] + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))) - 1
+    return F.struct(at.alias("at"), depth.alias("depth"), F.when(depth == 0, at).otherwise(0).alias("end"))
 
 
 def greedy_json(c: Column) -> Column:

@@ -1,16 +1,18 @@
 """Plugging in text recognition and language models: one map-style interface, an offline default.
 
-A model is any object with ``name`` and ``call(prompts)``, which maps an iterator of texts to
-an iterator of replies; it is built once per task. Failures become rows with an ``error``,
-never failed tasks.
+A model is any object with ``name`` and ``call(prompt)``; it is built once per task. Calls of a
+task overlap, each with its own deadline. Failures become rows with an ``error``, never failed tasks.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from typing import Protocol
 
 import pandas as pd
@@ -30,16 +32,20 @@ class Model(Protocol):
         """The reply to one prompt; raise :class:`ModelError` for a known kind of failure."""
 
 
+#: Kinds of failure by HTTP status.
+ERROR_KINDS = {401: "auth", 429: "rate", 400: "request"}
+
+
 class ModelError(Exception):
-    """A failed call of a known ``kind``: ``auth``, ``rate``, ``request``, ``timeout`` or ``other``."""
+    """A failed call of a known ``kind``: ``auth``, ``rate``, ``request``, ``timeout`` or ``other``; :meth:`of_status` tells it from an HTTP status."""
 
     def __init__(self, kind: str, message: str = ""):
         super().__init__(message or kind)
         self.kind = kind
 
-
-#: Kinds of failure by HTTP status.
-ERROR_KINDS = {401: "auth", 429: "rate", 400: "request"}
+    @classmethod
+    def of_status(cls, status: int, message: str = "") -> ModelError:
+        return cls(ERROR_KINDS.get(status, "other"), message or f"status {status}")
 
 
 class OfflineModel:
@@ -67,28 +73,109 @@ def register(name: str, make: Callable[[], Model]) -> None:
     REGISTRY[name] = make
 
 
-def run_model(prompts: DataFrame, make: Callable[[], Model], text_col: str = "prompt") -> DataFrame:
-    """``prompts`` with ``reply, error, seconds``: one call per row, ``error`` null where it succeeded."""
+class _Call:
+    """One call on a thread of its own."""
+
+    def __init__(self, model: Model, prompt: str):
+        self.began, self.seconds = time.perf_counter(), 0.0
+        self.reply, self.error = None, None
+        self.done = threading.Event()
+        threading.Thread(target=self._run, args=(model, prompt), daemon=True).start()
+
+    def _run(self, model: Model, prompt: str) -> None:
+        reply, error = outcome(model, prompt)
+        self.reply, self.error, self.seconds = reply, error, time.perf_counter() - self.began
+        self.done.set()
+
+    def result(self, deadline: float | None) -> tuple[str | None, str | None, float]:
+        """Reply, error and seconds; once the deadline is over the call is given up and its thread left alone."""
+        left = None if deadline is None else max(0.0, self.began + deadline - time.perf_counter())
+        if self.done.wait(left):
+            return self.reply, self.error, self.seconds
+        return None, "timeout", time.perf_counter() - self.began
+
+
+def outcome(model: Model, prompt: str) -> tuple[str | None, str | None]:
+    """Reply and error of one call; every failure is an error."""
+    try:
+        return model.call(prompt), None
+    except ModelError as e:
+        return None, e.kind
+    except TimeoutError:
+        return None, "timeout"
+    except Exception as e:  # noqa: BLE001  a failed call is a row
+        return None, f"other: {e}"
+
+
+def overlapped(model: Model, prompts: Iterable[str], in_flight: int, deadline: float | None) -> Iterator[tuple[str | None, str | None, float]]:
+    """Results in the order of the prompts, of at most ``in_flight`` calls at a time, given up ones not counted."""
+    running: deque[_Call] = deque()
+    for prompt in prompts:
+        if len(running) == in_flight:
+            yield running.popleft().result(deadline)
+        running.append(_Call(model, prompt))
+    while running:
+        yield running.popleft().result(deadline)
+
+
+def run_model(prompts: DataFrame, make: Callable[[], Model], text_col: str = "prompt", in_flight: int = 4, deadline: float | None = 60.0) -> DataFrame:
+    """``prompts`` with ``reply, error, seconds``: one call per row, ``error`` null where it succeeded.
+
+    A task has up to ``in_flight`` calls under way, so a model must bear calls from several
+    threads; a call that takes longer than ``deadline`` seconds is a ``timeout`` row and the task
+    goes on. Rows keep their order within a task. A null prompt is an empty one.
+    """
+    if in_flight < 1:
+        raise ValueError("one call at least has to be in flight")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in prompts.dtypes) + ", reply string, error string, seconds double"
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for part in parts:
-            rows = []
-            for prompt in part[text_col]:
-                began = time.perf_counter()
-                try:
-                    rows.append((model.call(prompt or ""), None, time.perf_counter() - began))
-                except ModelError as e:
-                    rows.append((None, e.kind, time.perf_counter() - began))
-                except Exception as e:  # noqa: BLE001  a failed call is a row
-                    rows.append((None, f"other: {e}", time.perf_counter() - began))
+            rows = list(overlapped(model, (p or "" for p in part[text_col]), in_flight, deadline))
             reply, error, seconds = zip(*rows) if rows else ((), (), ())
             yield part.assign(reply=list(reply), error=list(error), seconds=list(seconds))
 
     return prompts.mapInPandas(call, schema)
 
 
+#: What a model tells about a run of pages; ``patient_groups`` by id, in order of the ids.
+PERSONS = (
+    "patient_groups map<string, struct<patient_info: struct<full_name: string, dob: string>, "
+    "entries: array<struct<pages: array<int>, confidence: double>>, group_confidence: double>>, summary map<string, string>"
+)
+
+
+def parse_persons(replies: DataFrame) -> DataFrame:
+    """Adds ``persons``, an array in order of their ids, and turns replies without groups or summary into the error ``shape``."""
+    parsed = F.from_json(X.fenced_json(F.col("reply")), PERSONS)
+    staged = replies.withColumn("_told", parsed)
+    shaped = F.col("_told.patient_groups").isNotNull() | F.col("_told.summary").isNotNull()
+    error = F.when(F.col("error").isNull() & ~F.coalesce(shaped, F.lit(False)), "shape").otherwise(F.col("error"))
+    groups = F.array_sort(F.map_entries("_told.patient_groups"), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    persons = F.transform(groups, lambda g: g["value"])
+    return staged.withColumn("error", error).withColumn("persons", F.when(error.isNull(), persons)).drop("_told")
+
+
+class OfflineIdentifier:
+    """Deterministic stand-in for a model that tells persons apart: by the name and date under each page's banner."""
+
+    name = "offline_identifier"
+
+    def call(self, prompt: str) -> str:
+        pages: dict[tuple[str, str], list[int]] = {}
+        for number, body in re.findall(r"(?ms)^=== PAGE (\d+) [^\n]*===\n(.*?)(?=^=== PAGE |\Z)", prompt):
+            name = re.search(r"(?m)^Patient Name:[ \t]*(.+?)[ \t]*$", body)
+            if name:
+                born = re.search(r"DOB:\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", body)
+                pages.setdefault((name[1], born[1] if born else ""), []).append(int(number))
+        groups = {}
+        for k, ((name, born), numbers) in enumerate(pages.items(), 1):
+            runs = [[p for _, p in run] for _, run in groupby(enumerate(numbers), lambda x: x[1] - x[0])]
+            groups[f"patient_{k:03d}"] = {"patient_info": {"full_name": name, "dob": born}, "entries": [{"pages": r, "confidence": 0.9} for r in runs], "group_confidence": 0.9}
+        return json.dumps({"patient_groups": groups, "summary": {"total_patients": str(len(groups))}})
+
+
 def parse_replies(replies: DataFrame, simple: bool = False) -> DataFrame:
     """Adds the fixed record ``record`` and ``parse_ok``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import field_queries  # noqa: F401  (registers its queries)
+from .plans import field_queries, run_queries  # noqa: F401  (register their queries)
 from .plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

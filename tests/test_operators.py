@@ -59,6 +59,10 @@ def test_json_in_text(spark):
     assert one(spark, X.fenced_json, '{"a": ') is None
     assert one(spark, X.fenced_json, "none") is None
     assert one(spark, X.greedy_json, "a {b} c} d") == "{b} c}"
+    rng = random.Random(2)
+    for body in ("{" + "".join(rng.choice("{}a ") for _ in range(rng.randrange(12))) for _ in range(25)):
+        depth = [body[: k + 1].count("{") - body[: k + 1].count("}") for k in range(len(body))]
+        assert one(spark, X.fenced_json, body) == (body[: depth.index(0) + 1] if 0 in depth else None)
 
 
 def test_similarities(spark):
