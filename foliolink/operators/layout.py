@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Lines and crossings that make a table, and their weights.
 MIN_HORIZONTAL, MIN_VERTICAL, MIN_CROSSINGS = 3, 2, 4
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -48,24 +50,39 @@ def grid_rows(cells: DataFrame, tolerance: float = 10.0) -> DataFrame:
     """Per table the rows of cell texts, from ``(table_id, text, x, y)``.
 
     Cells go by y; a cell begins a row when its y is more than ``tolerance`` from the row's
-    first. As that anchor depends on the row before, this is an ordered fold within the
-    table's own array. Cells of a row go by x.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct("y", "x", "text")))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<row:int,x:double,text:string>>").alias("out"))
-
-    def step(a: Column, c: Column) -> Column:
-        new = a["anchor"].isNull() | (F.abs(c["y"] - a["anchor"]) > tolerance)
-        row = a["row"] + F.when(new, 1).otherwise(0)
-        placed = F.struct(row.alias("row"), c["x"].cast("double").alias("x"), c["text"].alias("text"))
-        return F.struct(row.alias("row"), F.when(new, c["y"].cast("double")).otherwise(a["anchor"]).alias("anchor"), F.concat(a["out"], F.array(placed)).alias("out"))
+    first. Cells of a row go by x, then text. Cells without y come first, each a row of its own.
 
-    folded = cells.groupBy("table_id").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("cells"))
-    per_row = folded.select("table_id", F.inline("cells")).groupBy("table_id", "row").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("r"))
+    The y after which a row ends is known for each y by itself, so the rows' first ones are
+    those that the least y reaches in steps, found by steps of 1, 2, 4, ... joined.
+    """
+    placed = cells.select("table_id", "text", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    heights = scratch.keep(_row_starts(placed.where("y is not null").select("table_id", "y").distinct(), tolerance), "heights")
+    blank = placed.where("y is null").withColumn("row", F.row_number().over(Window.partitionBy("table_id").orderBy("x", "text")))
+    before = blank.groupBy("table_id").agg(F.count("*").alias("n"))
+    filled = placed.join(heights, ["table_id", "y"]).join(before, "table_id", "left").withColumn("row", F.col("row") + F.coalesce("n", F.lit(0)))
+    every = filled.select("table_id", "row", "x", "text").unionByName(blank.select("table_id", "row", "x", "text"))
+    per_row = every.groupBy("table_id", "row").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("r"))
     grid = F.sort_array(F.collect_list(F.struct("row", F.transform("r", lambda c: c["text"]).alias("texts"))))
     return per_row.groupBy("table_id").agg(F.transform(grid, lambda r: r["texts"]).alias("grid"))
 
 
+def _row_starts(heights: DataFrame, tolerance: float) -> DataFrame:
+    """``(table_id, y, row)`` of distinct ``(table_id, y)``; ``row`` from 1."""
+    upward = Window.partitionBy("table_id").orderBy("y")
+    beyond = f"min(struct(y, up)) OVER (PARTITION BY table_id ORDER BY y DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {float(tolerance)!r}D PRECEDING)"
+    following = F.when(F.col("far.y") - F.col("y") > tolerance, F.col("far.y")).otherwise(F.col("far.up"))
+    ways = heights.withColumn("up", F.lead("y").over(upward)).withColumn("far", F.expr(beyond)).select("table_id", "y", following.alias("to"))
+    jumps = scratch.keep(ways.where("to is not null"), "jumps")
+    starts = heights.groupBy("table_id").agg(F.min("y").alias("y"))
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, ["table_id", "y"]).select("table_id", F.col("to").alias("y"))
+        starts = scratch.keep(starts.unionByName(reached), "starts")  # a jump of more steps than before reaches others
+        onward = jumps.select("table_id", F.col("y").alias("to"), F.col("to").alias("further"))
+        jumps = scratch.keep(jumps.join(onward, ["table_id", "to"]).select("table_id", "y", F.col("further").alias("to")), "jumps")
+    marked = heights.join(starts.withColumn("begins", F.lit(1)), ["table_id", "y"], "left")
+    return marked.select("table_id", "y", F.sum(F.coalesce("begins", F.lit(0))).over(upward).alias("row"))
+
+
 def markdown(grid: Column) -> Column:
     """A grid as a Markdown table: the first row as its head, short rows filled up."""
     width = F.array_max(F.transform(grid, lambda r: F.size(r)))

@@ -269,6 +269,24 @@ def test_layout(spark):
     assert grid.select(layout.markdown(F.col("grid")).alias("m")).first()["m"] == "| a | b |\n| --- | --- |\n| c | d |"
 
 
+def test_grid_rows_are_those_of_the_fold(spark):
+    """Random tables, one long, with ties, exact distances and cells without y."""
+    rng = random.Random(6)
+    cells = [(f"t{k % 4}", f"c{k}", float(rng.randrange(6)), rng.choice([None, float(rng.randrange(60)), rng.random() * 60])) for k in range(150)]
+    cells += [("long", f"c{k}", float(k % 3), k * 2.5) for k in range(400)]
+    want = {}
+    for table in {c[0] for c in cells}:
+        rows, anchor = [], None
+        for _, text, x, y in sorted((c for c in cells if c[0] == table), key=lambda c: (c[3] is not None, c[3] or 0.0, c[2], c[1])):
+            if anchor is None or abs(y - anchor) > 10:
+                rows.append([])
+                anchor = y
+            rows[-1].append((x, text))
+        want[table] = [[t for _, t in sorted(r)] for r in rows]
+    got = layout.grid_rows(spark.createDataFrame(cells, "table_id string, text string, x double, y double"))
+    assert {r.table_id: r.grid for r in got.collect()} == want
+
+
 def test_better_reading_is_a_fold(spark):
     df = spark.createDataFrame([([("aa", 0.9), ("aaa", 0.1), ("a", 0.5)],)], "r array<struct<text:string,confidence:double>>")
     assert df.select(compare.better_reading(F.col("r")).alias("x")).first()["x"]["text"] == "a"
