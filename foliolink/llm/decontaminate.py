@@ -39,6 +39,11 @@ def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
+def seeds_of(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows; of fewer tokens than ``width`` the hash of them all."""
+    return rolling(tokens, min(width, len(tokens))) if len(tokens) else np.zeros(0, np.uint64)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = 5) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(doc start, item start, length)``, longest first, none overlapping.
 
@@ -82,7 +87,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = 5) -> list[tuple[i
 
 
 def _item_seeds(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    schema = "item_id long, n_words int, seed long, at array<int>"
+    schema = f"item_id {benchmark.schema[item_col].dataType.simpleString()}, n_words int, seed long, at array<int>"
 
     def seeds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -90,12 +95,12 @@ def _item_seeds(benchmark: DataFrame, item_col: str, text_col: str, width: int)
             for item, text in zip(part["item_id"], part["text"]):
                 words = token_hashes(text)
                 places: dict[int, list[int]] = {}
-                for k, h in enumerate(rolling(words, width).view(np.int64).tolist()):
+                for k, h in enumerate(seeds_of(words, width).view(np.int64).tolist()):
                     places.setdefault(h, []).append(k)
                 out += [(item, len(words), h, at) for h, at in places.items()]
             yield pd.DataFrame(out, columns=["item_id", "n_words", "seed", "at"])
 
-    named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
+    named = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
     return named.mapInPandas(seeds, schema)
 
 
@@ -117,8 +122,9 @@ def overlaps(
     lets most windows go where they are read; the others are joined with the seeds by hash.
     Tiles lie within seeds, so a pair whose seeds cover less than ``coverage`` of the item is
     out; the other documents are read again and tiled whole. Tiles needn't be in the item's
-    order, so reordered passages count. Items of fewer than ``min_match`` words, null ids and
-    null or empty texts match nothing; rows that repeat an id are tiled one by one and give
+    order, so reordered passages count. Items of fewer than ``min_match`` words match texts of
+    just these words, in their order. Ids of both tables can be of any type. Null ids and
+    texts without a word match nothing; rows that repeat an id are tiled one by one and give
     the best of their results. Empty tables give an empty table.
     """
     spark = docs.sparkSession
@@ -130,17 +136,17 @@ def overlaps(
     filled = np.zeros(1 << (bits - 6), np.int64)
     got = words.toPandas()  # at most 2**bits / 64 rows
     filled[got["word"].to_numpy(int)] = got["bits"].to_numpy(np.int64)
-    bitmap = np.unpackbits(filled.astype("<i8").view(np.uint8), bitorder="little")
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+    shared = spark.sparkContext.broadcast(filled.astype("<i8").view(np.uint8))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def windows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        listed = np.unpackbits(shared.value).view(bool)
+        packed = shared.value
         for part in texts:
             out = []
             for text in part:
-                hashes = np.unique(rolling(token_hashes(text), min_match))
-                out.append(hashes[listed[hashes & np.uint64(mask)]].view(np.int64))
+                hashes = np.unique(seeds_of(token_hashes(text), min_match))
+                slot = hashes & np.uint64(mask)
+                out.append(hashes[(packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0].view(np.int64))
             yield pd.Series(out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
@@ -157,12 +163,12 @@ def overlaps(
         .where(F.aggregate(reach, F.lit(0), lambda a, x: a + x) >= F.lit(coverage) * F.col("n_words"))
         .select("id", "item_id")
     )
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
     wanted = store(
         pairs.join(items, "item_id").groupBy("id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "candidates"
     )
-    schema = "id long, item_id long, n_words int, n_covered int, n_tiles int"
-    schema = schema.replace("id long,", f"id {rows.schema['id'].dataType.simpleString()},", 1)
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((rows, "id"), (benchmark, item_col))]
+    schema = f"id {kinds[0]}, item_id {kinds[1]}, n_words int, n_covered int, n_tiles int"
 
     def tiled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -171,6 +177,10 @@ def overlaps(
                 doc = token_hashes(text)
                 for item in listed:
                     words = token_hashes(item["item_text"])
+                    if len(words) < min_match:
+                        if np.array_equal(doc, words):
+                            out.append((key, item["item_id"], len(words), len(words), 1))
+                        continue
                     found = tiles(doc, words, min_match)
                     covered = sum(n for _, _, n in found)
                     if covered >= coverage * len(words):
