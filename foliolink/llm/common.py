@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,8 @@ def release(df: DataFrame) -> None:
 HEAVY = 4096
 #: Rows of a key that are never worth splitting.
 LIGHT = 16
+#: Parts to which a left join's rows without a key are dealt.
+NULL_PARTS = 4096
 
 
 def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
@@ -66,18 +69,21 @@ def join_spread(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     ``counts`` has ``n``, the rows of ``big``, per key; ``total`` is their sum, if it is known.
     Keys with more than one row in ``HEAVY`` (so fewer than ``HEAVY`` keys, and only they are
     collected and broadcast) are dealt to parts by a hash of the columns ``spread``, and their rows in ``small`` are repeated for each part.
-    Null keys match nothing, as in any join.
+    Null keys match nothing, as in any join; the rows that a left join keeps for them are dealt
+    to ``NULL_PARTS`` parts by ``spread`` too, however many they are.
     """
     if total is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
     share = max(total / HEAVY, float(LIGHT))
     heavy = counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / F.lit(share)).cast("int").alias("_parts"))
     found = heavy.collect()  # fewer than HEAVY rows
-    if not found:
+    if not found and how != "left":
         return big.join(small, keys, how)
     heavy = big.sparkSession.createDataFrame(found, heavy.schema)
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
+    keyless = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    slots = F.when(keyless, F.lit(NULL_PARTS)).otherwise(parts)
+    dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), slots).cast("int")).drop("_parts")
     copies = small.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 

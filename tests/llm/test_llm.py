@@ -53,6 +53,23 @@ def test_join_spread_is_the_join(spark, monkeypatch, how):
     assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_rows_without_a_key_are_dealt(spark):
+    """Most keys null: a left join keeps their rows, and no task has most of them."""
+    big = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("key"), F.col("id").alias("row"))
+    small = spark.range(50).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "8", "false")):
+            spark.conf.set(k, v)
+        joined = common.join_spread(big, small, ["key"], ["row"], big.where("key is not null").groupBy("key").agg(F.count("*").alias("n")), "left")
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 5_000
+        assert joined.where("key is null").agg(F.count("*"), F.count("value")).first()[:] == (15_000, 0) and joined.where("value = 2 * key").count() == 5_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # ---- 1 SimHash ---------------------------------------------------------------------------
 
 
@@ -620,15 +637,42 @@ def test_decontamination(spark):
     texts = [f"before {items[0].upper()}, after", halves, f"{filler} {items[1]} {filler}", " ".join(w[:20]), filler, None, "", "too short", f"{items[2]} {items[3]}"]
     rows = docs(spark, texts)
     got = {(r.doc_id, r.item_id): (r.n_covered, r.n_words) for r in decontaminate.overlaps(rows, bench).collect()}
-    assert set(got) == {(0, 0), (1, 0), (2, 1), (8, 2), (8, 3)} and all(a >= 0.8 * b for a, b in got.values())
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (7, 5), (8, 2), (8, 3)} and all(a >= 0.8 * b for a, b in got.values())
     kept = decontaminate.decontaminate(rows, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7] and kept.columns == rows.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == rows.columns
     assert decontaminate.overlaps(rows, bench.limit(0)).count() == 0
     assert decontaminate.overlaps(rows.limit(0), bench).count() == 0
     again = docs(spark, [items[0], "clean", items[0]], ids=[1, 1, None])
     assert sorted(str(r.doc_id) for r in decontaminate.decontaminate(again, bench).collect()) == ["None"]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_overlaps_against_brute_force(spark, seed):
+    """Every pair is tiled by the textbook loop: string ids, short items, cut and reordered passages, repeated items."""
+    rng = random.Random(seed)
+    items = {f"test-{k}": [rng.choice("abcdefghij") for _ in range(rng.randrange(1, 30))] for k in range(12)}
+    items["copy"] = items["test-3"]
+    rows = {}
+    for k in range(40):
+        words = [rng.choice("abcdefghij") for _ in range(rng.randrange(25))]
+        for _ in range(rng.randrange(3)):
+            item = items[rng.choice(sorted(items))]
+            a = rng.randrange(len(item))
+            cut = [item[a:] + item[:a], item[: max(1, len(item) - rng.randrange(8))], item[a:] + ["zz"] + item[:a]][rng.randrange(3)]
+            at = rng.randrange(len(words) + 1)
+            words = words[:at] + cut + words[at:] if rng.random() < 0.8 else list(item)
+        rows[f"doc-{k}"] = words
+    frame = lambda d, name: spark.createDataFrame([(k, " ".join(w)) for k, w in d.items()], f"{name} string, text string")
+    got = {(r.doc_id, r.item_id): r.n_covered for r in decontaminate.overlaps(frame(rows, "doc_id"), frame(items, "item_id")).collect()}
+    want = {}
+    for d, words in rows.items():
+        for i, item in items.items():
+            n = sum(m for *_, m in plain_tiles(words, item, 5)) if len(item) >= 5 else len(item) * (words == item)
+            if n and n >= 0.8 * len(item):
+                want[d, i] = n
+    assert got == want and len(want) > 5
+
+
 # ---- 9 lines -----------------------------------------------------------------------------
 
 
