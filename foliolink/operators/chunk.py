@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text as X
+from . import linkage
 
 #: Context limits in tokens; any other model has DEFAULT_LIMIT.
 CONTEXT_LIMITS = {
@@ -109,10 +111,10 @@ def chunk_list(plans: DataFrame, legacy: bool = False) -> DataFrame:
     """One row per chunk: ``doc_id, chunk_id, first_pos, n_pages``.
 
     ``legacy`` plans end with one chunk more, the last overlap once again, as documents that are cut
-    at all were planned before.
+    at all were planned before; one-page chunks have no overlap to repeat.
     """
     n, p, s = F.col("total_pages"), F.col("pages_per_chunk"), F.col("step")
-    tail = F.when(F.lit(legacy) & (n > p), 1).otherwise(0)
+    tail = F.when(F.lit(legacy) & (n > p) & (p > 1), 1).otherwise(0)
     each = plans.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1 + tail)))
     start = F.when(F.col("chunk_id") < F.col("n_chunks"), F.col("chunk_id") * s).otherwise(n - F.col("overlap_pages"))
     return each.withColumn("first_pos", start).select("doc_id", "chunk_id", "first_pos", F.least(p, n - F.col("first_pos")).alias("n_pages"))
@@ -139,23 +141,40 @@ def stitch(entries: DataFrame, keys: tuple[str, ...] = ("doc_id", "group_no"), g
     return made.withColumns({"confidence": folded, "page_range": text}).drop("_parts")
 
 
-def merge_chunks(groups: DataFrame, strict: bool = False) -> DataFrame:
+#: Signatures of a document that are folded in one task, at most; beyond, the same numbers are found by joins.
+FOLDED = 256
+
+
+def merge_chunks(groups: DataFrame, strict: bool = False, folded: int = FOLDED) -> DataFrame:
     """Numbers the people of all chunks of a document: adds ``merged_no`` to ``(doc_id, chunk_id, person_no, full_name, dob)``.
 
     In order of chunk and person each takes the number of the first person before it with
     the same signature, else of the first that shares ``min(2, words - 1)`` words and has the
     same date or none on either side; else a new one. ``strict`` wants one common word at
-    least. Rows stream through sorted by document, chunk and person; only the people of the
-    document at hand are kept in memory.
-    """
-    doc, chunk = dict(groups.dtypes)["doc_id"], dict(groups.dtypes)["chunk_id"]
-    person = dict(groups.dtypes)["person_no"]
-    signed = groups.select("doc_id", "chunk_id", "person_no", X.collapse(F.col("full_name")).alias("name"), X.chunk_dob(F.col("dob")).alias("date"))
+    least. A null name or date is an empty one.
 
-    schema = f"doc_id {doc}, chunk_id {chunk}, person_no {person}, merged_no int"
+    Only distinct signatures (name and date) matter, in order of first appearance. Those of
+    documents of up to ``folded`` are folded, many documents in a task; those of larger ones are
+    settled in rounds of joins, in which no document is one task. Both give the same numbers.
+    """
+    signed = groups.withColumns({"_name": X.collapse(F.col("full_name")), "_date": X.text(X.chunk_dob(F.col("dob")))})
+    seen = signed.groupBy("doc_id", "_name", "_date").agg(F.min(F.struct("chunk_id", "person_no")).alias("place"))
+    seen = scratch.keep(seen.select("doc_id", F.col("_name").alias("name"), F.col("_date").alias("date"), "place"), "people")
+    large = seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id")
+    if large.isEmpty():
+        numbers = _folded(seen, strict)
+    else:
+        numbers = _folded(seen.join(large, "doc_id", "left_anti"), strict).unionByName(_joined(seen.join(large, "doc_id", "left_semi"), strict))
+    told = numbers.select("doc_id", F.col("name").alias("_name"), F.col("date").alias("_date"), "merged_no")
+    return signed.join(told, ["doc_id", "_name", "_date"]).select(*groups.columns, "merged_no")
+
+
+def _folded(seen: DataFrame, strict: bool) -> DataFrame:
+    """``doc_id, name, date, merged_no``: rows stream through sorted; a task holds one document's people at a time."""
+    columns = ["doc_id", "name", "date", "merged_no"]
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: list[tuple[str, str, set]] = []
+        known: list[tuple[str, set]] = []
         now = object()
         for part in parts:
             out = []
@@ -165,19 +184,70 @@ def merge_chunks(groups: DataFrame, strict: bool = False) -> DataFrame:
                 words = set(name.split())
                 need = min(2, len(name.split()) - 1)
                 need = max(1, need) if strict else need
-                exact = (k for k, (n, d, _) in enumerate(known) if (n, d) == (name, date))
-                alike = (k for k, (_, d, w) in enumerate(known) if len(words & w) >= need and (not date or not d or date == d))
-                at = next(exact, None)
-                at = next(alike, None) if at is None else at
+                alike = (k for k, (d, w) in enumerate(known) if len(words & w) >= need and (not date or not d or date == d))
+                at = next(alike, None)
                 if at is None:
                     at = len(known)
-                    known.append((name, date, words))
+                    known.append((date, words))
                 out.append(at + 1)
-            yield part[["doc_id", "chunk_id", "person_no"]].assign(merged_no=out)
+            yield part[["doc_id", "name", "date"]].assign(merged_no=out)
 
-    ordered = signed.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_id", "person_no")
-    numbered = ordered.mapInPandas(fold, schema)
-    return groups.join(numbered, ["doc_id", "chunk_id", "person_no"])
+    doc = dict(seen.dtypes)["doc_id"]
+    ordered = seen.repartition("doc_id").sortWithinPartitions("doc_id", "place")
+    return ordered.mapInPandas(fold, f"doc_id {doc}, name string, date string, merged_no int").select(*columns)
+
+
+def _joined(seen: DataFrame, strict: bool) -> DataFrame:
+    """What :func:`_folded` gives, in rounds.
+
+    A person shows each word, each pair of words and the empty set, and looks for the sets of as
+    many words as it must share; so people meet by sets, of which only the first person who
+    shows one counts, and never in pairs. A person is a member once one who stays shows a set
+    that it looks for, and stays once nobody before it who may stay does.
+    """
+    words = F.filter(F.split(F.col("name"), " "), lambda w: w != "")
+    unique = F.array_sort(F.array_distinct(words))
+    need = F.least(F.lit(2), F.size(words) - 1)
+    need = F.greatest(F.lit(1), need) if strict else F.greatest(F.lit(0), need)
+    singles = F.transform("_words", lambda w: F.concat(F.lit("1 "), w))
+    rest = lambda k: F.slice("_words", k + 2, F.size("_words"))
+    pairs = F.flatten(F.transform("_words", lambda w, k: F.transform(rest(k), lambda v: F.concat(F.lit("2 "), w, F.lit(" "), v))))
+    none = F.array(F.lit("0"))
+    nodes = scratch.keep(seen.withColumn("node", F.monotonically_increasing_id()).withColumns({"_words": unique, "_need": need}), "nodes")
+    fits = F.when(F.col("_need") == 0, none).when(F.col("_need") == 1, singles).otherwise(pairs)
+    # A dated person looks among those of its date and the undated, an undated one among all.
+    among = F.when(F.col("date") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), F.col("date"))))
+    looks = nodes.select("doc_id", "node", "place", F.explode(fits).alias("words"), among.alias("among")).withColumn("among", F.explode("among"))
+    shown = F.array(F.lit("*"), F.concat(F.lit("="), F.col("date")))
+    shows = nodes.select("doc_id", "node", "place", F.explode(F.concat(none, singles, pairs)).alias("words"), shown.alias("among")).withColumn("among", F.explode("among"))
+    looks, shows = scratch.keep(looks, "looks"), scratch.keep(shows, "shows")
+    keys = ["doc_id", "words", "among"]
+
+    def first(of: DataFrame, name: str) -> DataFrame:
+        return shows.join(of.select("node"), "node", "left_semi").groupBy(*keys).agg(F.min(F.struct("place", "node")).alias(name))
+
+    open_ = nodes.select("node")
+    stay: DataFrame | None = None
+    while not open_.isEmpty():
+        ahead = first(open_, "waiting")
+        settled = first(stay, "stays") if stay is not None else ahead.select(*keys, F.lit(None).cast(ahead.schema["waiting"].dataType).alias("stays")).limit(0)
+        asked = looks.join(open_, "node", "left_semi").join(ahead, keys, "left").join(settled, keys, "left")
+        own = F.first("place").alias("place")
+        seen_now = asked.groupBy("node").agg(own, F.min("waiting.place").alias("waiting"), F.min("stays.place").alias("stays"))
+        verdict = open_.join(seen_now, "node", "left").select(
+            "node", F.coalesce(F.col("stays") < F.col("place"), F.lit(False)).alias("joins"), F.coalesce(F.col("waiting") < F.col("place"), F.lit(False)).alias("waits")
+        )
+        verdict = scratch.keep(verdict, "verdict")
+        new = verdict.where("not joins and not waits").select("node")
+        stay = new if stay is None else stay.unionByName(new)
+        open_ = verdict.where("not joins and waits").select("node")
+    if stay is None:
+        return nodes.select("doc_id", "name", "date", F.lit(0).alias("merged_no"))
+    stay = scratch.keep(stay, "stay")
+    homes = looks.join(first(stay, "stays"), keys).where("stays.place < place").groupBy("node").agg(F.min("stays")["node"].alias("home"))
+    numbers = linkage.numbered(nodes.join(stay, "node").select("doc_id", "place", F.col("node").alias("home")), ["doc_id"], ["place"], "merged_no").select("home", "merged_no")
+    of = stay.select("node", F.col("node").alias("home")).unionByName(homes.join(stay, "node", "left_anti"))
+    return nodes.join(of, "node").join(numbers, "home").select("doc_id", "name", "date", "merged_no")
 
 
 def longest_values(merged: DataFrame, fields: list[str], keys: tuple[str, ...] = ("doc_id", "merged_no")) -> DataFrame:

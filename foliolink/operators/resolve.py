@@ -271,13 +271,23 @@ def patient_confidence(filled: Column, required: int, ocr: Column, share: float
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share * filled / required + (1 - share) * ocr))
 
 
+def signature_classes(people: DataFrame) -> DataFrame:
+    """``people`` with ``class_id``, the least ``person_id`` of the document with the same name and date, and ``class_size``; null is empty."""
+    keyed = people.withColumns({"_name": X.text(F.col("name")), "_dob": X.text(F.col("dob"))})
+    keys = ["doc_id", "_name", "_dob"]
+    classes = keyed.groupBy(*keys).agg(F.min("person_id").alias("class_id"), F.count("*").alias("class_size"))
+    return keyed.join(classes, keys).drop("_name", "_dob")
+
+
 def token_block_pairs(people: DataFrame, strict: bool = True) -> DataFrame:
     """Pairs ``(doc_id, a, b, common)`` of a document's people (``person_id, name, dob``) that share enough name words and don't differ in date.
 
-    A pair needs ``min(2, words of a - 1)`` common words (at least one if ``strict``); rows
+    People of one name and date are one here, the least ``person_id`` of them (:func:`signature_classes`
+    has who that is for each), so copies don't multiply pairs. A pair needs ``min(2, words of a - 1)`` common words (at least one if ``strict``); rows
     meet by a word that they share, so names without a common word never meet.
     """
-    words = people.select("doc_id", "person_id", "name", "dob", F.explode(F.array_distinct(F.split(X.collapse(F.col("name")), " "))).alias("word")).where("word <> ''")
+    first = people.groupBy("doc_id", X.text(F.col("name")).alias("name"), X.text(F.col("dob")).alias("dob")).agg(F.min("person_id").alias("person_id"))
+    words = first.select("doc_id", "person_id", "name", "dob", F.explode(F.array_distinct(F.split(X.collapse(F.col("name")), " "))).alias("word")).where("word <> ''")
     a, b = words.alias("a"), words.alias("b")
     met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.person_id") < F.col("b.person_id")))
     need = F.least(F.lit(2), F.size(F.split(X.collapse(F.col("a_name")), " ")) - 1)

@@ -9,7 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import chunk, compare, consolidate, extract, layout, models, resolve
 from . import matcher
-from .queries import _COLLAPSE, _ISO, DATES, PARTIAL, PEOPLE, dates, partial_records, people, query, source_pages, table
+from .queries import _COLLAPSE, _ISO, DATES, PARTIAL, PEOPLE, PLAN, dates, partial_records, people, query, source_pages, table
 from .queries import ORACLES as _ORACLES
 
 # ---- dates, addresses, signatures --------------------------------------------------------
@@ -251,15 +251,15 @@ _MODELS = ", ".join(f"('{m}', {chunk.ChunkConfig.of(m).trigger}, {chunk.ChunkCon
 
 
 @query(
-    f"""WITH m(model, trigger_tokens, chunk_tokens) AS (VALUES {_MODELS}), p AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS doc_id, CAST(sum(doc_id % 1000 * 10) AS BIGINT) AS tokens FROM documents GROUP BY 1)
-SELECT doc_id, model, tokens > trigger_tokens AS needs_chunking, CAST(chunk_tokens AS INTEGER) AS chunk_tokens FROM p, m"""
+    f"""WITH {PLAN}, m(model, trigger_tokens, chunk_tokens) AS (VALUES {_MODELS})
+SELECT doc_id, model, estimated_tokens > trigger_tokens AS needs_chunking, CAST(chunk_tokens AS INTEGER) AS chunk_tokens FROM d, m"""
 )
 def model_limits(spark, sf_dir):
-    """Every known model's limit against batches of documents."""
-    sizes = source_pages(spark, sf_dir).groupBy("doc_id").agg(F.sum((F.col("doc_id") * 20 + F.col("pos")) % 1000 * 10).alias("tokens"))
+    """Every known model's limit against batches of documents, by the tokens of their texts."""
+    sizes = chunk.document_sizes(source_pages(spark, sf_dir))
     known = [(m, chunk.ChunkConfig.of(m)) for m in chunk.CONTEXT_LIMITS]
     rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c.trigger).alias("t"), F.lit(c.tokens_per_chunk).alias("chunk_tokens")) for m, c in known])
-    return sizes.select("doc_id", "tokens", F.inline(rows)).select("doc_id", "model", (F.col("tokens") > F.col("t")).alias("needs_chunking"), "chunk_tokens")
+    return sizes.select("doc_id", "estimated_tokens", F.inline(rows)).select("doc_id", "model", (F.col("estimated_tokens") > F.col("t")).alias("needs_chunking"), "chunk_tokens")
 
 
 def line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

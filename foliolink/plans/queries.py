@@ -376,10 +376,10 @@ def chunk_plan_current(spark, sf_dir):
   SELECT doc_id, chunk_id + 1, first_pos2, total_pages, pages_per_chunk, overlap_pages, least(first_pos2 + pages_per_chunk, total_pages)
   FROM (SELECT *, CASE WHEN pages_per_chunk = 1 THEN stop ELSE stop - overlap_pages END AS first_pos2 FROM w)
   WHERE first_pos2 < total_pages AND first_pos2 > first_pos AND total_pages > pages_per_chunk)
-SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, first_pos, stop - first_pos AS n_pages FROM w WHERE pages_per_chunk > 1"""
+SELECT doc_id, CAST(chunk_id AS BIGINT) AS chunk_id, first_pos, stop - first_pos AS n_pages FROM w"""
 )
 def chunk_plan_legacy(spark, sf_dir):
-    return chunk.chunk_list(small_plans(spark, sf_dir).where("pages_per_chunk > 1"), legacy=True)
+    return chunk.chunk_list(small_plans(spark, sf_dir), legacy=True)
 
 
 @query(
@@ -657,6 +657,12 @@ def chunk_merge(spark, sf_dir):
     return chunk.merge_chunks(chunk_people(spark, sf_dir)).select("doc_id", "chunk_id", "person_no", "merged_no")
 
 
+@query(ORACLES["chunk_merge"])
+def chunk_merge_joined(spark, sf_dir):
+    """The same numbers in rounds of joins, as documents with very many people get them."""
+    return chunk.merge_chunks(chunk_people(spark, sf_dir), folded=0).select("doc_id", "chunk_id", "person_no", "merged_no")
+
+
 #: People of whom some resemble others that don't resemble each other, and one whose signature has the words of another in other order.
 SIGNED = ("ann mary lee", "ann mary lea", "ann mari lea", "lee ann mary", "john paul smith", "john paul smyth", "joan paul smyth", "bo")
 SIGNED_ON = ("", "1980-01-02", "1981-01-02")
@@ -707,21 +713,25 @@ LINKS = """n AS (
 
 
 @query(
-    f"""WITH {LINKS}, w AS (SELECT DISTINCT doc_id, person_id, dob, unnest(string_split(lower(name), ' ')) AS word FROM n),
+    f"""WITH {LINKS}, k AS (SELECT doc_id, name, dob, min(person_id) AS person_id FROM n GROUP BY doc_id, name, dob),
+w AS (SELECT DISTINCT doc_id, person_id, dob, unnest(string_split(lower(name), ' ')) AS word FROM k),
 m AS (SELECT a.doc_id, a.person_id AS a, b.person_id AS b, count(*) AS common FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.word = b.word AND a.person_id < b.person_id
   WHERE a.dob = '' OR b.dob = '' OR a.dob = b.dob GROUP BY 1, 2, 3)
 SELECT doc_id, a, b, common FROM m WHERE common >= 2"""
 )
 def token_block_join(spark, sf_dir):
-    rows = chunk_people(spark, sf_dir).select("doc_id", F.col("chunk_id").alias("person_id"), F.col("full_name").alias("name"), "dob")
-    return resolve.token_block_pairs(rows)
+    """Pairs between people of different signatures, the first of each; ``exact_signature_join`` has who is the same."""
+    return resolve.token_block_pairs(linked_people(spark, sf_dir))
+
+
+def linked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_people(spark, sf_dir).select("doc_id", F.col("chunk_id").alias("person_id"), F.col("full_name").alias("name"), "dob")
 
 
-@query(f"WITH {LINKS} SELECT a.doc_id, a.person_id AS a, b.person_id AS b FROM n a JOIN n b ON a.doc_id = b.doc_id AND lower(a.name) = lower(b.name) AND a.dob = b.dob AND a.person_id < b.person_id")
+@query(f"WITH {LINKS} SELECT doc_id, person_id, min(person_id) OVER w AS class_id, count(*) OVER w AS class_size FROM n WINDOW w AS (PARTITION BY doc_id, name, dob)")
 def exact_signature_join(spark, sf_dir):
-    rows = chunk_people(spark, sf_dir).select("doc_id", "chunk_id", X.collapse(F.col("full_name")).alias("sig_name"), F.col("dob").alias("sig_dob"))
-    a, b = rows.withColumnRenamed("chunk_id", "a"), rows.withColumnRenamed("chunk_id", "b")
-    return a.join(b, ["doc_id", "sig_name", "sig_dob"]).where("a < b").select("doc_id", "a", "b")
+    """Each person with the first one of the same signature, and how many have it."""
+    return resolve.signature_classes(linked_people(spark, sf_dir)).select("doc_id", "person_id", "class_id", "class_size")
 
 
 @query(

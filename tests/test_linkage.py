@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolink.functions import similarity as S
-from foliolink.operators import linkage, resolve
+from foliolink.operators import chunk, linkage, resolve
 
 FIRST = ["jane", "jan", "john", "jon", "ann", "anne", "christopher", "christophe", "maria", "x"]
 LAST = ["sample", "samp1e", "sampler", "lee", "leigh", "smith", "smyth", "o", "de la cruz", "j"]
@@ -96,6 +96,42 @@ def test_components_and_numbers(spark):
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
 
 
+def plain_merge(rows, strict):
+    """The fold over every row."""
+    known, out = {}, {}
+    for doc, chunk_id, no, name, dob in sorted(rows, key=lambda r: r[:3]):
+        mine = known.setdefault(doc, [])
+        words, parts = set((name or "").lower().split()), (name or "").lower().split()
+        date = dob or ""
+        need = min(2, len(parts) - 1)
+        need = max(1, need) if strict else need
+        hit = [k for k, (n, d, _) in enumerate(mine) if (n, d) == (" ".join(parts), date)]
+        hit = hit or [k for k, (_, d, w) in enumerate(mine) if len(words & w) >= need and (not date or not d or d == date)]
+        if not hit:
+            mine.append((" ".join(parts), date, words))
+        out[doc, chunk_id, no] = (hit[0] if hit else len(mine) - 1) + 1
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_merge_by_joins_is_the_fold(spark, strict):
+    """One-word, empty and repeated names, pages with and without dates; repeated rows; every document by both ways."""
+    rng = random.Random(4 + strict)
+    word = lambda: rng.choice("ann bo cy di ed flo guy".split())
+    rows = []
+    for d in range(8):
+        for c in range(rng.randrange(1, 10)):
+            for p in range(rng.randrange(4)):
+                name = rng.choice([" ".join(word() for _ in range(rng.choice([1, 2, 2, 3, 4]))), "", None] if d % 3 else [" ".join(word() for _ in range(rng.choice([2, 3])))])
+                rows.append((f"d{d}", c, p, name, rng.choice(["", "1980-01-02", "1981-01-02", None])))
+    frame = spark.createDataFrame(rows, "doc_id string, chunk_id int, person_no int, full_name string, dob string")
+    want = plain_merge(rows, strict)
+    for folded in (0, 10**9, 6):
+        got = {(r.doc_id, r.chunk_id, r.person_no): r.merged_no for r in chunk.merge_chunks(frame, strict, folded).collect()}
+        assert got == want, folded
+    assert chunk.merge_chunks(frame.limit(0), strict, 0).count() == 0
+
+
 def plain_score(x, y, fields):
     total = weight = 0.0
     for f in S.FIELD_WEIGHTS:
