@@ -66,6 +66,11 @@ def engines(results: DataFrame, key: str = "engine") -> DataFrame:
     )
 
 
+def best_engine(summary: DataFrame, key: str = "engine") -> DataFrame:
+    """One row: of the engines of :func:`engines` that ever succeeded the one with the least mean time, the smaller name on a tie; no row if none did."""
+    return summary.where("success_rate > 0").groupBy().agg(F.min(F.struct("average_time", key)).alias("b")).where("b is not null").select(F.col(f"b.{key}").alias("best_engine"), F.col("b.average_time").alias("best_average_time"))
+
+
 def recommend(analysis_method: Column, analysis_confidence: Column, succeeded: Column) -> Column:
     """Struct ``method, confidence, alternatives``: the analysis's choice if it succeeded, else ``scanned``, else the first that did, else ``none``.
 

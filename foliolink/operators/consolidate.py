@@ -64,3 +64,10 @@ def merge_reply(reply: Column, schema: str) -> Column:
 def extraction_confidence(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document the mean overall confidence of its successful pages to two places, 0 without any."""
     return pages.groupBy(key).agg(F.round(F.coalesce(F.avg(F.when(F.col("success"), F.col("overall"))), F.lit(0.0)), 2).alias("extraction_confidence"))
+
+
+def first_items(items: Column, most: int = 3) -> Column:
+    """The first ``most`` items of a record as ``name (Qty: n)``, with ``Unknown`` and ``N/A`` for what is missing; none for null."""
+    told = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    shown = lambda i: F.concat(told(i["item_name"], "Unknown"), F.lit(" (Qty: "), told(i["item_quantity"], "N/A"), F.lit(")"))
+    return F.transform(F.slice(F.coalesce(items, F.array().cast("array<struct<item_name:string,item_quantity:string>>")), 1, most), shown)

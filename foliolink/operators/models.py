@@ -10,8 +10,9 @@ import json
 import re
 import threading
 import time
+import warnings
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from itertools import groupby
 from typing import Protocol
 
@@ -238,8 +239,30 @@ def prompts(texts: DataFrame, template: str = RECORD_PROMPT, text_col: str = "te
 
 
 def setting(spark, model: str, name: str, default: float) -> float:
-    """``foliolink.<model>.<name>`` of the session as a number; the default if it is unset or no number."""
-    try:
-        return float(spark.conf.get(f"foliolink.{model}.{name}", None) or default)
-    except ValueError:
-        return default
+    """``foliolink.<model>.<name>`` of the session as a number, else ``foliolink.default.<name>``, else the default; a value that is no number is warned of and passed over."""
+    for key in (f"foliolink.{model}.{name}", f"foliolink.default.{name}"):
+        value = spark.conf.get(key, None)
+        try:
+            if value:
+                return float(value)
+        except ValueError:
+            warnings.warn(f"{key} is no number: {value!r}", stacklevel=2)
+    return default
+
+
+#: Names under which a service's key is looked for, in this order.
+KEY_NAMES = ("{service}_API_KEY", "{service}_KEY", "{service}", "API_KEY")
+
+
+def service_key(service: str, environment: Mapping[str, str]) -> str:
+    """The key of a service from the first of :data:`KEY_NAMES` that is set, without white space around it; the shared name is warned of.
+
+    Read it on the driver and hand it to ``make``; it is never part of a table or a plan.
+    """
+    names = [n.format(service=service.upper()) for n in KEY_NAMES]
+    found = next((n for n in names if environment.get(n, "").strip()), None)
+    if found is None:
+        raise KeyError(f"no key for {service}; looked for {', '.join(names)}")
+    if found == names[-1]:
+        warnings.warn(f"{service} uses the shared key {found}", stacklevel=2)
+    return environment[found].strip()

@@ -182,19 +182,22 @@ def labelled_dates(spark, sf_dir):
 #: People as far apart as names can be, so that SQL can tell the matcher's groups by equality.
 CAST = ("Quentin Abbott", "Zoe Winterbottom", "Marcus Fitzgerald", "Li Yu")
 BORN = ("04/12/1961", "11/30/1987", "07/07/1975", "01/23/1999")
+#: The same with longer names, and one that a letter sets apart: the matcher takes the first and the last for one person.
+ALIKE = ("Quentin James Abbott", "Zoe Winterbottom", "Marcus Fitzgerald", "Li Yu", "Quentin James Abbot")
+ALIKE_BORN = (*BORN, BORN[0])
 
 
 def matcher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as pages of an order that name one of four people; every fifth part's page names nobody."""
+    """Order lines as pages of an order that name one of five people, two of them alike; every seventh part's page names nobody."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number")).agg(F.min("l_partkey").alias("k"), F.max("l_discount").alias("c"))
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("k") % 4 + 1).cast("int"))
-    filled = F.concat(F.lit("Patient Name: "), pick(CAST), F.lit("\nDOB: "), pick(BORN), F.lit("\nseen today"))
-    return lines.select("doc_id", F.col("page_number").alias("pos"), "page_number", F.when(F.col("k") % 5 == 0, "7 / 12").otherwise(filled).alias("text"), (F.col("c") * 1000).alias("confidence"), F.lit(True).alias("success"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("k") % 5 + 1).cast("int"))
+    filled = F.concat(F.lit("Patient Name: "), pick(ALIKE), F.lit("\nDOB: "), pick(ALIKE_BORN), F.lit("\nseen today"))
+    return lines.select("doc_id", F.col("page_number").alias("pos"), "page_number", F.when(F.col("k") % 7 == 0, "7 / 12").otherwise(filled).alias("text"), (F.col("c") * 1000).alias("confidence"), F.lit(True).alias("success"))
 
 
 _MATCHED = """p AS (
   SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page_number, min(l_partkey) AS k, max(l_discount) * 10 AS c FROM lineitem GROUP BY 1, 2),
-n AS (SELECT *, k % 4 AS who FROM p WHERE k % 5 <> 0),
+n AS (SELECT *, k % 5 % 4 AS who FROM p WHERE k % 7 <> 0),
 g AS (SELECT doc_id, who, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(page_number)) AS INTEGER) AS group_no FROM n GROUP BY doc_id, who),
 b AS (
   SELECT n.doc_id, page_number, c, group_no, CASE WHEN page_number = lag(page_number) OVER (PARTITION BY n.doc_id, group_no ORDER BY page_number) + 1 THEN 0 ELSE 1 END AS begins

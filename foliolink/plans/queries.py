@@ -234,6 +234,30 @@ def engine_summary(spark, sf_dir):
     return made.withColumns({c: F.round(c, 6) for c in ("success_rate", "average_time", "average_confidence")})
 
 
+@query(
+    f"""WITH {EVENT_METHODS}, e AS (SELECT method, avg(processing_time) AS t, bool_or(success) AS ok FROM t GROUP BY method)
+SELECT method AS best_engine, round(t, 6) AS best_average_time FROM e WHERE ok ORDER BY t, method LIMIT 1"""
+)
+def best_engine(spark, sf_dir):
+    """The feature is one row: the fastest engine that ever succeeded."""
+    made = compare.engines(event_methods(spark, sf_dir).withColumnRenamed("method", "engine"))
+    return compare.best_engine(made).withColumn("best_average_time", F.round("best_average_time", 6))
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN 'Unknown' ELSE l_returnflag END || ' (Qty: ' || CASE WHEN l_partkey % 7 = 0 THEN 'N/A' ELSE l_linestatus END || ')' AS s,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT doc_id, string_agg(s, ', ' ORDER BY k) AS items FROM i WHERE k <= 3 GROUP BY doc_id"""
+)
+def first_items(spark, sf_dir):
+    """The feature is a top-k report: three items of each order, with what is missing named."""
+    name = F.when(F.col("l_partkey") % 5 == 0, F.lit("")).otherwise(F.col("l_returnflag")).alias("item_name")
+    quantity = F.when(F.col("l_partkey") % 7 == 0, F.lit(None)).otherwise(F.col("l_linestatus")).alias("item_quantity")
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(name, quantity).alias("i"))))
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(ordered, lambda r: r["i"]).alias("items"))
+    return orders.select("doc_id", F.array_join(consolidate.first_items(F.col("items")), ", ").alias("items"))
+
+
 @query(
     f"""WITH {EVENT_METHODS}, s AS (
   SELECT doc_id, list(method ORDER BY method) FILTER (success) AS ok FROM t GROUP BY doc_id),

@@ -118,3 +118,19 @@ def test_replies_without_groups(spark):
     rows = spark.createDataFrame([(1, '{"summary": {"total_patients": "0"}}', None), (2, '{"other": 1}', None), (3, None, "rate"), (4, '{"patient_groups": {}}', None)], "id int, reply string, error string")
     got = {r.id: (r.error, r.persons) for r in models.parse_persons(rows).collect()}
     assert got == {1: (None, None), 2: ("shape", None), 3: ("rate", None), 4: (None, [])}
+
+
+def test_settings_and_keys(spark):
+    spark.conf.set("foliolink.m.limit", "many")
+    spark.conf.set("foliolink.default.limit", "7")
+    with pytest.warns(UserWarning, match="no number"):
+        assert models.setting(spark, "m", "limit", 3) == 7.0
+    spark.conf.set("foliolink.m.limit", "5")
+    assert models.setting(spark, "m", "limit", 3) == 5.0 and models.setting(spark, "m", "other", 3) == 3
+    for k in ("foliolink.m.limit", "foliolink.default.limit"):
+        spark.conf.unset(k)
+    assert models.service_key("acme", {"ACME_KEY": " k ", "API_KEY": "x"}) == "k"
+    with pytest.warns(UserWarning, match="shared"):
+        assert models.service_key("acme", {"ACME": " ", "API_KEY": "x"}) == "x"
+    with pytest.raises(KeyError, match="ACME_API_KEY"):
+        models.service_key("acme", {})
