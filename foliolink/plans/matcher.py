@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chunk, consolidate, extract, models, resolve, route
+from ..operators import chunk, extract, models, resolve, route
 from ..schemas import require_pages
+from . import records
 
 
 def identify(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, confidence_scale: float = 1.0) -> dict[str, DataFrame]:
@@ -39,9 +40,5 @@ def chunk_prompts(pages: DataFrame, model_name: str) -> DataFrame:
 
 
 def extract_documents(pages: DataFrame, make: Callable[[], models.Model], simple: bool = False) -> DataFrame:
-    """One record per document: a model call per non-blank page, parsed replies, consolidated fields."""
-    prompts = pages.where("trim(text) <> ''").select("doc_id", "pos", F.col("text").alias("prompt"))
-    parsed = models.parse_replies(models.run_model(prompts, make), simple).where("error is null")
-    flat = parsed.select("doc_id", "pos", "parse_ok", "record.patient.*", F.col("record.doctor.npi").alias("npi"), F.col("record.insurance").alias("insurance"))
-    patient = consolidate.fullest(flat, ["full_name", "dob", "phone"])
-    return patient.join(consolidate.one_npi(flat), "doc_id")
+    """One whole record per document: a model call per non-blank page, parsed replies, consolidated parts (see :func:`records.document_records`)."""
+    return records.document_records(pages, make, simple)["documents"]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunk, models
 from ..operators.statistics import RunningStatistics
-from . import algorithms, chunked, files
+from . import algorithms, chunked, files, records
 from .field_queries import BORN, CAST
 from .queries import _SQL, query, table, turn_pages
 
@@ -209,3 +212,59 @@ min(total_patients) AS consensus_patients, 100.0::DOUBLE AS agreement_percentage
 def algorithm_comparison(spark, sf_dir):
     """Both find the same persons, so they agree on their number everywhere."""
     return _compared(spark, sf_dir)["analysis"].drop("average_processing_time", "processing_time_range").withColumn("average_confidence", F.round("average_confidence", 6))
+
+
+# ---- whole records -----------------------------------------------------------------------
+
+
+class LabelModel(models.OfflineModel):
+    """Reads insurance and an item beside a person; some pages make it fail."""
+
+    def call(self, prompt: str) -> str:
+        if "#429#" in prompt:
+            raise models.ModelError.of_status(429)
+        record = json.loads(super().call(prompt).strip("`").removeprefix("json"))
+        plan, item = re.search(r"Insurance: (\w+)", prompt), re.search(r"Item: (\w+) x (\d+)", prompt)
+        record["insurance"] = {"primary_insurance": plan[1]} if plan else {}
+        record["dme"]["items"] = [{"item_name": item[1], "item_quantity": item[2]}] if item else []
+        return json.dumps(record)
+
+
+def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as pages with some of a record's parts; every seventh part's page is blank."""
+    k = F.col("k")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_partkey").alias("k"))
+    some = lambda n, *parts: F.when(k % n == 0, F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])).otherwise("")
+    names = F.element_at(F.array(*map(F.lit, CAST)), (k % 4 + 1).cast("int"))
+    text = F.concat(
+        F.lit("Visit\n"), some(2, "Patient Name: ", names, "\n"), some(3, "DOB: 01/02/19", (k % 80 + 10).cast("string"), "\n"), some(5, "NPI: ", (1_000_000_000 + k % 3).cast("string"), "\n"),
+        some(4, "Insurance: plan", (k % 9).cast("string"), "\n"), F.when(k % 3 == 1, F.concat(F.lit("Item: kit"), (k % 2).cast("string"), F.lit(" x "), (k % 4).cast("string"))).otherwise(""), some(13, "\n#429#"),
+    )
+    return lines.select("doc_id", "pos", (F.col("pos") + 1).alias("page_number"), F.when(k % 7 == 0, " \n").otherwise(text).alias("text"))
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS pos, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2),
+g AS (
+  SELECT *, CASE WHEN k % 2 = 0 THEN {_SQL(CAST)}[k % 4 + 1] ELSE '' END AS full_name, CASE WHEN k % 3 = 0 THEN '01/02/19' || (k % 80 + 10) ELSE '' END AS dob,
+    CASE WHEN k % 5 = 0 THEN CAST(1000000000 + k % 3 AS VARCHAR) ELSE '' END AS npi, CASE WHEN k % 4 = 0 THEN 'plan' || k % 9 ELSE '' END AS plan,
+    CASE WHEN k % 3 = 1 THEN 'kit' || k % 2 || ' x ' || k % 4 END AS item
+  FROM p WHERE k % 7 <> 0 AND k % 13 <> 0),
+b AS (SELECT doc_id, full_name, dob FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (full_name <> '')::INT + (dob <> '')::INT DESC, pos) = 1),
+f AS (SELECT doc_id, coalesce(arg_min(npi, pos) FILTER (npi <> ''), '') AS npi, count(DISTINCT nullif(npi, '')) AS n_npis, coalesce(arg_min(plan, pos) FILTER (plan <> ''), '') AS plan FROM g GROUP BY doc_id),
+i AS (SELECT doc_id, string_agg(item, ',' ORDER BY pos) AS items FROM (SELECT doc_id, item, min(pos) AS pos FROM g WHERE item IS NOT NULL GROUP BY doc_id, item) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, count(*) AS total_pages, count(*) FILTER (k % 7 <> 0 AND k % 13 <> 0) AS successful_pages, count(*) FILTER (k % 7 = 0) AS blank_pages,
+    coalesce(string_agg((pos + 1) || ':rate', ',' ORDER BY pos) FILTER (k % 7 <> 0 AND k % 13 = 0), '') AS failed_pages FROM p GROUP BY doc_id)
+SELECT c.doc_id, coalesce(full_name, '') AS full_name, coalesce(dob, '') AS dob, coalesce(npi, '') AS npi, coalesce(n_npis, 0) AS n_npis, coalesce(plan, '') AS primary_insurance, coalesce(items, '') AS items,
+  total_pages, successful_pages, blank_pages, failed_pages FROM c LEFT JOIN b ON b.doc_id = c.doc_id LEFT JOIN f ON f.doc_id = c.doc_id LEFT JOIN i ON i.doc_id = c.doc_id"""
+)
+def document_records(spark, sf_dir):
+    """One whole record per order; orders whose pages all fail or are blank are there, empty."""
+    found = records.document_records(record_pages(spark, sf_dir), LabelModel)["documents"]
+    items = F.array_join(F.transform("items", lambda i: F.concat(i["item_name"], F.lit(" x "), i["item_quantity"])), ",")
+    failed = F.array_join(F.transform("failed_pages", lambda p: F.concat(p["page_number"], F.lit(":"), p["status"])), ",")
+    return found.select(
+        "doc_id", "patient.full_name", "patient.dob", "npi", "n_npis", F.col("insurance.primary_insurance").alias("primary_insurance"), items.alias("items"), "total_pages", "successful_pages", "blank_pages",
+        failed.alias("failed_pages"),
+    )

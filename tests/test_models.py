@@ -134,3 +134,27 @@ def test_settings_and_keys(spark):
         assert models.service_key("acme", {"ACME": " ", "API_KEY": "x"}) == "x"
     with pytest.raises(KeyError, match="ACME_API_KEY"):
         models.service_key("acme", {})
+
+
+def test_whole_records(spark):
+    """Failed and blank pages are told of; a document without any good page is there."""
+    from foliolink.plans import records
+
+    class Reader(models.OfflineModel):
+        def call(self, prompt):
+            if "refuse" in prompt:
+                raise models.ModelError.of_status(401)
+            if "odd" in prompt:
+                return "NPI 1234567890, call 555-123-4567"
+            return super().call(prompt)
+
+    text = "Patient Name: jane sample\nDOB: 01/15/1980\nPhone: 555.123.4567\nNPI: 1987654321"
+    rows = [("a", 0, 1, "DOB: 01/15/1980"), ("a", 1, 2, text), ("a", 2, 3, "refuse"), ("a", 3, 4, " "), ("a", 4, 5, "odd"), ("b", 0, 1, "refuse"), ("c", 0, 1, None)]
+    made = records.document_records(spark.createDataFrame(rows, "doc_id string, pos int, page_number int, text string"), Reader)
+    got = {r.doc_id: r for r in made["documents"].collect()}
+    a = got["a"]
+    assert (a.patient.full_name, a.patient.dob, a.patient.phone, a.npi, a.n_npis) == ("jane sample", "01/15/1980", "555-123-4567", "1987654321", 2)
+    assert (a.total_pages, a.successful_pages, a.blank_pages, [tuple(p) for p in a.failed_pages]) == (5, 3, 1, [(3, "auth")]) and a.extraction_confidence > 0
+    assert [tuple(p) for p in got["b"].failed_pages] == [(1, "auth")] and got["b"].patient.full_name == "" and got["b"].extraction_confidence == 0.0
+    assert (got["c"].blank_pages, got["c"].items, got["c"].npi) == (1, [], "")
+    assert sorted((r.doc_id, r.pos, r.status) for r in made["pages"].collect()) == [("a", 0, "ok"), ("a", 1, "ok"), ("a", 2, "auth"), ("a", 3, "blank"), ("a", 4, "ok"), ("b", 0, "auth"), ("c", 0, "blank")]
