@@ -165,6 +165,14 @@ def test_near_duplicate_stage_finds_all_at_similarity(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == rows.columns
 
 
+def test_common_shingles_count_every_text(spark):
+    rng = random.Random(2)
+    texts = [f"{sentence(rng, 30)} a b c d e" for _ in range(40)] + ["copy of the same words"] * 30
+    found, n = simhash.common_shingles(docs(spark, texts).coalesce(1), "text", 5, 42)
+    counts = Counter(h for t in set(texts) for h in simhash.shingle_hashes(t).tolist())
+    assert dict(zip(found.tolist(), n.tolist())) == {h: k for h, k in counts.items() if k >= 8}
+
+
 def test_repeated_shingles():
     for texts in ([], [None], ["", ""], ["a", "a"], ["a b"] * 3 + ["c"], ["a b c d e f g", "b c d e f q", "A b c d e"], ["x y", "z", None, "x y", "w", "z", "z"]):
         counts = Counter(h for t in texts for h in simhash.shingle_hashes(t).tolist())
