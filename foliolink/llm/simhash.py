@@ -204,11 +204,30 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+#: Words of the sketch that pairs are compared by where they meet, at most: 1,024 bits.
+BRIEF = 16
+
+
+def _folded(sketch: Column, k: Column, size: Column) -> Column:
+    """Word ``k`` of a parity sketch folded to ``size`` words."""
+    return F.aggregate(F.sequence(k, F.size(sketch), size), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.element_at(sketch, j)))
+
+
+def _brief(sketch: Column) -> Column:
+    """A parity sketch folded to ``BRIEF`` words at most."""
+    size = F.least(F.size(sketch), F.lit(BRIEF))
+    return F.transform(F.sequence(F.lit(1), size), lambda k: _folded(sketch, k, size))
+
+
 def _apart(a: Column, b: Column) -> Column:
     """Differing bits of two parity sketches, the longer one folded to the length of the other."""
     size = F.least(F.size(a), F.size(b))
-    place = lambda sketch, k: F.aggregate(F.sequence(k, F.size(sketch), size), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.element_at(sketch, j)))
-    return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), lambda n, k: n + F.bit_count(place(a, k).bitwiseXOR(place(b, k))))
+    return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), lambda n, k: n + F.bit_count(_folded(a, k, size).bitwiseXOR(_folded(b, k, size))))
+
+
+def _most_apart(n: Column, m: Column, similarity: float) -> Column:
+    """Members that just one of two sets of ``n`` and ``m`` has, at most, if they are alike."""
+    return F.lit((1 - similarity) / (1 + similarity)) * (n + m) + 1e-6
 
 
 def _per_key(pairs: DataFrame) -> DataFrame:
@@ -242,7 +261,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     of_a = sketches.toDF("a", "size_a", "sketch_a")
     of_b = sketches.toDF("b", "size_b", "sketch_b")
     both = join_spread(pairs, of_a, ["a"], ["b"], _per_key(pairs)).join(of_b, "b")
-    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) + 1e-6
+    most = _most_apart(F.col("size_a"), F.col("size_b"), similarity)
     pairs = store(both.where(_apart(F.col("sketch_a"), F.col("sketch_b")) <= most).select("a", "b"), "likely")
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     bits, mask = _bitmap(store(sets.join(keys, "key", "left_semi").select("text_hash"), "wanted"), "text_hash")
@@ -332,13 +351,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links)
     placed = rows.join(roots, F.col("key") == F.col("node"), "left").select("shingle", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    open_rows = store(placed.join(mixed, "shingle", "left_semi"), "open_shingles")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    met = a.join(
-        b,
-        (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & possible(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")),
+    briefs = sets.select("key", _brief(F.col("sketch")).alias("sketch"))
+    open_rows = store(placed.join(mixed, "shingle", "left_semi").join(briefs, "key").select("shingle", "key", "n", "pos", "root", "sketch"), "open_shingles")
+    a = open_rows.toDF("shingle", "a", "n_a", "pos_a", "root_a", "sketch_a")
+    b = open_rows.toDF("shingle", "b", "n_b", "pos_b", "root_b", "sketch_b")
+    # what follows are conditions of the join itself: pairs whose sizes, places or brief sketches rule them out are no rows
+    met = join_spread(a, b, ["shingle"], ["a"], open_rows.groupBy("shingle").agg(F.count("*").alias("n"))).where(
+        (F.col("a") < F.col("b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & possible(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+        & (_apart(F.col("sketch_a"), F.col("sketch_b")) <= _most_apart(F.col("n_a"), F.col("n_b"), similarity))
     )
-    more = _verified(met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), sets, docs, text_col, width, seed, similarity)
+    more = _verified(met.select("a", "b").distinct(), sets, docs, text_col, width, seed, similarity)
     groups = components(roots.select("root", "node").unionAll(more))  # the stars stand for the links
     rooted = sets.join(groups, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -165,6 +165,31 @@ def test_near_duplicate_stage_finds_all_at_similarity(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == rows.columns
 
 
+@pytest.mark.parametrize("brief", [1, 16])
+def test_shared_passages_are_no_near_copies(spark, monkeypatch, brief):
+    """Nothing is known of frequencies, so passages that many texts share lie in their prefixes; the dealt join loses no pair of them."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{k}w{rng.randrange(10**4)}" for _ in range(30)) for k in range(3)]
+    texts = []
+    for k in range(120):
+        own = [f"own{rng.randrange(10**7)}" for _ in range(rng.randrange(5, 60))]
+        texts.append(" ".join([*own, passages[k % 3], *own[:3]]))
+        if k % 4 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            texts.append(" ".join([*own, passages[k % 3], *own[:3]]))
+    monkeypatch.setattr(simhash, "common_shingles", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(simhash, "BRIEF", brief)
+    monkeypatch.setattr(common, "HEAVY", 64)
+    stored = {}
+    keep = simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df, name: stored.setdefault(name, []).append(keep(df, name)) or stored[name][-1])
+    sets = [plain_shingles(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
+    assert got == plain_components(range(len(texts)), lambda a, b: alike(sets[a], sets[b]))
+    if brief == 16:  # passages alone make no pairs: of some 3 * 50**2 / 2 only what the sketches can't tell
+        assert stored["candidates"][-1].count() < 300
+
+
 def test_common_shingles_count_every_text(spark):
     rng = random.Random(2)
     texts = [f"{sentence(rng, 30)} a b c d e" for _ in range(40)] + ["copy of the same words"] * 30
