@@ -172,18 +172,24 @@ def repeated_shingles(texts: pd.Series, width: int = 5, seed: int = 42) -> tuple
     return held[first], last - first + 1
 
 
+#: Texts whose shingles are counted side by side; a bound of a task's memory.
+SLICE = 2_500
+
+
 def common_shingles(docs: DataFrame, text_col: str, width: int, seed: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent shingles of all texts, ascending, and their counts; any answer is right, a good one saves work.
 
-    Every text is counted, copies within a batch once. Only shingles that two texts of a batch
-    hold leave it, so one that is rare everywhere is never shuffled and one that is in many
-    texts is missed only in batches that hold it once.
+    Every text is counted, copies within a batch once. Only shingles that two texts of ``SLICE``
+    hold leave their slice, so one that is rare everywhere is never shuffled and one that is in
+    many texts is missed only in slices that hold it once.
     """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found, n = repeated_shingles(part["text"].drop_duplicates(), width, seed)
-            yield pd.DataFrame({"shingle": found.view(np.int64), "n": n})
+            texts = part["text"].drop_duplicates()
+            for at in range(0, len(texts), SLICE):
+                found, n = repeated_shingles(texts.iloc[at : at + SLICE], width, seed)
+                yield pd.DataFrame({"shingle": found.view(np.int64), "n": n})
 
     counts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "shingle long, n long")
     got = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "shingle").limit(most).toPandas()
