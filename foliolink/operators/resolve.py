@@ -279,24 +279,30 @@ def signature_classes(people: DataFrame) -> DataFrame:
     return keyed.join(classes, keys).drop("_name", "_dob")
 
 
-def token_block_pairs(people: DataFrame, strict: bool = True) -> DataFrame:
-    """Pairs ``(doc_id, a, b, common)`` of a document's people (``person_id, name, dob``) that share enough name words and don't differ in date.
+def token_block_links(people: DataFrame, strict: bool = True) -> DataFrame:
+    """All pairs of a document's people (``person_id, name, dob``) that share enough name words and don't differ in date, as ``(doc_id, kind, a, b, common)``.
 
-    People of one name and date are one here, the least ``person_id`` of them (:func:`signature_classes`
-    has who that is for each), so copies don't multiply pairs. A pair needs ``min(2, words of a - 1)`` common words (at least one if ``strict``); rows
-    meet by a word that they share, so names without a common word never meet.
+    People of one name and date are a class, named by the least ``person_id`` of them as in
+    :func:`signature_classes`, so copies don't multiply rows. A ``member`` row tells that person ``a`` is in class ``b``. A ``link`` row tells that
+    every member of class ``a`` is linked with every later member of class ``b`` by ``common`` words; ``a`` and ``b`` may be one class.
+
+    A pair needs ``min(2, words of the earlier one - 1)`` common words (at least one if
+    ``strict``), so classes may be linked one way alone; rows meet by a word that they share, so names without a common word never meet.
     """
-    first = people.groupBy("doc_id", X.text(F.col("name")).alias("name"), X.text(F.col("dob")).alias("dob")).agg(F.min("person_id").alias("person_id"))
-    words = first.select("doc_id", "person_id", "name", "dob", F.explode(F.array_distinct(F.split(X.collapse(F.col("name")), " "))).alias("word")).where("word <> ''")
+    keyed = people.select("doc_id", "person_id", X.collapse(F.col("name")).alias("name"), X.text(F.col("dob")).alias("dob"))
+    keys = ["doc_id", "name", "dob"]
+    classes = keyed.groupBy(*keys).agg(F.min("person_id").alias("class_id"), F.max("person_id").alias("last"))
+    parts = F.split("name", " ")
+    need = F.least(F.lit(2), F.size(parts) - 1)
+    words = classes.select("doc_id", "class_id", "last", "dob", (F.greatest(need, F.lit(1)) if strict else need).alias("need"), F.explode(F.array_distinct(parts)).alias("word")).where("word <> ''")
     a, b = words.alias("a"), words.alias("b")
-    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.person_id") < F.col("b.person_id")))
-    need = F.least(F.lit(2), F.size(F.split(X.collapse(F.col("a_name")), " ")) - 1)
-    common = met.groupBy(
-        F.col("a.doc_id").alias("doc_id"), F.col("a.person_id").alias("a"), F.col("b.person_id").alias("b"),
-        F.col("a.name").alias("a_name"), F.col("a.dob").alias("a_dob"), F.col("b.dob").alias("b_dob"),
-    ).agg(F.count("*").alias("common"))
-    dates = (X.text(F.col("a_dob")) == "") | (X.text(F.col("b_dob")) == "") | (F.col("a_dob") == F.col("b_dob"))
-    return common.where((F.col("common") >= (F.greatest(need, F.lit(1)) if strict else need)) & dates).select("doc_id", "a", "b", "common")
+    later = F.col("a.class_id") < F.col("b.last")  # some member of b comes after one of a
+    dates = (F.col("a.dob") == "") | (F.col("b.dob") == "") | (F.col("a.dob") == F.col("b.dob"))
+    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.word") == F.col("b.word")) & later & dates)
+    common = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b"), F.col("a.need").alias("need")).agg(F.count("*").alias("common"))
+    links = common.where("common >= need").select("doc_id", F.lit("link").alias("kind"), "a", "b", "common")
+    members = keyed.join(classes, keys).select("doc_id", F.lit("member").alias("kind"), F.col("person_id").alias("a"), F.col("class_id").alias("b"), F.lit(None).cast("long").alias("common"))
+    return links.unionAll(members)
 
 
 def best_matches(targets: DataFrame, candidates: DataFrame, fields: list[str], threshold: float = 0.7) -> DataFrame:

@@ -132,6 +132,42 @@ def test_merge_by_joins_is_the_fold(spark, strict):
     assert chunk.merge_chunks(frame.limit(0), strict, 0).count() == 0
 
 
+def signed_people(seed):
+    """Repeated names of one to four words in any case and spacing, empty and null ones; dates alike, different and missing."""
+    rng, rows = random.Random(seed), []
+    for doc in range(12):
+        for person in range(rng.randrange(1, 25)):
+            name = " ".join(rng.choice(("ann", "bo", "cy")) for _ in range(rng.randrange(1, 5)))
+            name = rng.choice([name, name, name.upper(), f"  {name.replace(' ', chr(9) + ' ')} ", "", None])
+            rows.append((doc, person, name, rng.choice(["1980-01-02", "1981-01-02", "", None])))
+    return rows
+
+
+def signature(name, dob):
+    return " ".join((name or "").lower().split()), dob or ""
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_token_links_hold_every_pair(spark, strict):
+    """Links between classes with their members are the pairs of all people, copies too, by brute force."""
+    rows = signed_people(6 + strict)
+    want = {}
+    for d, x, *one in rows:
+        for e, y, *two in rows:
+            (a, a_dob), (b, b_dob) = signature(*one), signature(*two)
+            common, need = len(set(a.split()) & set(b.split())), min(2, len(a.split(" ")) - 1)
+            if d == e and x < y and common >= max(need, 1 if strict else 0) and common and (not a_dob or not b_dob or a_dob == b_dob):
+                want[d, x, y] = common
+    got = resolve.token_block_links(spark.createDataFrame(rows, "doc_id int, person_id int, name string, dob string"), strict).collect()
+    members = {}
+    for r in got:
+        if r.kind == "member":
+            members.setdefault((r.doc_id, r.b), []).append(r.a)
+    assert sorted((d, x) for (d, _), xs in members.items() for x in xs) == sorted((d, x) for d, x, *_ in rows)
+    pairs = [((r.doc_id, x, y), r.common) for r in got if r.kind == "link" for x in members[r.doc_id, r.a] for y in members[r.doc_id, r.b] if x < y]
+    assert len(pairs) == len(dict(pairs)) and dict(pairs) == want
+
+
 def plain_score(x, y, fields):
     total = weight = 0.0
     for f in S.FIELD_WEIGHTS:
