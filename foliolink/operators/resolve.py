@@ -272,11 +272,14 @@ def patient_confidence(filled: Column, required: int, ocr: Column, share: float
 
 
 def signature_classes(people: DataFrame) -> DataFrame:
-    """``people`` with ``class_id``, the least ``person_id`` of the document with the same name and date, and ``class_size``; null is empty."""
-    keyed = people.withColumns({"_name": X.text(F.col("name")), "_dob": X.text(F.col("dob"))})
+    """``people`` with ``class_id``, the least ``person_id`` of the document with the same name and date, ``class_size`` and ``n_links``, to how many others.
+
+    Names are the same whatever their case and white space; null is empty.
+    """
+    keyed = people.withColumns({"_name": X.collapse(F.col("name")), "_dob": X.text(F.col("dob"))})
     keys = ["doc_id", "_name", "_dob"]
     classes = keyed.groupBy(*keys).agg(F.min("person_id").alias("class_id"), F.count("*").alias("class_size"))
-    return keyed.join(classes, keys).drop("_name", "_dob")
+    return keyed.join(classes, keys).withColumn("n_links", F.col("class_size") - 1).drop("_name", "_dob")
 
 
 def token_block_links(people: DataFrame, strict: bool = True) -> DataFrame:

@@ -147,6 +147,16 @@ def signature(name, dob):
     return " ".join((name or "").lower().split()), dob or ""
 
 
+def test_classes_hold_every_pair_of_one_signature(spark):
+    rows = signed_people(5)
+    got = resolve.signature_classes(spark.createDataFrame(rows, "doc_id int, person_id int, name string, dob string")).collect()
+    same = {(d, x, y) for d, x, *a in rows for e, y, *b in rows if d == e and signature(*a) == signature(*b)}
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.person_id, q.person_id) for r in got for q in got if (r.doc_id, r.class_id) == (q.doc_id, q.class_id)} == same
+    for r in got:
+        assert r.n_links == r.class_size - 1 == sum((d, x) == (r.doc_id, r.person_id) for d, x, _ in same) - 1
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_token_links_hold_every_pair(spark, strict):
     """Links between classes with their members are the pairs of all people, copies too, by brute force."""
