@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliolink.llm import chat, common, components, decontaminate, html_text, language, lines, mixing, quality, simhash, toxicity, urls
+from foliolink.llm import chat, common, components, decontaminate, html_text, language, lines, mixing, quality, queries, simhash, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, fp string, id string, dropped int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
@@ -932,6 +932,27 @@ def test_array_decides_on_pages_without_structure(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_text.main_text(rows).collect()} == {k: f"{frame[0]}\n{t}\n{frame[1]}" for k, t in enumerate(texts)}
 
 
+def test_op10_moves_no_texts_and_uses_the_array(spark, tmp_path, monkeypatch):
+    """Where counts are too many to broadcast, no shuffle of the query's result has blocks or texts; without the array texts and counts differ."""
+    rng = random.Random(7)
+    frame, own = " ".join(f"frame{k}" for k in range(12)), [" ".join(f"own{rng.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    pages = [(k, "http://p.example/", f"<div>{frame}</div><div>{own[k]}</div>") for k in range(4)]
+    pages += [(k, "http://q.example/", f"<div>{frame}</div><article>{own[k]}</article>") for k in range(4, 8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = queries.op10_html_text(spark, str(tmp_path))
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id: (r.text, r.n_repeated) for r in done.collect()} == {k: (t, 12) for k, t in enumerate(own)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" in plan and plan.count("Exchange hashpartitioning") == 2  # of the counts for pages with and without an article
+    monkeypatch.setattr(html_text, "repeated_runs", lambda *_: spark.createDataFrame([], "host string, suffix binary, depth int"))
+    got = {r.page_id: (r.text, r.n_repeated) for r in queries.op10_html_text(spark, str(tmp_path)).collect()}
+    assert got == {k: (f"{frame}\n{t}" if k < 4 else t, 0) for k, t in enumerate(own)}
+
+
 def test_long_page(spark):
     text = " ".join(f"w{k}" for k in range(200_000))
     rows = spark.createDataFrame([(1, "http://a.example/", f"<article><p>{text}</p></article>"), (2, None, f"<p>{text}</p>")], "page_id long, url string, html string")
