@@ -53,6 +53,15 @@ def test_join_spread_is_the_join(spark, monkeypatch, how):
     assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_join_spread_runs_no_python(spark):
+    """The table of hot keys is local: made of Python rows it would start Python workers on the executors."""
+    big = spark.range(200).select((F.col("id") % 2).alias("key"), F.col("id").alias("row"))
+    for counts in (big.groupBy("key").agg(F.count("*").alias("n")), big.groupBy("key").agg(F.lit(1).alias("n"))):  # both keys hot, none
+        got = common.join_spread(big, big.select("key").distinct(), ["key"], ["row"], counts, "left")
+        assert got.count() == 200
+        assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_without_a_key_are_dealt(spark):
     """Most keys null: a left join keeps their rows, and no task has most of them."""
     big = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("key"), F.col("id").alias("row"))
@@ -205,6 +214,22 @@ def test_repeated_shingles():
         assert list(zip(found.tolist(), n.tolist())) == sorted((h, k) for h, k in counts.items() if k > 1)
 
 
+def test_near_copies_take_one_python_worker_a_task(spark, monkeypatch):
+    """Two Python functions in one task are two workers, which an executor keeps."""
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.store(df, name)
+
+    monkeypatch.setattr(simhash, "store", kept)
+    text = " ".join(f"w{k}" for k in range(60))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, [text, f"{text} more", "another text"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    found = {name: len(re.findall("ArrowEvalPython|BatchEvalPython|MapInPandas", plan)) for name, plan in plans.items()}
+    assert found["shingle_sets"] == found["shingles"] == 1 and max(found.values()) == 1
+
+
 def test_near_copies_edges(spark):
     assert simhash.near_copies(docs(spark, [])).count() == 0
     rows = docs(spark, ["a b c", "A b\tc", None, "", "a b c"], ids=[None, 4, 9, 8, 4])
