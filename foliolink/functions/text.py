@@ -7,6 +7,7 @@ are those of Unicode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -86,6 +87,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once however often ``f`` reads it; Spark would put the whole expression in each place."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends; null becomes empty."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
@@ -122,12 +128,12 @@ def normalize_name_basic(name: Column) -> Column:
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """``yyyy-mm-dd`` for months 1 to 12 and days 1 to 31 (no calendar check), else null."""
-    fits = month.between(1, 12) & day.between(1, 31)
-    return F.when(fits, F.format_string("%04d-%02d-%02d", year, month, day))
+    fits = lambda v: v["m"].between(1, 12) & v["d"].between(1, 31)
+    return once(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), lambda v: F.when(fits(v), F.format_string("%04d-%02d-%02d", v["y"], v["m"], v["d"])))
 
 
 def _int(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{1,9}$"), c).cast("int")
+    return once(c, lambda v: F.when(v.rlike(r"^\d{1,9}$"), v).cast("int"))
 
 
 def normalize_dob(dob: Column) -> Column:
@@ -137,16 +143,19 @@ def normalize_dob(dob: Column) -> Column:
     taken as MMDDYYYY. Six digits are MMDDYY, 50 to 99 in the 1900s. So ``1/1/1980``, six
     digits, gives ``1980-11-19``.
     """
-    d = digits(dob)
-    parts = F.split(text(dob), r"[/\-.]")
-    part = lambda k: _int(digits(F.get(parts, F.lit(k))))
-    century = lambda y: F.when(y < 100, y + 1900).otherwise(y)
-    at = lambda a, n: _int(F.substring(d, a, n))
-    split_form = F.when(F.size(parts) == 3, _iso(century(part(2)), part(0), part(1)))
-    eight = F.coalesce(split_form, _iso(century(at(5, 4)), at(1, 2), at(3, 2)))
-    yy = at(5, 2)
-    six = _iso(F.when(yy >= 50, yy + 1900).otherwise(yy + 2000), at(1, 2), at(3, 2))
-    return F.coalesce(F.when(F.length(d) == 8, eight).when(F.length(d) == 6, six), F.lower(strip(dob)))
+    century = lambda y: once(y, lambda y: F.when(y < 100, y + 1900).otherwise(y))
+    recent = lambda y: once(y, lambda y: F.when(y >= 50, y + 1900).otherwise(y + 2000))
+
+    def split_form(parts: Column) -> Column:
+        part = lambda k: _int(digits(F.get(parts, F.lit(k))))
+        return F.when(F.size(parts) == 3, _iso(century(part(2)), part(0), part(1)))
+
+    def by_length(d: Column) -> Column:
+        at = lambda a, n: _int(F.substring(d, a, n))
+        eight = F.coalesce(once(F.split(text(dob), r"[/\-.]"), split_form), _iso(century(at(5, 4)), at(1, 2), at(3, 2)))
+        return F.when(F.length(d) == 8, eight).when(F.length(d) == 6, _iso(recent(at(5, 2)), at(1, 2), at(3, 2)))
+
+    return F.coalesce(once(digits(dob), by_length), F.lower(strip(dob)))
 
 
 def normalize_dob_basic(dob: Column) -> Column:
@@ -295,18 +304,21 @@ def fenced_json(c: Column) -> Column:
     """JSON of a reply: what a ``json`` fence holds, else the balanced braces of a reply that begins with one; else null."""
     body = text(c)
     fence = F.regexp_extract(body, r"(?s)```json(.*?)```", 1)
-    has_fence = body.rlike(r"(?s)```json.*?```")
-    opened = strip(body).startswith("{")
-    tail = F.regexp_replace(body, r"(?s)^[^{]*", "")
+    has_fence = F.contains(body, F.lit("```json")) & body.rlike(r"(?s)```json.*?```")
+    opened = body.rlike(r"(?U)^\s*\{")
+    return F.when(has_fence, strip(fence)).when(opened, once(F.regexp_extract(body, r"(?s)\{.*", 0), _balanced))
+
+
+def _balanced(tail: Column) -> Column:
+    """The balanced braces with which a text begins, else null."""
     closed = F.split(tail, r"\}")  # what stands before each closing brace, and the rest
     end = F.aggregate(
-        F.slice(closed, F.lit(1), F.size(closed) - 1),
+        once(closed, lambda c: F.slice(c, F.lit(1), F.size(c) - 1)),
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end")),
         lambda a, part: F.when(a["end"] > 0, a).otherwise(_brace_step(a, part)),
         lambda a: a["end"],
     )
-    balanced = F.element_at(F.transform(F.array(end), lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n))), 1)  # one fold
-    return F.when(has_fence, strip(fence)).when(opened, balanced)
+    return once(end, lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n)))
 
 
 def _brace_step(a: Column, part: Column) -> Column:

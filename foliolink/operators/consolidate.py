@@ -18,19 +18,33 @@ def filled(values: list[Column]) -> Column:
 
 def fullest(rows: DataFrame, fields: list[str], key: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Per document the row with most filled fields, the earliest of equals."""
-    best = F.max_by(F.struct(*fields), F.struct(filled([F.col(f) for f in fields]), -F.col(pos)))
-    return rows.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+    return rows.groupBy(key).agg(fullest_of({f: F.col(f) for f in fields}, pos).alias("best")).select(key, "best.*")
+
+
+def fullest_of(values: dict[str, Column], pos: str = "pos", counts: Column | None = None) -> Column:
+    """The aggregate of :func:`fullest`: a struct of the values, of the rows that count."""
+    place = F.struct(filled(list(values.values())), -F.col(pos))
+    return F.max_by(F.struct(*[v.alias(f) for f, v in values.items()]), place if counts is None else F.when(counts, place))
 
 
 def first_filled(rows: DataFrame, fields: list[str], key: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Per document and field the first value that isn't empty; empty where there is none."""
-    return rows.groupBy(key).agg(*[F.coalesce(F.min(F.when(X.text(F.col(f)) != "", F.struct(F.col(pos), F.col(f).alias("v"))))["v"], F.lit("")).alias(f) for f in fields])
+    return rows.groupBy(key).agg(*[first_of(F.col(f), pos).alias(f) for f in fields])
+
+
+def first_of(value: Column, pos: str = "pos") -> Column:
+    """The aggregate of :func:`first_filled`."""
+    return F.coalesce(F.min(F.when(X.text(value) != "", F.struct(F.col(pos), value.alias("v"))))["v"], F.lit(""))
 
 
 def one_npi(rows: DataFrame, key: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Per document the NPI of the earliest page that has one, the smallest of equals, and how many there are."""
-    has = F.when(~X.is_blank(F.col("npi")), F.struct(F.col(pos), F.col("npi").alias("v")))
-    return rows.groupBy(key).agg(F.coalesce(F.min(has)["v"], F.lit("")).alias("npi"), F.count_distinct(F.when(~X.is_blank(F.col("npi")), F.col("npi"))).alias("n_npis"))
+    return rows.groupBy(key).agg(npi_of(F.col("npi"), pos).alias("npi"), F.count_distinct(F.when(~X.is_blank(F.col("npi")), F.col("npi"))).alias("n_npis"))
+
+
+def npi_of(npi: Column, pos: str = "pos") -> Column:
+    """The aggregate of :func:`one_npi`."""
+    return F.coalesce(F.min(F.when(~X.is_blank(npi), F.struct(F.col(pos), npi.alias("v"))))["v"], F.lit(""))
 
 
 def distinct_items(items: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("pos", "item_pos")) -> DataFrame:
@@ -63,7 +77,12 @@ def merge_reply(reply: Column, schema: str) -> Column:
 
 def extraction_confidence(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per document the mean overall confidence of its successful pages to two places, 0 without any."""
-    return pages.groupBy(key).agg(F.round(F.coalesce(F.avg(F.when(F.col("success"), F.col("overall"))), F.lit(0.0)), 2).alias("extraction_confidence"))
+    return pages.groupBy(key).agg(mean_confidence(F.col("success"), F.col("overall")).alias("extraction_confidence"))
+
+
+def mean_confidence(success: Column, overall: Column) -> Column:
+    """The aggregate of :func:`extraction_confidence`."""
+    return F.round(F.coalesce(F.avg(F.when(success, overall)), F.lit(0.0)), 2)
 
 
 def first_items(items: Column, most: int = 3) -> Column:

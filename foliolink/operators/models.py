@@ -11,7 +11,6 @@ import re
 import threading
 import time
 import warnings
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from itertools import groupby
 from typing import Protocol
@@ -74,28 +73,6 @@ def register(name: str, make: Callable[[], Model]) -> None:
     REGISTRY[name] = make
 
 
-class _Call:
-    """One call on a thread of its own."""
-
-    def __init__(self, model: Model, prompt: str):
-        self.began, self.seconds = time.perf_counter(), 0.0
-        self.reply, self.error = None, None
-        self.done = threading.Event()
-        threading.Thread(target=self._run, args=(model, prompt), daemon=True).start()
-
-    def _run(self, model: Model, prompt: str) -> None:
-        reply, error = outcome(model, prompt)
-        self.reply, self.error, self.seconds = reply, error, time.perf_counter() - self.began
-        self.done.set()
-
-    def result(self, deadline: float | None) -> tuple[str | None, str | None, float]:
-        """Reply, error and seconds; once the deadline is over the call is given up and its thread left alone."""
-        left = None if deadline is None else max(0.0, self.began + deadline - time.perf_counter())
-        if self.done.wait(left):
-            return self.reply, self.error, self.seconds
-        return None, "timeout", time.perf_counter() - self.began
-
-
 def outcome(model: Model, prompt: str) -> tuple[str | None, str | None]:
     """Reply and error of one call; every failure is an error."""
     try:
@@ -109,14 +86,48 @@ def outcome(model: Model, prompt: str) -> tuple[str | None, str | None]:
 
 
 def overlapped(model: Model, prompts: Iterable[str], in_flight: int, deadline: float | None) -> Iterator[tuple[str | None, str | None, float]]:
-    """Results in the order of the prompts, of at most ``in_flight`` calls at a time, given up ones not counted."""
-    running: deque[_Call] = deque()
-    for prompt in prompts:
-        if len(running) == in_flight:
-            yield running.popleft().result(deadline)
-        running.append(_Call(model, prompt))
-    while running:
-        yield running.popleft().result(deadline)
+    """Results in the order of the prompts, of at most ``in_flight`` calls at a time, given up ones not counted.
+
+    A thread takes the next prompt once its call has ended, so that short calls cost no thread each. A call that
+    takes longer than ``deadline`` seconds is given up: another thread goes on, and its own ends whenever the call does.
+    """
+    prompts = list(prompts)
+    found: list[tuple[str | None, str | None, float]] = [(None, "timeout", 0.0)] * len(prompts)
+    numbers = iter(range(len(prompts)))
+    running: dict[int, tuple[object, float]] = {}  # whose each call is and when it began; who takes it out settles it, without a lock
+    threads: set[object] = set()
+    ended = threading.Event()
+
+    def work(me: object) -> None:
+        for number in numbers:
+            began = time.perf_counter()
+            running[number] = (me, began)
+            reply, error = outcome(model, prompts[number])
+            if running.pop(number, None) is None:  # given up
+                return
+            found[number] = (reply, error, time.perf_counter() - began)
+        threads.discard(me)
+        ended.set()
+
+    def another() -> None:
+        me = object()
+        threads.add(me)
+        threading.Thread(target=work, args=(me,), daemon=True).start()
+
+    for _ in range(min(in_flight, len(prompts))):
+        another()
+    while threads:
+        at = time.perf_counter()
+        for number, (me, began) in running.copy().items() if deadline is not None else ():
+            if at - began >= deadline and running.pop(number, None) is not None:
+                found[number] = (None, "timeout", at - began)
+                threads.discard(me)
+                another()
+        if threads:
+            ends = [began + deadline - at for _, began in running.copy().values()] if deadline is not None else []
+            ended.wait(deadline if not ends else max(0.0, min(ends)))
+            ended.clear()
+    yield from found
 
 
 def run_model(prompts: DataFrame, make: Callable[[], Model], text_col: str = "prompt", in_flight: int = 4, deadline: float | None = 60.0) -> DataFrame:
@@ -192,7 +203,7 @@ def parse_replies(replies: DataFrame, simple: bool = False) -> DataFrame:
     doctor = F.struct(F.when(F.col("_ok"), X.record_npi(F.col("_parsed.doctor.npi"))).otherwise(X.record_npi(F.col("_plain.npi"))).alias("npi"))
     insurance = F.struct(*[X.strip(F.col("_parsed.insurance")[f]).alias(f) for f in _fields("insurance")])
     dme = F.struct(X.strip(F.col("_parsed.dme.dme_id")).alias("dme_id"), F.coalesce(F.col("_parsed.dme.items"), F.array().cast("array<struct<item_name:string,item_quantity:string>>")).alias("items"))
-    staged = replies.withColumn("_found", found).withColumn("_parsed", F.from_json("_found", RECORD)).withColumns({"_plain": plain, "_ok": ok})
+    staged = replies.withColumn("_found", found).withColumn("_parsed", F.from_json("_found", RECORD)).withColumns({"_plain": F.when(~ok, plain), "_ok": ok})
     staged = staged.withColumn("record", F.struct(patient.alias("patient"), doctor.alias("doctor"), insurance.alias("insurance"), dme.alias("dme")))
     return staged.withColumn("record", tidy_record(F.col("record"))).withColumnRenamed("_ok", "parse_ok").drop("_found", "_parsed", "_plain")
 

@@ -17,12 +17,13 @@ def page_records(pages: DataFrame, make: Callable[[], models.Model], simple: boo
     """A row per page ``(doc_id, pos, page_number)``: ``status`` (``ok``, ``blank`` or the kind of failure), ``parse_ok``, the fixed ``record`` and its confidence.
 
     A blank page is never sent to the model. A page that fails has an empty record and confidence
-    0. Replies are kept in the shared folder, so that no call is made twice.
+    0. What replies say is kept in the shared folder, so that no call is made and no reply read twice.
     """
     blank = X.is_blank(F.col("text"))
     asked = models.prompts(pages.where(~blank).select("doc_id", "pos", "page_number", "text"))
-    replies = scratch.keep(models.run_model(asked.drop("text"), make, in_flight=in_flight, deadline=deadline).drop("prompt"), "pages")
+    replies = models.run_model(asked.drop("text"), make, in_flight=in_flight, deadline=deadline).drop("prompt")
     told = models.parse_replies(replies, simple).select("doc_id", "pos", "page_number", F.coalesce("error", F.lit("ok")).alias("status"), "parse_ok", "record", "seconds")
+    told = scratch.keep(told, "pages")
     rest = pages.where(blank).select("doc_id", "pos", "page_number", F.lit("blank").alias("status"), F.lit(False).alias("parse_ok"), F.lit(None).cast(told.schema["record"].dataType).alias("record"), F.lit(0.0).alias("seconds"))
     every = told.unionByName(rest)
     r = F.col("record")
@@ -41,27 +42,25 @@ def document_records(pages: DataFrame, make: Callable[[], models.Model], simple:
     all fail or are blank has empty values and confidence 0.
     """
     found = page_records(pages, make, simple, in_flight, deadline)
-    good = found.where("success")
-    patient = good.select("doc_id", "pos", "record.patient.*")
-    best = consolidate.fullest(patient, list(PATIENT_FIELDS)).select("doc_id", F.struct(*PATIENT_FIELDS).alias("patient"))
-    npi = consolidate.one_npi(good.select("doc_id", "pos", F.col("record.doctor.npi").alias("npi")))
-    parts = good.select("doc_id", "pos", "record.insurance.*", F.col("record.dme.dme_id").alias("dme_id"))
-    cover = consolidate.first_filled(parts, [*INSURANCE_FIELDS, "dme_id"]).select("doc_id", F.struct(*INSURANCE_FIELDS).alias("insurance"), "dme_id")
-    listed = consolidate.distinct_items(good.select("doc_id", "pos", F.posexplode("record.dme.items").alias("item_pos", "i")).select("doc_id", "pos", "item_pos", "i.item_name", "i.item_quantity"))
-    items = listed.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "item_name", "item_quantity"))), lambda i: F.struct(i["item_name"].alias("item_name"), i["item_quantity"].alias("item_quantity"))).alias("items"))
-    sure = consolidate.extraction_confidence(found.select("doc_id", "success", F.col("confidence.overall").alias("overall")))
-    failed = ~F.col("success") & (F.col("status") != "blank")
+    good, r = F.col("success"), F.col("record")
+    listed = found.where("success").select("doc_id", "pos", F.posexplode("record.dme.items").alias("item_pos", "i")).select("doc_id", "pos", "item_pos", "i.item_name", "i.item_quantity")
+    one = consolidate.distinct_items(listed)
+    items = one.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("item_no", "item_name", "item_quantity"))), lambda i: F.struct(i["item_name"].alias("item_name"), i["item_quantity"].alias("item_quantity"))).alias("items"))
+    failed = ~good & (F.col("status") != "blank")
+    of = lambda c: F.when(good, c)
+    # all in one aggregate: every page's record moves once
     counts = found.groupBy("doc_id").agg(
-        F.count("*").alias("total_pages"), F.count(F.when(F.col("success"), 1)).alias("successful_pages"), F.count(F.when(F.col("status") == "blank", 1)).alias("blank_pages"),
+        consolidate.fullest_of({f: r["patient"][f] for f in PATIENT_FIELDS}, counts=good).alias("patient"), consolidate.npi_of(of(r["doctor"]["npi"])).alias("npi"),
+        F.size(F.collect_set(of(F.when(~X.is_blank(r["doctor"]["npi"]), r["doctor"]["npi"])))).cast("long").alias("n_npis"),
+        F.struct(*[consolidate.first_of(of(r["insurance"][f])).alias(f) for f in INSURANCE_FIELDS]).alias("insurance"), consolidate.first_of(of(r["dme"]["dme_id"])).alias("dme_id"),
+        consolidate.mean_confidence(good, F.col("confidence.overall")).alias("extraction_confidence"),
+        F.count("*").alias("total_pages"), F.count(F.when(good, 1)).alias("successful_pages"), F.count(F.when(F.col("status") == "blank", 1)).alias("blank_pages"),
         F.sort_array(F.collect_list(F.when(failed, F.struct("page_number", "status")))).alias("failed_pages"), F.sum("seconds").alias("seconds"),
     )
-    joined = counts.join(sure, "doc_id")
-    for part in (best, npi, cover, items):
-        joined = joined.join(part, "doc_id", "left")
-    empty = lambda name, fields: F.coalesce(name, F.struct(*[F.lit("").alias(f) for f in fields])).alias(name)
-    documents = joined.select(
-        "doc_id", empty("patient", PATIENT_FIELDS), F.coalesce("npi", F.lit("")).alias("npi"), F.coalesce("n_npis", F.lit(0)).alias("n_npis"), empty("insurance", INSURANCE_FIELDS),
-        F.coalesce("dme_id", F.lit("")).alias("dme_id"), F.coalesce("items", F.array().cast("array<struct<item_name:string,item_quantity:string>>")).alias("items"),
+    nobody = F.struct(*[F.lit("").alias(f) for f in PATIENT_FIELDS])
+    documents = counts.join(items, "doc_id", "left").select(
+        "doc_id", F.coalesce("patient", nobody).alias("patient"), "npi", "n_npis", "insurance", "dme_id",
+        F.coalesce("items", F.array().cast("array<struct<item_name:string,item_quantity:string>>")).alias("items"),
         "extraction_confidence", "total_pages", "successful_pages", "blank_pages", "failed_pages", "seconds",
     )
     return {"pages": found, "documents": documents}
