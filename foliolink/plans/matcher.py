@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import chunk, extract, models, resolve, route
 from ..schemas import require_pages
 from . import records
@@ -16,9 +17,10 @@ def identify(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, co
     """The rule matcher over many documents: ``pages`` (assigned), ``entries``, ``groups``, ``unassigned``, ``summary``.
 
     ``confidence_scale`` divides the reading confidence first; 100 turns percent into shares.
+    Pages with what is read from them are kept in the shared folder, so that none is searched twice.
     """
     rows = require_pages(pages).withColumn("confidence", F.col("confidence") / confidence_scale)
-    people = extract.with_person(rows)
+    people = scratch.keep(extract.with_person(rows), "persons")
     assigned = resolve.islands(resolve.greedy_groups(people, threshold, need_dob))
     entries = resolve.entries(assigned)
     groups = resolve.group_confidence(entries)
@@ -26,8 +28,8 @@ def identify(pages: DataFrame, threshold: float = 0.8, need_dob: bool = True, co
         "pages": assigned,
         "entries": entries,
         "groups": groups,
-        "unassigned": resolve.unassigned(rows, assigned),
-        "summary": resolve.run_summary(rows, groups),
+        "unassigned": resolve.unassigned(people.select(*rows.columns), assigned),
+        "summary": resolve.run_summary(people, groups),
     }
 
 
