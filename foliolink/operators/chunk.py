@@ -252,16 +252,23 @@ def _joined(seen: DataFrame, strict: bool) -> DataFrame:
 
 def longest_values(merged: DataFrame, fields: list[str], keys: tuple[str, ...] = ("doc_id", "merged_no")) -> DataFrame:
     """Per person the longest value of each field, the earliest of equals."""
-    best = [F.max_by(F.col(f), F.struct(F.length(X.text(F.col(f))), -F.col("chunk_id"), -F.col("person_no"))).alias(f) for f in fields]
-    return merged.groupBy(*keys).agg(*best)
+    return merged.groupBy(*keys).agg(*[longest_of(f).alias(f) for f in fields])
+
+
+def longest_of(field: str) -> Column:
+    """The aggregate of :func:`longest_values`."""
+    return F.max_by(F.col(field), F.struct(F.length(X.text(F.col(field))), -F.col("chunk_id"), -F.col("person_no")))
 
 
 def folded_confidence(merged: DataFrame, keys: tuple[str, ...] = ("doc_id", "merged_no")) -> DataFrame:
     """Per person the left-folded mean of the chunks' confidence."""
+    return merged.groupBy(*keys).agg(folded_of().alias("confidence"))
+
+
+def folded_of() -> Column:
+    """The aggregate of :func:`folded_confidence`."""
     ordered = F.sort_array(F.collect_list(F.struct("chunk_id", "person_no", "confidence")))
-    rows = merged.groupBy(*keys).agg(ordered.alias("_parts"))
-    rest = F.slice(F.col("_parts"), F.lit(2), F.size("_parts"))
-    return rows.withColumn("confidence", F.aggregate(rest, F.col("_parts")[0]["confidence"], lambda a, x: (a + x["confidence"]) / 2)).drop("_parts")
+    return X.once(ordered, lambda p: F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.get(p, F.lit(0))["confidence"], lambda a, x: (a + x["confidence"]) / 2))
 
 
 def distinct_entries(entries: DataFrame, keys: tuple[str, ...] = ("doc_id", "merged_no")) -> DataFrame:

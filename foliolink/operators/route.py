@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -77,9 +77,14 @@ def document_text(pages: DataFrame, banner: str = "--- PAGE %d ---") -> DataFram
 
 def prompt_pages(pages: DataFrame) -> DataFrame:
     """Per document the pages as prompts show them: ``=== PAGE n (Confidence: c.cc) ===`` and the text."""
+    return pages.groupBy("doc_id").agg(prompt().alias("prompt"))
+
+
+def prompt() -> Column:
+    """The aggregate of :func:`prompt_pages`."""
     block = F.concat(F.format_string("=== PAGE %d (Confidence: %.2f) ===\n", "page_number", "confidence"), X.text(F.col("text")))
     parts = F.sort_array(F.collect_list(F.struct("pos", block.alias("b"))))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
+    return F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n")
 
 
 def joined_text(pages: DataFrame) -> DataFrame:

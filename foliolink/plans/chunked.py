@@ -31,16 +31,15 @@ def identify_in_chunks(
     Replies are written once to the shared folder, so that no call is made twice.
     """
     config = chunk.ChunkConfig.of(config) if isinstance(config, str) else config
-    plans = chunk.plan(chunk.document_sizes(pages), config)
+    plans = scratch.keep(chunk.plan(chunk.document_sizes(pages), config), "plans")
     placed = chunk.members(pages, plans)
     tokens = F.sum(X.estimate_tokens(F.col("text"))).alias("estimated_tokens")
-    told = placed.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list("page_number")).alias("page_numbers"), tokens)
-    asked = route.prompt_pages(placed.withColumn("doc_id", F.struct("doc_id", "chunk_id"))).select("doc_id.*", "prompt")
+    asked = placed.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list("page_number")).alias("page_numbers"), tokens, route.prompt().alias("prompt"))
     full = models.prompts(asked, models.PERSONS_PROMPT, "prompt")
     replies = models.parse_persons(models.run_model(full, make, in_flight=in_flight, deadline=deadline))
-    kept = scratch.keep(replies.select("doc_id", "chunk_id", "error", "seconds", "persons"), "replies")
+    kept = scratch.keep(replies.select("doc_id", "chunk_id", "n_pages", "page_numbers", "estimated_tokens", "error", "seconds", "persons"), "replies")
 
-    chunks = told.join(kept.select("doc_id", "chunk_id", "error", "seconds"), ["doc_id", "chunk_id"])
+    chunks = kept.drop("persons")
     people = kept.select("doc_id", "chunk_id", F.posexplode("persons").alias("k", "p")).select(
         "doc_id", "chunk_id", (F.col("k") + 1).alias("person_no"), X.text(F.col("p.patient_info.full_name")).alias("full_name"), X.text(F.col("p.patient_info.dob")).alias("dob"),
         F.coalesce("p.entries", F.array().cast("array<struct<pages:array<int>,confidence:double>>")).alias("entries"), F.col("p.group_confidence").alias("told"),
@@ -54,15 +53,14 @@ def identify_in_chunks(
     once = chunk.distinct_entries(runs, keys)
     spans = once.select(*keys, F.array_min("pages").alias("first_page"), F.array_max("pages").alias("last_page"), "confidence")
     entries = chunk.stitch(spans, keys)
-    found = chunk.longest_values(numbered, ["full_name", "dob"], keys)
-    persons = found.join(chunk.folded_confidence(numbered, keys), list(keys)).join(chunk.all_pages(once, keys), list(keys), "left").join(entries.groupBy(*keys).agg(F.count("*").alias("total_entries")), list(keys), "left")
+    found = numbered.groupBy(*keys).agg(*[chunk.longest_of(f).alias(f) for f in ("full_name", "dob")], chunk.folded_of().alias("confidence"))
+    persons = found.join(chunk.all_pages(once, keys), list(keys), "left").join(entries.groupBy(*keys).agg(F.count("*").alias("total_entries")), list(keys), "left")
     persons = persons.withColumns({"total_pages": F.coalesce("total_pages", F.lit(0)), "total_entries": F.coalesce("total_entries", F.lit(0).cast("long"))})
     return {"chunks": chunks, "persons": persons, "entries": entries, "summary": _summary(pages, plans, chunks, persons)}
 
 
 def _summary(pages: DataFrame, plans: DataFrame, chunks: DataFrame, persons: DataFrame) -> DataFrame:
     """One row per document; a page counts once however many persons have it, and only if the document has it."""
-    whole = pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"))
     seen = persons.select("doc_id", F.explode("all_pages").alias("page_number")).distinct()
     assigned = pages.select("doc_id", "page_number").join(seen, ["doc_id", "page_number"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("assigned_pages"))
     people = persons.groupBy("doc_id").agg(F.count("*").alias("total_patients"), F.sum("total_entries").alias("total_entries"), F.avg("confidence").alias("average_confidence"))
@@ -71,7 +69,7 @@ def _summary(pages: DataFrame, plans: DataFrame, chunks: DataFrame, persons: Dat
         F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.col("chunk_id")))).alias("failed_chunks"), F.sum("seconds").alias("seconds"),
     )
     zero = lambda c, kind="long": F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c)
-    joined = whole.join(plans.select("doc_id", "estimated_tokens"), "doc_id").join(ran, "doc_id").join(people, "doc_id", "left").join(assigned, "doc_id", "left")
+    joined = plans.select("doc_id", "total_pages", "estimated_tokens").join(ran, "doc_id").join(people, "doc_id", "left").join(assigned, "doc_id", "left")
     return joined.select(
         "doc_id", "total_pages", zero("total_patients"), zero("total_entries"), zero("assigned_pages"), (F.col("total_pages") - zero("assigned_pages")).alias("unassigned_pages"),
         zero("average_confidence", "double"), (F.col("total_chunks") > 1).alias("processed_in_chunks"), "total_chunks", "successful_chunks", "failed_chunks", "seconds", "estimated_tokens",
