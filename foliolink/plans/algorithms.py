@@ -72,10 +72,11 @@ def run(pages: DataFrame, identifiers: list[Identifier]) -> dict[str, DataFrame]
     """``results``: a row per algorithm and document; ``runs``: a row per algorithm with its seconds, documents and error.
 
     Each algorithm is a run of its own: one that can't be planned, fails, or lacks a column becomes a row with its ``error`` and the others go on.
-    A document's ``processing_time`` is its share of the run's seconds.
+    A document's ``processing_time`` is its share of the run's seconds. All read the same pages, which are made once and kept in the shared folder.
     """
     spark = pages.sparkSession
     results, runs = [], []
+    pages = scratch.keep(pages, "pages")
     doc = dict(pages.dtypes)["doc_id"]
     for identifier in identifiers:
         began = time.perf_counter()
