@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -200,54 +201,64 @@ def _folded(seen: DataFrame, strict: bool) -> DataFrame:
 def _joined(seen: DataFrame, strict: bool) -> DataFrame:
     """What :func:`_folded` gives, in rounds.
 
-    A person shows each word, each pair of words and the empty set, and looks for the sets of as
-    many words as it must share; so people meet by sets, of which only the first person who
-    shows one counts, and never in pairs. A person is a member once one who stays shows a set
-    that it looks for, and stays once nobody before it who may stay does.
+    A person shows its words, its pairs of words and the empty set, and looks for the sets of as
+    many words as it must share; so people meet by sets, and never in pairs. Of those that show a
+    set only the first matters, the first of a date and the first undated one: running minima over
+    the set's people in order. A person joins the first one who stays and shows a set that it looks
+    for, once nobody who may stay comes before that one; it stays once nobody at all does.
+
+    Rounds end when all is settled. Each is one shuffle of the sets of documents with unsettled
+    people, and of what those found; what a round wrote goes when the next has read it.
     """
-    words = F.filter(F.split(F.col("name"), " "), lambda w: w != "")
-    unique = F.array_sort(F.array_distinct(words))
-    need = F.least(F.lit(2), F.size(words) - 1)
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.col("name"), " "), lambda w: w != "")))
+    need = F.least(F.lit(2), F.size(F.filter(F.split(F.col("name"), " "), lambda w: w != "")) - 1)
     need = F.greatest(F.lit(1), need) if strict else F.greatest(F.lit(0), need)
-    singles = F.transform("_words", lambda w: F.concat(F.lit("1 "), w))
-    rest = lambda k: F.slice("_words", k + 2, F.size("_words"))
-    pairs = F.flatten(F.transform("_words", lambda w, k: F.transform(rest(k), lambda v: F.concat(F.lit("2 "), w, F.lit(" "), v))))
-    none = F.array(F.lit("0"))
-    nodes = scratch.keep(seen.withColumn("node", F.monotonically_increasing_id()).withColumns({"_words": unique, "_need": need}), "nodes")
-    fits = F.when(F.col("_need") == 0, none).when(F.col("_need") == 1, singles).otherwise(pairs)
-    # A dated person looks among those of its date and the undated, an undated one among all.
-    among = F.when(F.col("date") == "", F.array(F.lit("*"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), F.col("date"))))
-    looks = nodes.select("doc_id", "node", "place", F.explode(fits).alias("words"), among.alias("among")).withColumn("among", F.explode("among"))
-    shown = F.array(F.lit("*"), F.concat(F.lit("="), F.col("date")))
-    shows = nodes.select("doc_id", "node", "place", F.explode(F.concat(none, singles, pairs)).alias("words"), shown.alias("among")).withColumn("among", F.explode("among"))
-    looks, shows = scratch.keep(looks, "looks"), scratch.keep(shows, "shows")
-    keys = ["doc_id", "words", "among"]
-
-    def first(of: DataFrame, name: str) -> DataFrame:
-        return shows.join(of.select("node"), "node", "left_semi").groupBy(*keys).agg(F.min(F.struct("place", "node")).alias(name))
-
-    open_ = nodes.select("node")
-    stay: DataFrame | None = None
-    while not open_.isEmpty():
-        ahead = first(open_, "waiting")
-        settled = first(stay, "stays") if stay is not None else ahead.select(*keys, F.lit(None).cast(ahead.schema["waiting"].dataType).alias("stays")).limit(0)
-        asked = looks.join(open_, "node", "left_semi").join(ahead, keys, "left").join(settled, keys, "left")
-        own = F.first("place").alias("place")
-        seen_now = asked.groupBy("node").agg(own, F.min("waiting.place").alias("waiting"), F.min("stays.place").alias("stays"))
-        verdict = open_.join(seen_now, "node", "left").select(
-            "node", F.coalesce(F.col("stays") < F.col("place"), F.lit(False)).alias("joins"), F.coalesce(F.col("waiting") < F.col("place"), F.lit(False)).alias("waits")
+    rest = lambda k: F.slice("words", k + 2, F.size("words"))
+    pairs = F.flatten(F.transform("words", lambda w, k: F.transform(rest(k), lambda v: F.concat(F.lit("2 "), w, F.lit(" "), v))))
+    by_size = (F.array(F.lit("0")), F.transform("words", lambda w: F.concat(F.lit("1 "), w)), pairs)
+    # only sets of a size that somebody looks for
+    wanted = sorted(r[0] for r in seen.select(need.alias("need")).distinct().collect())  # three at most
+    shows = lambda n: F.transform(by_size[n], lambda x: F.struct(x.alias("words"), (F.col("need") == n).alias("looks")))
+    sets = F.concat(*map(shows, wanted)) if wanted else None
+    # OPEN people may stay; PENDING ones join somebody, but whom isn't known; the home of those who stay is themselves
+    nodes = seen.select("doc_id", "name", "date", "place", words.alias("words"), need.alias("need"), F.lit("open").alias("state"))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("home", F.lit(None).cast("long"))
+    state = scratch.keep(nodes.select("doc_id", "name", "date", "place", "words", "need", "node", "state", "home"), "nodes")
+    settled: list[DataFrame] = []
+    columns = state.columns
+    while not state.where("state in ('open', 'pending')").isEmpty():
+        shown = state.where("state <> 'joined'").select("doc_id", "node", "place", "date", "state", F.explode(sets).alias("s")).select("doc_id", "node", "place", "date", "state", "s.words", "s.looks")
+        before = Window.partitionBy("doc_id", "words").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)
+        of_date = Window.partitionBy("doc_id", "words", "date").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)
+        me = F.struct("place", "node")
+
+        def first(which: str) -> Column:
+            is_ = F.when(F.col("state") == which, me)
+            undated = F.min(F.when(F.col("date") == "", is_)).over(before)
+            return F.when(F.col("date") == "", F.min(is_).over(before)).otherwise(F.least(undated, F.min(is_).over(of_date)))
+
+        met = shown.withColumns({"waiting": first("open"), "stays": first("stays")})
+        met = met.where("looks and state in ('open', 'pending') and (waiting is not null or stays is not null)")
+        found = met.groupBy("node").agg(F.min("waiting").alias("waiting"), F.min("stays").alias("stays"))
+        open_ = F.col("state").isin("open", "pending")
+        sure = F.col("stays").isNotNull() & (F.col("waiting").isNull() | (F.col("stays") < F.col("waiting")))
+        now = (
+            F.when(~open_, F.col("state")).when(sure, "joined").when(F.col("stays").isNotNull(), "pending").when(F.col("waiting").isNotNull(), F.col("state")).otherwise("stays")
         )
-        verdict = scratch.keep(verdict, "verdict")
-        new = verdict.where("not joins and not waits").select("node")
-        stay = new if stay is None else stay.unionByName(new)
-        open_ = verdict.where("not joins and waits").select("node")
-    if stay is None:
-        return nodes.select("doc_id", "name", "date", F.lit(0).alias("merged_no"))
-    stay = scratch.keep(stay, "stay")
-    homes = looks.join(first(stay, "stays"), keys).where("stays.place < place").groupBy("node").agg(F.min("stays")["node"].alias("home"))
-    numbers = linkage.numbered(nodes.join(stay, "node").select("doc_id", "place", F.col("node").alias("home")), ["doc_id"], ["place"], "merged_no").select("home", "merged_no")
-    of = stay.select("node", F.col("node").alias("home")).unionByName(homes.join(stay, "node", "left_anti"))
-    return nodes.join(of, "node").join(numbers, "home").select("doc_id", "name", "date", "merged_no")
+        home = F.when(~open_, F.col("home")).when(sure, F.col("stays.node")).when(now == "stays", F.col("node"))
+        told = state.join(found.hint("merge"), "node", "left").withColumns({"state": now, "home": home}).select(*columns)
+        following = scratch.keep(told, "nodes")
+        scratch.drop(state)
+        # documents of which all people are settled leave
+        left = following.where("state in ('open', 'pending')").select("doc_id").distinct().hint("merge")
+        settled.append(scratch.keep(following.join(left, "doc_id", "left_anti").select("doc_id", "name", "date", "place", "node", "home"), "settled"))
+        state = scratch.keep(following.join(left, "doc_id", "left_semi"), "nodes")
+        scratch.drop(following)
+    if not settled:
+        return state.select("doc_id", "name", "date", F.lit(0).alias("merged_no"))
+    people = reduce(DataFrame.unionByName, settled)
+    numbers = linkage.numbered(people.where("node = home").select("doc_id", "place", "home"), ["doc_id"], ["place"], "merged_no").select("home", "merged_no")
+    return people.join(numbers.hint("merge"), "home").select("doc_id", "name", "date", "merged_no")
 
 
 def longest_values(merged: DataFrame, fields: list[str], keys: tuple[str, ...] = ("doc_id", "merged_no")) -> DataFrame:
