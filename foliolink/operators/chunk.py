@@ -161,7 +161,7 @@ def merge_chunks(groups: DataFrame, strict: bool = False, folded: int = FOLDED)
     signed = groups.withColumns({"_name": X.collapse(F.col("full_name")), "_date": X.text(X.chunk_dob(F.col("dob")))})
     seen = signed.groupBy("doc_id", "_name", "_date").agg(F.min(F.struct("chunk_id", "person_no")).alias("place"))
     seen = scratch.keep(seen.select("doc_id", F.col("_name").alias("name"), F.col("_date").alias("date"), "place"), "people")
-    large = seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id")
+    large = linkage.wide(seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id"))
     if large.isEmpty():
         numbers = _folded(seen, strict)
     else:

@@ -40,7 +40,7 @@ def like_names(names: DataFrame, keys: list[str], threshold: float, name: str =
     plain = names.select(*keys, F.col(name).alias("name"), S.token_set(F.col(name)).alias("words"))
     each = plain.select(*keys, "name", F.size("words").alias("n"), F.explode("words").alias("word"))
     common = each.groupBy(*keys, "word").agg(F.count("*").alias("held"))
-    ranked = each.join(common, [*keys, "word"]).groupBy(*keys, "name", "n").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("ranked"))
+    ranked = each.join(wide(common), [*keys, "word"]).groupBy(*keys, "name", "n").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("ranked"))
     largest = plain.agg(F.max(F.size("words"))).first()[0] or 0
     partner = F.explode(F.sequence(F.lit(1), F.lit(max(1, largest)))).alias("m")
     sized = ranked.select(*keys, "name", "n", "ranked", partner)
@@ -48,13 +48,22 @@ def like_names(names: DataFrame, keys: list[str], threshold: float, name: str =
     kept = sized.where(need <= F.least("n", "m")).select(*keys, "name", "n", "m", F.explode(F.slice("ranked", F.lit(1), F.col("n") - need + 1)).alias("r"))
     index = kept.select(*keys, "name", "n", "m", F.col("r.word").alias("word"))
     other = index.select(*[F.col(k).alias(k) for k in keys], F.col("word").alias("word"), F.col("name").alias("other"), F.col("n").alias("m"), F.col("m").alias("n"))
-    met = index.join(other, [*keys, "word", "n", "m"]).where("name <> other").select(*keys, F.col("name").alias("a"), F.col("other").alias("b")).distinct()
+    met = index.join(wide(other), [*keys, "word", "n", "m"]).where("name <> other").select(*keys, F.col("name").alias("a"), F.col("other").alias("b")).distinct()
     letters, words = S.ocr_similarity(_plain("a"), _plain("b")), S.token_similarity(F.col("a"), F.col("b"))
     likely = met.where(0.4 + 0.3 * letters + 0.3 * words >= threshold - 1e-6)
     themselves = plain.select(*keys, F.col("name").alias("a"), F.col("name").alias("b"))
     return likely.unionByName(themselves).withColumn("score", S.blend_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
 
 
+def wide(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never broadcast.
+
+    Spark goes by the bytes of kept files, in which ids and repeated names take little: sides of some million
+    rows would pass for small and be built up in the driver, one for each join of each round.
+    """
+    return rows.hint("merge")
+
+
 def _plain(name: str) -> Column:
     from ..functions import text as X
 
@@ -75,10 +84,12 @@ def members_of_first(edges: DataFrame, settled: DataFrame | None = None) -> Data
         edges = _without(edges, settled)
     edges = scratch.keep(edges, "edges")
     while not edges.isEmpty():
-        opens = edges.select("earlier").distinct().join(edges.select(F.col("node").alias("earlier")).distinct(), "earlier", "left_anti")
-        gone = scratch.keep(edges.join(opens, "earlier", "left_semi").select("node").distinct(), "members")
+        opens = edges.select("earlier").distinct().join(wide(edges.select(F.col("node").alias("earlier")).distinct()), "earlier", "left_anti")
+        gone = scratch.keep(edges.join(wide(opens), "earlier", "left_semi").select("node").distinct(), "members")
         found.append(gone)
-        edges = scratch.keep(_without(edges, gone), "edges")
+        following = scratch.keep(_without(edges, gone), "edges")
+        scratch.drop(edges)
+        edges = following
     if not found:
         return edges.select("node")
     every = found[0]
@@ -89,7 +100,7 @@ def members_of_first(edges: DataFrame, settled: DataFrame | None = None) -> Data
 
 def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     for side in ("node", "earlier"):
-        edges = edges.join(gone.select(F.col("node").alias(side)), side, "left_anti")
+        edges = edges.join(wide(gone.select(F.col("node").alias(side))), side, "left_anti")
     return edges.select("node", "earlier")
 
 
@@ -98,10 +109,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     roots = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
+        near = both.join(wide(roots.select(F.col("node").alias("b"), "root")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = roots.join(wide(near), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
         jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        following = scratch.keep(lower.join(jump, "low").select("node", "was", F.col("lower").alias("root")), "roots")
+        following = scratch.keep(lower.join(wide(jump), "low").select("node", "was", F.col("lower").alias("root")), "roots")
         if following.where("root <> was").isEmpty():
             return following.select("node", "root")
         roots = following.select("node", "root")
@@ -119,4 +130,4 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> D
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return placed.withColumn("_inside", inside).join(starts, [*keys, "_range"]).withColumn(name, (F.col("_start") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_start")
+    return placed.withColumn("_inside", inside).join(wide(starts), [*keys, "_range"]).withColumn(name, (F.col("_start") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_start")

@@ -100,13 +100,13 @@ def greedy_groups(pages: DataFrame, threshold: float = 0.8, need_dob: bool = Tru
     if threshold <= linkage.LETTERS or merge_at <= 0.9:
         return keyed.join(_folded(seen, threshold, need_dob, merge_at), SIGNATURE).drop("lone")
     seen = scratch.keep(seen, "signatures")
-    large = seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id")
+    large = linkage.wide(seen.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > folded).select("doc_id"))
     if large.isEmpty():
         groups = _folded(seen, threshold, need_dob, merge_at)
     else:
         small = seen.join(large, "doc_id", "left_anti")
         groups = _folded(small, threshold, need_dob, merge_at).unionByName(_joined(seen.join(large, "doc_id", "left_semi"), threshold, need_dob, merge_at))
-    return keyed.join(groups, SIGNATURE).drop("lone")
+    return keyed.join(linkage.wide(groups), SIGNATURE).drop("lone")
 
 
 def _folded(seen: DataFrame, threshold: float, need_dob: bool, merge_at: float) -> DataFrame:
@@ -147,28 +147,28 @@ def _joined(seen: DataFrame, threshold: float, need_dob: bool, merge_at: float)
     others = nodes.select("doc_id", F.col("sig_name").alias("b"), "date", F.col("node").alias("earlier"), F.col("place").alias("opened"))
 
     def edges(which: str) -> DataFrame:
-        met = rows.where(which).join(like, ["doc_id", "a"]).join(others.where(which), ["doc_id", "b", "date"])
+        met = rows.where(which).join(linkage.wide(like), ["doc_id", "a"]).join(linkage.wide(others.where(which)), ["doc_id", "b", "date"])
         return met.where("opened < place").select("node", "earlier", "opened")
 
     dated = scratch.keep(edges("date <> ''"), "dated")
     joins = linkage.members_of_first(dated)
-    opening = others.where("date <> ''").join(joins.select(F.col("node").alias("earlier")), "earlier", "left_anti")
+    opening = others.where("date <> ''").join(linkage.wide(joins.select(F.col("node").alias("earlier"))), "earlier", "left_anti")
     first_of = opening.groupBy("doc_id", "b").agg(F.min(F.struct("opened", "earlier")).alias("first"))
-    near = like.join(first_of, ["doc_id", "b"]).groupBy("doc_id", "a").agg(F.min("first").alias("first"))
-    late = rows.where("date = ''").join(near, ["doc_id", "a"]).where("first.opened < place")
+    near = like.join(linkage.wide(first_of), ["doc_id", "b"]).groupBy("doc_id", "a").agg(F.min("first").alias("first"))
+    late = rows.where("date = ''").join(linkage.wide(near), ["doc_id", "a"]).where("first.opened < place")
     late = scratch.keep(late.select("node", "first.earlier", "first.opened"), "late")
     undated = scratch.keep(edges("date = ''"), "undated")
     joins = scratch.keep(joins.unionByName(linkage.members_of_first(undated, late)), "joins")
 
-    possible = dated.unionByName(undated).join(joins.select(F.col("node").alias("earlier")), "earlier", "left_anti").select("node", "earlier", "opened")
-    home = possible.unionByName(late).join(joins, "node", "left_semi").groupBy("node").agg(F.min(F.struct("opened", "earlier"))["earlier"].alias("opener"))
-    openers = scratch.keep(nodes.join(joins, "node", "left_anti").select("doc_id", "node", "place", "info"), "openers")
+    possible = dated.unionByName(undated).join(linkage.wide(joins.select(F.col("node").alias("earlier"))), "earlier", "left_anti").select("node", "earlier", "opened")
+    home = possible.unionByName(late).join(linkage.wide(joins), "node", "left_semi").groupBy("node").agg(F.min(F.struct("opened", "earlier"))["earlier"].alias("opener"))
+    openers = scratch.keep(nodes.join(linkage.wide(joins), "node", "left_anti").select("doc_id", "node", "place", "info"), "openers")
     into = scratch.keep(_merged_openers(openers, merge_at), "into")
-    stays = linkage.numbered(openers.join(into.select("node"), "node", "left_anti").select("doc_id", "place", "node"), ["doc_id"], ["place"], "group_no")
+    stays = linkage.numbered(openers.join(linkage.wide(into.select("node")), "node", "left_anti").select("doc_id", "place", "node"), ["doc_id"], ["place"], "group_no")
     every = openers.select("node", F.col("node").alias("opener")).unionByName(home)
-    moved = every.join(into.select(F.col("node").alias("opener"), "root"), "opener", "left").select("node", F.coalesce("root", "opener").alias("opener"))
-    of = nodes.join(moved, "node").join(stays.select(F.col("node").alias("opener"), "group_no"), "opener").select("doc_id", "sig_name", "date", "lone", "group_no")
-    return seen.withColumn("date", date).join(of, ["doc_id", "sig_name", "date", "lone"]).select(*SIGNATURE, "group_no")
+    moved = every.join(linkage.wide(into.select(F.col("node").alias("opener"), "root")), "opener", "left").select("node", F.coalesce("root", "opener").alias("opener"))
+    of = nodes.join(linkage.wide(moved), "node").join(linkage.wide(stays.select(F.col("node").alias("opener"), "group_no")), "opener").select("doc_id", "sig_name", "date", "lone", "group_no")
+    return seen.withColumn("date", date).join(linkage.wide(of), ["doc_id", "sig_name", "date", "lone"]).select(*SIGNATURE, "group_no")
 
 
 def _merged_openers(openers: DataFrame, merge_at: float) -> DataFrame:
@@ -187,10 +187,10 @@ def _merged_openers(openers: DataFrame, merge_at: float) -> DataFrame:
     named = scratch.keep(named.withColumn("least", F.min("node").over(Window.partitionBy(*keys, "name"))), "named")
     names = named.select(*keys, "name", "least").distinct()
     like = linkage.like_names(names.select(*keys, "name"), keys, max(linkage.LETTERS, bound - 1e-6)).where("a < b")
-    links = like.join(names.select(*keys, F.col("name").alias("a"), F.col("least").alias("x")), [*keys, "a"]).join(names.select(*keys, F.col("name").alias("b"), F.col("least").alias("y")), [*keys, "b"])
+    links = like.join(linkage.wide(names.select(*keys, F.col("name").alias("a"), F.col("least").alias("x"))), [*keys, "a"]).join(linkage.wide(names.select(*keys, F.col("name").alias("b"), F.col("least").alias("y"))), [*keys, "b"])
     pairs = links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(named.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
     sets = linkage.components(pairs)
-    people = openers.join(sets, "node").select("root", "node", "place", "info.*")
+    people = openers.join(linkage.wide(sets), "node").select("root", "node", "place", "info.*")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.assign(_order=[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in group["place"]]).sort_values("_order")
